@@ -64,6 +64,12 @@ def invalid_reason(rules: Iterable[tuple[Column, str]]) -> Column:
     return reason
 
 
+def reason_column(rules: Iterable[tuple[Column, str]], on_invalid: str = "null") -> Column:
+    """``invalid_reason`` for a table: NULL for good rows; with ``'error'`` a broken row stops the job."""
+    reason = invalid_reason(rules)
+    return reason if on_invalid == "null" else F.when(reason.isNotNull(), F.raise_error(reason).cast("string"))
+
+
 def guarded(value: Column, rules: Iterable[tuple[Column, str]], on_invalid: str = "null") -> Column:
     """``value`` where every rule holds; elsewhere NULL, or an error when ``on_invalid='error'``.
 

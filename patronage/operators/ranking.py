@@ -85,7 +85,9 @@ def quantile_score(
     per_group = per_value.groupBy(*map(field, keys)).agg(
         F.min("_first").alias("_first"), F.sum("_rows").alias("_rows"), F.count("*").alias("_distinct"))
     if keys:
-        joined = ranked.join(per_group, keys, "left")
+        # Written, its size is known before the join: a small table is broadcast without moving the ranked
+        # rows, a large one is not.
+        joined = ranked.join(stored(per_group, "groups"), keys, "left")
     else:
         one = per_group.first()
         joined = ranked.withColumns(

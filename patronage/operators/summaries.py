@@ -19,6 +19,13 @@ from patronage.errors import InputProblem
 from patronage.functions.dates import date_column, elapsed_days, elapsed_units, moment, unit_days
 from patronage.functions.parse import number_column
 from patronage.operators.ranking import distributed_rank
+from patronage.scratch import stored
+
+# Length of one period as a calendar step.
+PERIOD_STEPS = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "7 days", "day": "1 day"}
+
+# Consecutive rows that one window looks at.
+BLOCK = 65_536
 
 When = str | dt.date | dt.datetime | None
 
@@ -174,20 +181,20 @@ def active_customers_per_period(df: DataFrame, customer: str, date: str, unit: s
     keys = names(keys)
     rows = _log(df, customer, date, *map(field, keys))
     starts = rows.select(*map(field, keys), "_customer", F.date_trunc(unit, F.col("_at")).alias("_period"))
-    # Distinct pairs first: a very active customer shrinks to one row per period before the shuffle.
-    counts = starts.distinct().groupBy(*map(field, keys), "_period").agg(F.count("*").alias("customers"))
-    ends = starts.agg(F.struct(F.min("_period").alias("first"), F.max("_period").alias("last"))).scalar()
-    step = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "7 days",
-            "day": "1 day"}.get(unit)
+    step = PERIOD_STEPS.get(unit)
     if step is None:
-        raise InputProblem(f"Unknown period unit {unit!r}.")
-    span = counts.select(*map(field, keys)).distinct() if keys else df.sparkSession.range(1).select()
-    calendar = span.withColumn("_ends", ends).select(*map(field, keys), F.posexplode(
-        F.sequence(F.col("_ends.first"), F.col("_ends.last"), F.expr(f"interval {step}"))
-    ).alias("period", "_period"))
-    return calendar.join(counts, [*keys, "_period"], "left").select(
-        *map(field, keys), "period", F.col("_period").alias("period_start"),
-        F.coalesce("customers", F.lit(0)).alias("customers"))
+        raise InputProblem(f"Unknown period unit {unit!r}.", f"Use one of {', '.join(PERIOD_STEPS)}.")
+    # Distinct pairs first: a very active customer shrinks to one row per period before the shuffle.
+    counts = starts.distinct().groupBy(*map(field, keys), "_period").agg(F.count("*").alias("_n"))
+    ends = rows.agg(F.struct(F.date_trunc(unit, F.min("_at")).alias("first"),
+                             F.date_trunc(unit, F.max("_at")).alias("last"))).scalar()
+    # One row per (segment, period) is left, so a segment's counts fit a map as long as the calendar.
+    packed = counts.groupBy(*map(field, keys)).agg(
+        F.map_from_entries(F.collect_list(F.struct("_period", "_n"))).alias("_counts")).withColumn("_ends", ends)
+    calendar = F.sequence(F.col("_ends.first"), F.col("_ends.last"), F.expr(f"interval {step}"))
+    return packed.select(*map(field, keys), "_counts", F.posexplode(calendar).alias("period", "period_start")).select(
+        *map(field, keys), "period", "period_start",
+        F.coalesce(F.try_element_at("_counts", F.col("period_start")), F.lit(0)).alias("customers"))
 
 
 def survivor_curve(df: DataFrame, cohort: str, last_period: str, horizon: str) -> DataFrame:
@@ -196,17 +203,19 @@ def survivor_curve(df: DataFrame, cohort: str, last_period: str, horizon: str) -
     One input row per customer: its cohort, the last period it reached (0-based, from the cohort's
     start) and the cohort's last observable period.
     """
-    rows = df.select(field(cohort).alias("_cohort"), field(last_period).cast("int").alias("_last"),
-                     field(horizon).cast("int").alias("_horizon"))
+    observable = field(horizon).cast("int")
+    rows = df.select(field(cohort).alias("_cohort"), observable.alias("_horizon"),
+                     F.least(field(last_period).cast("int"), observable).alias("_last"))
     exits = rows.groupBy("_cohort", "_last").agg(F.count("*").alias("_n"), F.max("_horizon").alias("_horizon"))
-    # One row per (cohort, period) from here: their number follows the calendar, not the customers.
-    span = exits.groupBy("_cohort").agg(F.max("_horizon").alias("_horizon")).select(
-        "_cohort", F.explode(F.sequence(F.lit(0), F.col("_horizon"))).alias("period"))
-    left = span.join(exits.select("_cohort", F.col("_last").alias("period"), "_n"), ["_cohort", "period"], "left")
+    # One row per (cohort, exit period) is left: as many as the calendar has periods, not customers.
+    packed = exits.groupBy("_cohort").agg(
+        F.map_from_entries(F.collect_list(F.struct("_last", "_n"))).alias("_exits"),
+        F.max("_horizon").alias("_horizon"))
+    lost = packed.select("_cohort", "_exits", F.explode(F.sequence(F.lit(0), F.col("_horizon"))).alias("period"))
     later = W.partitionBy("_cohort").orderBy(F.desc("period")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return left.select(
+    return lost.select(
         F.col("_cohort").alias(cohort), "period",
-        F.sum(F.coalesce("_n", F.lit(0))).over(later).alias("survivors"))
+        F.sum(F.coalesce(F.try_element_at("_exits", F.col("period")), F.lit(0))).over(later).alias("survivors"))
 
 
 def acquired_customers(df: DataFrame, period: str, customers: str, retention: float,
@@ -234,25 +243,40 @@ def acquired_customers(df: DataFrame, period: str, customers: str, retention: fl
     )
 
 
+def _with_next(placed: DataFrame, place: str, columns: Sequence[str]) -> DataFrame:
+    """Adds ``_next``: the named columns of the row that follows in the order of ``place`` (1, 2, 3, ...).
+
+    Blocks of consecutive places bound what a window holds. The first row of a block also closes the
+    block before it, as a copy that is dropped again.
+    """
+    block = F.floor((F.col(place) - 1) / F.lit(BLOCK)).cast("long")
+    opens = ((F.col(place) - 1) % F.lit(BLOCK) == 0) & (F.col(place) > 1)
+    copies = F.when(opens, F.array(block, block - 1)).otherwise(F.array(block))
+    in_blocks = placed.withColumn("_own", block).withColumn("_block", F.explode(copies))
+    following = F.lead(F.struct(*columns)).over(W.partitionBy("_block").orderBy(place))
+    return in_blocks.withColumn("_next", following).where(F.col("_own") == F.col("_block")).drop("_own", "_block")
+
+
 def estimate_transitions(df: DataFrame, customer: str, date: str, state: str, tiebreak: str,
                          scenario: str | None = None) -> DataFrame:
     """Share of moves from one state to the next per customer: (scenario, from_state, to_state, prob).
 
     "Next" needs the rows of a customer in time order. A window per customer would put a hot customer
-    into one task; instead rows are ranked over (scenario, customer, time, tie-break) across the whole
-    table and each row meets the one ranked after it in an equi-join.
+    into one task; instead rows are placed in order over (scenario, customer, time, tie-break) across
+    the whole table, and looked at in blocks of equal length.
     """
     who = [] if scenario is None else [field(scenario).alias("_scenario")]
     rows = drop_incomplete(_log(df, customer, date, field(state).alias("_state"),
                                 field(tiebreak).alias("_tie"), *who), "_state")
-    order = [F.col(c) for c in (*(["_scenario"] if who else []), "_customer", "_at", "_tie")]
-    placed = distributed_rank(rows, order, "_place").drop("_at", "_tie")
-    same = [c for c in ("_scenario", "_customer") if c in placed.columns]
-    after = placed.select(*same, F.col("_state").alias("to_state"), (F.col("_place") - 1).alias("_place"))
-    moves = placed.withColumnRenamed("_state", "from_state").join(after, [*same, "_place"])
-    keys = same[:1] if who else []
-    counts = moves.groupBy(*keys, "from_state", "to_state").agg(F.count("*").alias("moves"))
-    # One row per pair of states from here.
+    same = ["_scenario", "_customer"] if who else ["_customer"]
+    placed = distributed_rank(rows, [F.col(c) for c in (*same, "_at", "_tie")], "_place").drop("_at", "_tie")
+    moves = _with_next(placed, "_place", [*same, "_state"])
+    for c in same:
+        moves = moves.where(F.col(c).eqNullSafe(F.col(f"_next.{c}")))
+    keys = same[:-1]
+    counts = moves.groupBy(*keys, F.col("_state").alias("from_state"), F.col("_next._state").alias("to_state")).agg(
+        F.count("*").alias("moves"))
+    # One row per pair of states is left; it is written, because checks and paths read it repeatedly.
     total = F.sum("moves").over(W.partitionBy(*keys, "from_state"))
-    out = counts.withColumn("prob", F.col("moves") / total)
+    out = stored(counts.withColumn("prob", F.col("moves") / total), "transitions")
     return out.withColumnRenamed("_scenario", scenario) if who else out

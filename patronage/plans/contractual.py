@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronage.columns import field, invalid_reason, names
+from patronage.columns import field, names, reason_column
 from patronage.errors import InputProblem
 from patronage.functions.subscription import sbg_retention, sbg_survival
 from patronage.plans.series import pack_series, total
@@ -25,7 +25,7 @@ SHORTEST_CURVE = 3
 RISE = 1e-9
 
 FIT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("alpha", "beta", "log_likelihood")]
-                   + [T.StructField("success", T.BooleanType())])
+                   + [T.StructField(c, T.BooleanType()) for c in ("success", "at_bounds")])
 
 
 def prepare_survivors(df: DataFrame, keys: str | Sequence[str] | None, period: str, survivors: str,
@@ -42,17 +42,13 @@ def prepare_survivors(df: DataFrame, keys: str | Sequence[str] | None, period: s
     falling = F.forall(
         F.zip_with(F.slice("y", 2, F.size("y")), F.col("y"), lambda b, a: F.coalesce(b - a <= RISE, F.lit(True))),
         lambda ok: ok)
-    reason = invalid_reason([
+    reason = reason_column([
         (~F.col("repeats") & (F.size("t") >= SHORTEST_CURVE) & steps,
          "periods must be consecutive whole numbers that begin at 0"),
         (F.forall("y", lambda v: v >= 0) & falling & (F.get("y", F.lit(0)) > 0),
          "survivor counts must not be negative or rise over time"),
-    ])
-    checked = packed.select(*k, F.col("y").alias("survivors"), reason.alias("invalid_reason"))
-    if on_invalid == "null":
-        return checked
-    return checked.select(*k, F.when(F.col("invalid_reason").isNull(), F.col("survivors")).otherwise(
-        F.raise_error("invalid_reason")).alias("survivors"), "invalid_reason")
+    ], on_invalid)
+    return packed.select(*k, F.col("y").alias("survivors"), reason.alias("invalid_reason"))
 
 
 def _climb(curves: list[np.ndarray]) -> pd.DataFrame:
@@ -110,17 +106,17 @@ def _climb(curves: list[np.ndarray]) -> pd.DataFrame:
         damping = np.where(better, np.maximum(damping / 10, 1e-14), np.maximum(damping * 10, 1e-10))
     rows, best = np.arange(len(curves)), value.argmax(1)
     alpha, beta = np.exp(point[rows, best]).T
-    inside = (np.abs(point[rows, best]) < LOG_BOUND).all(1)
+    walled = (np.abs(point[rows, best]) >= LOG_BOUND).any(1)
     return pd.DataFrame({"alpha": alpha, "beta": beta, "log_likelihood": value[rows, best],
-                         "success": done[rows, best] & inside})
+                         "success": done[rows, best], "at_bounds": walled})
 
 
 @F.pandas_udf(FIT)
 def _fit_curves(survivors: pd.Series) -> pd.DataFrame:
     """Alpha and beta per survivor curve; NULL curves give NULL fits."""
     usable = survivors.notna()
-    out = pd.DataFrame({"alpha": np.nan, "beta": np.nan, "log_likelihood": np.nan, "success": None},
-                       index=survivors.index, dtype=object)
+    out = pd.DataFrame({"alpha": np.nan, "beta": np.nan, "log_likelihood": np.nan, "success": None,
+                        "at_bounds": None}, index=survivors.index, dtype=object)
     if usable.any():
         fits = _climb([np.asarray(c, float) for c in survivors[usable]])
         out.loc[usable, :] = fits.set_index(survivors.index[usable]).astype(object)
@@ -140,7 +136,7 @@ def _fitted(df: DataFrame, keys, period: str, survivors: str, on_invalid: str) -
 
 def fit_sbg(df: DataFrame, keys: str | Sequence[str] | None, period: str, survivors: str,
             on_invalid: str = "error") -> DataFrame:
-    """(keys, alpha, beta, log_likelihood, success) per cohort, best of four starts."""
+    """(keys, alpha, beta, log_likelihood, success, at_bounds) per cohort, best of four starts."""
     return _fitted(df, keys, period, survivors, on_invalid).drop("survivors")
 
 

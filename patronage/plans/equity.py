@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronage.columns import field, invalid_reason, names
+from patronage.columns import field, names, reason_column
 from patronage.errors import InputProblem
 from patronage.functions.value import acquisition_curve, clv_infinite
 from patronage.plans.series import pack_series, total
@@ -112,10 +112,7 @@ def fit_acquisition_curve(df: DataFrame, keys: str | Sequence[str] | None, perio
     rows = pack_series(df.where(field(acquired) >= 0), keys, period, acquired)
     rules = [(~F.col("repeats"), "a period comes twice"),
              (F.size("t") >= FEWEST_POINTS, "at least four non-negative acquisition counts are needed")]
-    rows = rows.withColumn("invalid_reason", invalid_reason(rules))
-    if on_invalid == "error":
-        rows = rows.withColumn("t", F.when(F.col("invalid_reason").isNull(), F.col("t")).otherwise(
-            F.raise_error("invalid_reason")))
+    rows = rows.withColumn("invalid_reason", reason_column(rules, on_invalid))
     good = F.col("invalid_reason").isNull()
     fitted = _fit(rows, F.when(good, F.col("t")), F.when(good, F.col("y")), "_c")
     return stored(fitted.select(*k, *[F.when(good, F.col(f"_c.{c}")).alias(c) for c in CURVE.names],
@@ -181,10 +178,7 @@ def customer_equity(df: DataFrame, keys: str | Sequence[str] | None, period: str
         (F.forall("y", lambda v: v >= 0), "customer counts must not be negative"),
         (F.forall("_base", lambda v: v >= BELOW_ZERO), "this retention implies negative acquisitions"),
     ]
-    packed = packed.withColumn("invalid_reason", invalid_reason(rules))
-    if on_invalid == "error":
-        packed = packed.withColumn("_base", F.when(F.col("invalid_reason").isNull(), F.col("_base")).otherwise(
-            F.raise_error("invalid_reason")))
+    packed = packed.withColumn("invalid_reason", reason_column(rules, on_invalid))
     good = F.col("invalid_reason").isNull()
     reachable = good & F.forall("_better", lambda v: v >= BELOW_ZERO)
 

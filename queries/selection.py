@@ -140,13 +140,12 @@ def gini_and_break_even(spark, folder):
 
 
 # A given score to rank by, with many equal values.
-GUESS = 1 / (1 + F.exp(3 - F.col("purchases") / 3))
 GUESS_SQL = "CASE WHEN purchases > 0 THEN round(1 / (1 + exp(3 - purchases / 3)), 9) END"
 
 
 def _guessed(spark, folder):
-    return response_table(spark, folder).withColumn(
-        "predicted", F.when(F.col("purchases") > 0, F.round(GUESS, 9)))
+    guess = F.round(1 / (1 + F.exp(3 - F.col("purchases") / 3)), 9)
+    return response_table(spark, folder).withColumn("predicted", F.when(F.col("purchases") > 0, guess))
 
 
 @query(f"""
