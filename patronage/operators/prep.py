@@ -129,7 +129,7 @@ def profile_table(df: DataFrame, approximate: bool = False) -> DataFrame:
     if not approximate:
         # Hashing first keeps long texts out of the shuffle; 256 bits leave no room for collisions.
         pairs = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("position"), F.sha2(text[n], 256).alias("value"))
+            F.struct(F.lit(i).alias("position"), F.unhex(F.sha2(text[n], 256)).alias("value"))
             for n, i in order.items()])).alias("p")).select("p.*").where(F.col("value").isNotNull())
         distinct = pairs.distinct().groupBy("position").agg(F.count("*").alias("_distinct"))
         described = described.join(distinct, "position", "left").withColumn(

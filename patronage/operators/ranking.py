@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from patronage.columns import field, names, require_columns, require_distinct_roles
 from patronage.errors import InputProblem
 from patronage.functions.parse import number_column
-from patronage.scratch import stored
+from patronage.scratch import settled, stored
 
 # Fixed value: monotonically_increasing_id keeps the partition above this many bits.
 ROW_BITS = 33
 
+# A sketched distinct count above this many times the wanted groups is taken as enough; the sketch is
+# off by a few percent, and exact for so few values.
+SKETCH_MARGIN = 20
+
 ROW_ID, PLACE = "_row_id", "_place"
 
 
@@ -78,20 +82,13 @@ def quantile_score(
     direction = F.desc_nulls_last(number) if higher_is_better else F.asc_nulls_last(number)
     ranked = distributed_rank(numbered, [*map(field, keys), direction, *map(field, ties)], PLACE)
 
-    # Per group: where it starts, how many rows, how many distinct values. Two-level aggregation, so
-    # a value held by a third of all rows is merged before it is shuffled.
-    per_value = ranked.where(F.col(number).isNotNull()).groupBy(*map(field, keys), number).agg(
-        F.min(PLACE).alias("_first"), F.count("*").alias("_rows"))
-    per_group = per_value.groupBy(*map(field, keys)).agg(
-        F.min("_first").alias("_first"), F.sum("_rows").alias("_rows"), F.count("*").alias("_distinct"))
+    per_group = _group_facts(ranked, keys, number, groups)
     if keys:
-        # Written, its size is known before the join: a small table is broadcast without moving the ranked
-        # rows, a large one is not.
-        joined = ranked.join(stored(per_group, "groups"), keys, "left")
+        joined = ranked.join(per_group, keys, "left")
     else:
         one = per_group.first()
-        joined = ranked.withColumns(
-            {c: F.lit(one[c]).cast("long") for c in ("_first", "_rows", "_distinct")})
+        facts = ("_first", "_rows", "_distinct")
+        joined = ranked.withColumns({c: F.lit(one[c] if one else None).cast("long") for c in facts})
     bins = F.least(F.lit(groups).cast("long"), F.col("_rows"), F.col("_distinct"))
     rank = F.col(PLACE) - F.col("_first") + 1
     binned = F.when(bins <= 1, F.lit(1)).otherwise(quantile_bin(rank, F.col("_rows"), bins))
@@ -100,6 +97,29 @@ def quantile_score(
     ).select(*map(field, df.columns), field(score))
 
 
+def _group_facts(ranked: DataFrame, keys: list[str], number: str, groups: int) -> DataFrame:
+    """Per group: where it starts, how many readable rows it has, and how many distinct values.
+
+    The distinct count matters only when it is below ``groups``. A sketch in the same pass shows which
+    groups can be that poor; only those are counted exactly, and having few values they shrink to a
+    few rows per task before they are shuffled.
+    """
+    by = [field(k) for k in keys]
+    readable = ranked.where(F.col(number).isNotNull())
+    facts = settled(readable.groupBy(*by).agg(
+        F.min(PLACE).alias("_first"), F.count("*").alias("_rows"),
+        F.approx_count_distinct(number).alias("_distinct")).where(F.col("_rows") > 0), "groups")
+    poor = facts.where(F.col("_distinct") <= SKETCH_MARGIN * groups)
+    if poor.isEmpty():
+        return facts
+    exact = readable.join(poor.select(*by), keys, "left_semi") if keys else readable
+    counted = exact.select(*by, number).distinct().groupBy(*by).agg(F.count("*").alias("_counted"))
+    if not keys:
+        return facts.withColumn("_distinct", counted.select("_counted").scalar())
+    both = facts.join(counted, keys, "left")
+    return settled(both.withColumn("_distinct", F.coalesce("_counted", "_distinct")).drop("_counted"), "groups")
+
+
 def rfm_scores(
     df: DataFrame,
     recency: str,

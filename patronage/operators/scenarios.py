@@ -27,8 +27,8 @@ MODELS = ("infinite", "finite", "growth", "timed")
 # but 1e-5 of its ceiling.
 SPEND_FACTOR = 10
 CEILING_GAP = 1e-5
-# Halvings of the search interval; 80 take any double interval below its last digit.
-HALVINGS = 80
+# Steps that take y + ln y = c to the last digit for any c.
+NEWTON_STEPS = 12
 
 
 def clv_summary(df: DataFrame, margin, retention, discount, acquisition_cost=0.0, model: str = "infinite",
@@ -62,18 +62,14 @@ def clv_summary(df: DataFrame, margin, retention, discount, acquisition_cost=0.0
     })
 
 
-def _halve(low: Column, high: Column, still_rising) -> Column:
-    """Zero of a falling function by repeated halving, as one expression per row."""
-    def step(s, _):
-        middle = (s["low"] + s["high"]) / 2
-        rising = still_rising(middle)
-        return F.struct(F.when(rising, middle).otherwise(s["low"]).alias("low"),
-                        F.when(rising, s["high"]).otherwise(middle).alias("high"))
+def _plus_log(total: Column) -> Column:
+    """The y > 0 with y + ln y = total (Lambert's W of e^total), by Newton's method within the row.
 
-    # The bounds must be non-null doubles of one type for the fold.
-    start = F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step,
-                       lambda s: (s["low"] + s["high"]) / 2)
+    After one step the iterates rise to the solution, and digits double from step to step.
+    """
+    start = F.when(total > 1, total).otherwise(F.exp(total))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start,
+                       lambda y, _: y * (1 + total - F.log(y)) / (1 + y))
 
 
 def optimize_budgets(df: DataFrame, acquisition_spend, acquisition_rate, acquisition_ceiling, retention_spend,
@@ -82,9 +78,10 @@ def optimize_budgets(df: DataFrame, acquisition_spend, acquisition_rate, acquisi
 
     With a(A) and r(R) the two ceiling curves, value = a(A)·(m + V(R)) − A, V(R) = (m·r − R)/(1+d−r).
     So R maximises V alone: V' has the sign of r'(R)·(m(1+d) − R) − (1+d−r(R)), which only falls while
-    R < m(1+d) and is negative beyond. Given V, the best A solves a'(A)·(m+V) = 1 in closed form. Both
-    are exact maxima, held within the search box. A discount of (ceiling − 1) or less would let
-    the value grow without bound, and is reported as invalid.
+    R < m(1+d) and is negative beyond. With r' = beta·(ceiling − r), its zero is
+    R = m(1+d) − (y+1)/beta, where y + ln y = beta·m(1+d) − 1 + ln((1+d−ceiling)/ceiling). Given V, the best
+    A solves a'(A)·(m+V) = 1, again in closed form. Both are exact maxima, held within the search box. A
+    discount of (ceiling − 1) or less would let the value grow without bound, and is reported as invalid.
     """
     a0, ra, ca, r0, rr, cr, m, d = (as_column(c).cast("double") for c in (
         acquisition_spend, acquisition_rate, acquisition_ceiling, retention_spend, retention_rate,
@@ -105,13 +102,12 @@ def optimize_budgets(df: DataFrame, acquisition_spend, acquisition_rate, acquisi
     top_a = F.greatest(a0 * SPEND_FACTOR, reach / ba)
     top_r = F.greatest(r0 * SPEND_FACTOR, reach / br)
 
-    def rising(R):
-        # r'(R) = br·(ceiling − r(R))
-        r = ceiling_rate(R, cr, br)
-        return br * (cr - r) * (m * (1 + d) - R) > 1 + d - r
-
-    upper = F.greatest(F.lit(0.0), F.least(top_r, m * (1 + d)))
-    best_r = F.when(good, F.when(cr * br * m > 1, _halve(F.lit(0.0), upper, rising)).otherwise(F.lit(0.0)))
+    reached = m * (1 + d)
+    spread = F.when(good, F.log(F.when(good, (1 + d - cr) / cr)))
+    out = out.withColumn("_y", F.when(cr * br * m > 1, _plus_log(br * reached - 1 + spread)))
+    # Without a rise at zero spend there is no inner zero (least and greatest would skip the NULL).
+    inner = F.greatest(F.lit(0.0), F.least(top_r, reached - (F.col("_y") + 1) / br))
+    best_r = F.when(good, F.when(F.col("_y").isNull(), F.lit(0.0)).otherwise(inner))
     out = out.withColumn("optimal_retention_spend", best_r)
     R = F.col("optimal_retention_spend")
     r = ceiling_rate(R, cr, br)
@@ -130,4 +126,4 @@ def optimize_budgets(df: DataFrame, acquisition_spend, acquisition_rate, acquisi
         "optimal_retention_rate": F.col("_then.retention_rate"),
         "improvement_pct": (will / F.when(was != 0, was) - 1) * 100,
         "invalid_reason": guarded(F.lit(None).cast("string"), rules, "error") if on_invalid == "error" else reason,
-    }).drop("_now", "_then")
+    }).drop("_now", "_then", "_y")

@@ -19,7 +19,7 @@ from patronage.errors import InputProblem
 from patronage.functions.dates import date_column, elapsed_days, elapsed_units, moment, unit_days
 from patronage.functions.parse import number_column
 from patronage.operators.ranking import distributed_rank
-from patronage.scratch import stored
+from patronage.scratch import settled
 
 # Length of one period as a calendar step.
 PERIOD_STEPS = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "7 days", "day": "1 day"}
@@ -47,6 +47,10 @@ def _log(df: DataFrame, customer: str, date: str, *others: Column) -> DataFrame:
     return drop_incomplete(rows, "_customer", "_at")
 
 
+def _period_start(unit: str, at: Column) -> Column:
+    return F.date_trunc(unit, at).cast("timestamp_ntz")
+
+
 def _last(rows: DataFrame, end: When) -> Column:
     """Observation end: the given moment, else the latest date as a scalar subquery."""
     return moment(end) if end is not None else rows.agg(F.max("_at")).scalar()
@@ -140,7 +144,7 @@ def binary_periods(df: DataFrame, customer: str, date: str, unit: str, periods:
     """
     starts = [dt.date.fromisoformat(p) if isinstance(p, str) else p for p in periods]
     rows = _log(df, customer, date)
-    period = F.date_trunc(unit, F.col("_at")).cast("date")
+    period = _period_start(unit, F.col("_at")).cast("date")
     flags = [F.max(F.when(period == F.lit(p), 1).otherwise(0)).alias(f"p_{p.isoformat()}") for p in starts]
     return rows.groupBy(F.col("_customer").alias(customer)).agg(*flags)
 
@@ -180,14 +184,14 @@ def active_customers_per_period(df: DataFrame, customer: str, date: str, unit: s
     """
     keys = names(keys)
     rows = _log(df, customer, date, *map(field, keys))
-    starts = rows.select(*map(field, keys), "_customer", F.date_trunc(unit, F.col("_at")).alias("_period"))
+    starts = rows.select(*map(field, keys), "_customer", _period_start(unit, F.col("_at")).alias("_period"))
     step = PERIOD_STEPS.get(unit)
     if step is None:
         raise InputProblem(f"Unknown period unit {unit!r}.", f"Use one of {', '.join(PERIOD_STEPS)}.")
     # Distinct pairs first: a very active customer shrinks to one row per period before the shuffle.
     counts = starts.distinct().groupBy(*map(field, keys), "_period").agg(F.count("*").alias("_n"))
-    ends = rows.agg(F.struct(F.date_trunc(unit, F.min("_at")).alias("first"),
-                             F.date_trunc(unit, F.max("_at")).alias("last"))).scalar()
+    ends = rows.agg(F.struct(_period_start(unit, F.min("_at")).alias("first"),
+                             _period_start(unit, F.max("_at")).alias("last"))).scalar()
     # One row per (segment, period) is left, so a segment's counts fit a map as long as the calendar.
     packed = counts.groupBy(*map(field, keys)).agg(
         F.map_from_entries(F.collect_list(F.struct("_period", "_n"))).alias("_counts")).withColumn("_ends", ends)
@@ -204,8 +208,9 @@ def survivor_curve(df: DataFrame, cohort: str, last_period: str, horizon: str) -
     start) and the cohort's last observable period.
     """
     observable = field(horizon).cast("int")
-    rows = df.select(field(cohort).alias("_cohort"), observable.alias("_horizon"),
-                     F.least(field(last_period).cast("int"), observable).alias("_last"))
+    known = df.where(field(last_period).isNotNull() & field(horizon).isNotNull())
+    rows = known.select(field(cohort).alias("_cohort"), observable.alias("_horizon"),
+                        F.least(field(last_period).cast("int"), observable).alias("_last"))
     exits = rows.groupBy("_cohort", "_last").agg(F.count("*").alias("_n"), F.max("_horizon").alias("_horizon"))
     # One row per (cohort, exit period) is left: as many as the calendar has periods, not customers.
     packed = exits.groupBy("_cohort").agg(
@@ -276,7 +281,7 @@ def estimate_transitions(df: DataFrame, customer: str, date: str, state: str, ti
     keys = same[:-1]
     counts = moves.groupBy(*keys, F.col("_state").alias("from_state"), F.col("_next._state").alias("to_state")).agg(
         F.count("*").alias("moves"))
-    # One row per pair of states is left; it is written, because checks and paths read it repeatedly.
+    # One row per pair of states is left; it is kept, because checks and paths read it repeatedly.
     total = F.sum("moves").over(W.partitionBy(*keys, "from_state"))
-    out = stored(counts.withColumn("prob", F.col("moves") / total), "transitions")
+    out = settled(counts.withColumn("prob", F.col("moves") / total), "transitions")
     return out.withColumnRenamed("_scenario", scenario) if who else out

@@ -19,7 +19,7 @@ from patronage.functions.bgbb import (
 )
 from patronage.functions.parse import number_column
 from patronage.plans.newton import Derivatives, maximise, points_column
-from patronage.scratch import stored
+from patronage.scratch import settled
 
 # Bounds of the log parameters, and the four starts (alpha, beta, gamma, delta).
 LOG_BOUNDS = (-12.0, 12.0)
@@ -58,7 +58,7 @@ def read_histories(df: DataFrame, n: str, tx: str, x: str, weight: str | None =
 
 def compressed_histories(rows: DataFrame) -> DataFrame:
     """Distinct (n, tx, x) with their weight, checked: at most about n²/2 rows per n, for any number of customers."""
-    histories = stored(rows.groupBy("_n", "_tx", "_x").agg(
+    histories = settled(rows.groupBy("_n", "_tx", "_x").agg(
         F.sum("_w").alias("weight"), F.min("_w").alias("least_weight")), "bgbb-histories")
     reason = invalid_reason([*bgbb_rules("_n", "_tx", "_x"),
                              (F.col("least_weight") >= 0, "weights must not be negative")])

@@ -22,7 +22,7 @@ from patronage.functions.special import (
     trigamma,
 )
 from patronage.plans.newton import Derivatives, maximise, points_column
-from patronage.scratch import stored
+from patronage.scratch import settled
 
 # Bounds of the log parameters, and the four starts as (r, alpha per median T, a, b).
 LOG_BOUNDS = (-12.0, 16.0)
@@ -60,8 +60,8 @@ def read_histories(df: DataFrame, x: str, tx: str, T: str, weight: str | None =
 
 
 def compressed_histories(rows: DataFrame) -> DataFrame:
-    """Distinct histories with their summed weight, written once; this is all a fit reads again."""
-    return stored(rows.groupBy("_x", "_tx", "_T").agg(
+    """Distinct histories with their summed weight, computed once; this is all a fit reads again."""
+    return settled(rows.groupBy("_x", "_tx", "_T").agg(
         F.sum("_w").alias("weight"), F.min("_w").alias("least_weight")), "bgnbd-histories")
 
 
@@ -79,13 +79,6 @@ def validate_bgnbd(histories: DataFrame) -> float:
     return found["median"]
 
 
-def _dot(*pairs) -> Column:
-    total = pairs[0][0] * pairs[0][1]
-    for left, right in pairs[1:]:
-        total = total + left * right
-    return total
-
-
 class _Likelihood:
     """Σ w·ln L with exact first and second derivatives, for several points in one aggregation.
 
@@ -97,7 +90,7 @@ class _Likelihood:
     """
 
     def __init__(self, histories: DataFrame):
-        histogram = stored(histories.groupBy("_x").agg(F.sum("weight").alias("count")), "bgnbd-histogram")
+        histogram = settled(histories.groupBy("_x").agg(F.sum("weight").alias("count")), "bgnbd-histogram")
         none = F.lit(None).cast("double")
         self.table = histories.select("_x", "_tx", "_T", "weight", none.alias("count")).unionByName(
             histogram.select("_x", none.alias("_tx"), none.alias("_T"), none.alias("weight"), "count"))
@@ -107,7 +100,7 @@ class _Likelihood:
     @staticmethod
     def _steps() -> list[dict[str, Column]]:
         """What each history contributes, in columns that build on one another."""
-        x, never = F.col("_x"), F.lit(0.0)
+        x, w, never = F.col("_x"), F.col("weight"), F.lit(0.0)
         # No logarithm exists for a fractional x with b+x < 1: NaN makes the optimiser reject the point.
         odds = F.coalesce(F.log(F.col("a") * -F.col("v_b")), F.lit(float("nan")))
         return [
@@ -119,44 +112,40 @@ class _Likelihood:
             {"p": F.when(x > 0, 1 / (1 + F.exp(-F.col("gap")))).otherwise(never),
              # ln(e^u + e^v) = u + ln(1 + e^(v−u)), in the form that does not overflow.
              "mix": -F.col("rx") * F.col("log_T") + F.coalesce(
-                 F.greatest(F.col("gap"), never) + F.log1p(F.exp(-F.abs("gap"))), never)},
+                 F.greatest(F.col("gap"), never) + F.log1p(F.exp(-F.abs("gap"))), never),
+             # Derivatives of u and v by r are −ln(α+T) and −ln(α+tx), by alpha these two:
+             "u_al": -F.col("rx") / F.col("end"), "v_al": -F.col("rx") / F.col("last")},
+            # Weight of having dropped out and of not, their product, and the differences of derivatives.
+            {"wp": w * F.col("p"), "wq": w * (1 - F.col("p")), "ws": w * F.col("p") * (1 - F.col("p")),
+             "d_r": F.col("log_T") - F.col("log_tx"), "d_al": F.col("v_al") - F.col("u_al")},
+            {"s_r": F.col("ws") * F.col("d_r"), "s_al": F.col("ws") * F.col("d_al"),
+             "s_a": F.col("ws") * F.col("v_a"), "s_b": F.col("ws") * F.col("v_b")},
         ]
 
     @staticmethod
     def _sums() -> list[Column]:
-        x, w, n = F.col("_x"), F.col("weight"), F.col("count")
-        p = F.col("p")  # probability weight of having dropped out
-        sums = {"mix": F.sum(w * F.col("mix"))}
-        # Derivatives of u and v: by r, alpha, and (v only) a and b.
-        ur, vr = -F.col("log_T"), -F.col("log_tx")
-        ua, va = -F.col("rx") / F.col("end"), -F.col("rx") / F.col("last")
-        vx = F.col("v_a")
-        vb = F.col("v_b")
-        q = 1 - p
-        s = p * q
-        dr, da = vr - ur, va - ua
-        sums["g_r"] = F.sum(w * _dot((q, ur), (p, vr)))
-        sums["g_al"] = F.sum(w * _dot((q, ua), (p, va)))
-        sums["g_a"] = F.sum(w * p * vx)
-        sums["g_b"] = F.sum(w * p * vb)
-        sums["h_r_r"] = F.sum(w * s * dr * dr)
-        # u and v also bend themselves: d2u/dr dα = −1/(α+T), d2u/dα2 = (r+x)/(α+T)^2, and so for v.
-        sums["h_r_al"] = F.sum(w * (s * dr * da - q / F.col("end") - p / F.col("last")))
-        sums["h_al_al"] = F.sum(w * (s * da * da + q * F.col("rx") / (F.col("end") * F.col("end"))
-                                     + p * F.col("rx") / (F.col("last") * F.col("last"))))
-        sums["h_r_a"] = F.sum(w * s * dr * vx)
-        sums["h_r_b"] = F.sum(w * s * dr * vb)
-        sums["h_al_a"] = F.sum(w * s * da * vx)
-        sums["h_al_b"] = F.sum(w * s * da * vb)
-        sums["h_a_a"] = F.sum(w * (s * vx * vx - p * vx * vx))
-        sums["h_a_b"] = F.sum(w * s * vx * vb)
-        sums["h_b_b"] = F.sum(w * (s * vb * vb + p * vb * vb))
+        c = F.col
+        n, x = c("count"), c("_x")
+        wp, wq = c("wp"), c("wq")
+        sums = {
+            "mix": c("weight") * c("mix"),
+            "g_r": -wq * c("log_T") - wp * c("log_tx"), "g_al": wq * c("u_al") + wp * c("v_al"),
+            "g_a": wp * c("v_a"), "g_b": wp * c("v_b"),
+            "h_r_r": c("s_r") * c("d_r"),
+            # u and v also bend themselves: d2u/dr dα = −1/(α+T), d2u/dα2 = (r+x)/(α+T)^2, and so for v.
+            "h_r_al": c("s_r") * c("d_al") - wq / c("end") - wp / c("last"),
+            "h_al_al": c("s_al") * c("d_al") - wq * c("u_al") / c("end") - wp * c("v_al") / c("last"),
+            "h_r_a": c("s_r") * c("v_a"), "h_r_b": c("s_r") * c("v_b"),
+            "h_al_a": c("s_al") * c("v_a"), "h_al_b": c("s_al") * c("v_b"),
+            "h_a_a": (c("s_a") - wp * c("v_a")) * c("v_a"), "h_a_b": c("s_a") * c("v_b"),
+            "h_b_b": (c("s_b") + wp * c("v_b")) * c("v_b"),
+            "gamma": n * (log_gamma(c("r") + x) + log_gamma(c("b") + x) - log_gamma(c("ab") + x)),
+        }
         for name in ("r", "b", "ab"):
-            z = F.col(name) + x
-            sums[f"l_{name}"] = F.sum(F.when(n.isNotNull(), n * log_gamma(z)))
-            sums[f"d_{name}"] = F.sum(F.when(n.isNotNull(), n * digamma(z)))
-            sums[f"t_{name}"] = F.sum(F.when(n.isNotNull(), n * trigamma(z)))
-        return [c.alias(k) for k, c in sums.items()]
+            sums[f"psi_{name}"] = n * digamma(c(name) + x)
+            sums[f"tri_{name}"] = n * trigamma(c(name) + x)
+        # Rows of the histogram have no weight and rows of the histories no count: NULL adds nothing.
+        return [F.sum(value).alias(name) for name, value in sums.items()]
 
     def __call__(self, logs: np.ndarray) -> list[Derivatives]:
         points = [np.exp(v) for v in logs]
@@ -170,22 +159,20 @@ class _Likelihood:
     def _derivatives(self, point: np.ndarray, s) -> Derivatives:
         r, al, a, b = point
         W = self.weight
-        zero = _gamma_terms(r), _gamma_terms(b), _gamma_terms(a + b)
-        (l_r, d_r, t_r), (l_b, d_b, t_b), (l_ab, d_ab, t_ab) = zero
-        value = s["mix"] + s["l_r"] - W * l_r + W * r * math.log(al) \
-            + s["l_b"] - W * l_b - s["l_ab"] + W * l_ab
-        by_ab, bend_ab = W * d_ab - s["d_ab"], W * t_ab - s["t_ab"]
+        (l_r, d_r, t_r), (l_b, d_b, t_b), (l_ab, d_ab, t_ab) = (_gamma_terms(z) for z in (r, b, a + b))
+        value = s["mix"] + s["gamma"] + W * (r * math.log(al) - l_r - l_b + l_ab)
+        by_ab, bend_ab = W * d_ab - s["psi_ab"], W * t_ab - s["tri_ab"]
         g = np.array([
-            s["g_r"] + s["d_r"] - W * d_r + W * math.log(al),
+            s["g_r"] + s["psi_r"] - W * d_r + W * math.log(al),
             s["g_al"] + W * r / al,
             s["g_a"] + by_ab,
-            s["g_b"] + by_ab + s["d_b"] - W * d_b,
+            s["g_b"] + by_ab + s["psi_b"] - W * d_b,
         ])
         h = np.array([
-            [s["h_r_r"] + s["t_r"] - W * t_r, s["h_r_al"] + W / al, s["h_r_a"], s["h_r_b"]],
+            [s["h_r_r"] + s["tri_r"] - W * t_r, s["h_r_al"] + W / al, s["h_r_a"], s["h_r_b"]],
             [0, s["h_al_al"] - W * r / al**2, s["h_al_a"], s["h_al_b"]],
             [0, 0, s["h_a_a"] + bend_ab, s["h_a_b"] + bend_ab],
-            [0, 0, 0, s["h_b_b"] + bend_ab + s["t_b"] - W * t_b],
+            [0, 0, 0, s["h_b_b"] + bend_ab + s["tri_b"] - W * t_b],
         ])
         h = h + np.triu(h, 1).T
         # In log parameters: d/dφ = θ·d/dθ.

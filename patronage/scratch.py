@@ -39,3 +39,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows up to which a narrow table travels inside the plan.
+SMALL_TABLE = 10_000
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """A narrow table, computed once: up to 10,000 rows as part of the plan, more of them as ``stored``.
+
+    Either way its size is known, so a join with it is broadcast exactly when it is small.
+    """
+    rows = df.limit(SMALL_TABLE + 1).collect()
+    if len(rows) > SMALL_TABLE:
+        return stored(df, label)
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -57,15 +57,15 @@ def read_json_tables(spark: SparkSession, path, schema: T.StructType | str | Non
     and its plain values become the one-row table ``summary``. A bare value is ``data`` with the
     column ``value``. A byte order mark is skipped.
     """
-    head = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("value", r"^[﻿\s]*(.)", 1).alias("first")).first()
+    head = spark.read.text(path).select(F.regexp_extract("value", r"^[\uFEFF\s]*(\S)", 1).alias("first")).where(
+        F.col("first") != "").first()
     if head is None:
         raise InputProblem(f"Nothing to read at {path}.")
     if head["first"] == "[":
         return {"data": read_json_records(spark, path, schema)}
     if head["first"] != "{":
         text = spark.read.text(path, wholetext=True)
-        bare = F.trim(F.regexp_replace("value", "^﻿", ""))
+        bare = F.trim(F.regexp_replace("value", r"^\uFEFF", ""))
         unquoted = F.regexp_replace(bare, r'^"|"$', "")
         return {"data": text.select(F.when(bare != "null", unquoted).alias("value"))}
     reader = spark.read.option("multiLine", True)
