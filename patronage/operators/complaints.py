@@ -35,28 +35,30 @@ def complaint_summary(df: DataFrame, customer: str, date: str, event_type: str,
         rows = rows.where(F.col("_at") <= moment(end))
     final = moment(end) if end is not None else rows.agg(F.max("_at")).scalar()
 
-    # The largest (time, is complaint) pair: its second part is true when any row at the last
-    # moment is a complaint.
+    # A complaint stands at the last moment exactly when the last complaint is as late as the last event.
+    # All totals are fixed-width numbers, so both steps stay hash aggregations.
     per_day = rows.groupBy("_customer", F.to_date("_at").alias("_day")).agg(
         F.count_if("_buy").alias("buys"),
         F.count_if("_moan").alias("moans"),
         F.min(F.when(F.col("_buy"), F.col("_at"))).alias("first_buy"),
-        F.max(F.struct("_at", "_moan")).alias("newest"),
+        F.max("_at").alias("last_event"),
+        F.max(F.when(F.col("_moan"), F.col("_at"))).alias("last_moan"),
     )
     per_customer = per_day.groupBy("_customer").agg(
         F.sum("buys").alias("buys"),
         F.sum(F.when(F.col("buys") > 0, F.col("moans")).otherwise(0)).alias("with_buy"),
         F.sum(F.when(F.col("buys") == 0, F.col("moans")).otherwise(0)).alias("alone"),
         F.min("first_buy").alias("first_buy"),
-        F.max("newest").alias("newest"),
+        F.max("last_event").alias("last_event"),
+        F.max("last_moan").alias("last_moan"),
     ).where(F.col("buys") > 0).withColumn("_end", final)
     return per_customer.select(
         F.col("_customer").alias(customer),
         (F.col("buys") - 1).alias("xp_repeat_purchases"),
         F.col("with_buy").alias("xc_given_p_same_day_complaints"),
         F.col("alone").alias("xc_other_complaints"),
-        elapsed_units(F.col("newest._at"), F.col("first_buy"), unit).alias("tx_last_event"),
-        F.col("newest._moan").cast("int").alias("zc_last_event_involves_complaint"),
+        elapsed_units(F.col("last_event"), F.col("first_buy"), unit).alias("tx_last_event"),
+        F.coalesce(F.col("last_moan") == F.col("last_event"), F.lit(False)).cast("int").alias("zc_last_event_involves_complaint"),
         elapsed_units(F.col("_end"), F.col("first_buy"), unit).alias("T_observation_length"),
     )
 

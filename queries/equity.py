@@ -57,12 +57,12 @@ def acquisition_curves(spark, folder):
 def _valued(spark, folder):
     return plan.customer_equity(
         counts(spark, folder), "c_mktsegment", "period", "customers", acquisition_cost=120.0, margin=100.0,
-        retention=0.5, discount=0.1, tax_rate=0.38, forecast_periods=100, periods_per_year=4, on_invalid="null")
+        retention=0.3, discount=0.1, tax_rate=0.38, forecast_periods=100, periods_per_year=4, on_invalid="null")
 
 
 @query()
 def acquisition_curve_fits(spark, folder):
-    acquired = acquired_customers(counts(spark, folder), "period", "customers", 0.5, "c_mktsegment", "null")
+    acquired = acquired_customers(counts(spark, folder), "period", "customers", 0.3, "c_mktsegment", "null")
     return plan.fit_acquisition_curve(acquired, "c_mktsegment", "period", "acquired")
 
 

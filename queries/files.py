@@ -157,10 +157,17 @@ def parquet_by_segment(spark, folder):
     return readers.read_parquet_table(spark, path)
 
 
-@query("""
-SELECT * FROM (VALUES ('l_linenumber'), ('l_quantity'), ('l_discount'), ('l_tax'), ('l_linestatus'))
-  AS p(predictor) WHERE (SELECT count(*) FROM lineitem) > 0""")
+def _count_sql(columns: list[str], numeric: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS predictor, {numeric} AS numeric, count(DISTINCT {c}) AS levels, count({c}) AS present "
+        "FROM lineitem" for c in columns)
+
+
+@query(f"""
+WITH counts AS ({_count_sql(["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                             "l_tax"], "true")} UNION ALL {_count_sql(["l_linestatus", "l_shipdate"], "false")})
+SELECT predictor FROM counts WHERE levels > 1 AND levels <> present AND (numeric OR levels <= 20)""")
 def usable_predictors(spark, folder):
-    lines = table(spark, folder, "lineitem").drop("l_partkey", "l_suppkey", "l_extendedprice", "l_orderkey")
-    chosen = prep.usable_predictors(lines, "l_returnflag", ids=["l_shipdate"])
+    """What could explain the return flag: every column but the key that is neither constant nor unique."""
+    chosen = prep.usable_predictors(table(spark, folder, "lineitem"), "l_returnflag", ids=["l_orderkey"], limit=9)
     return spark.createDataFrame([(c,) for c in chosen], "predictor string")

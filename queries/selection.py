@@ -204,6 +204,47 @@ def complete_rows(spark, folder):
 PREDICTORS = ["recency_days", "purchases", "average_amount", "c_acctbal", "c_mktsegment"]
 
 
+@query(f"""
+WITH {RESPONSE_SQL},
+g AS (SELECT c_mktsegment AS level, count(*) AS n, avg(response) AS p FROM response_table GROUP BY 1),
+f AS (SELECT * FROM g ORDER BY level LIMIT 1),
+c AS (SELECT 'const' AS term, ln(p / (1 - p)) AS coefficient, sqrt(1 / (n * p * (1 - p))) AS std_error FROM f
+      UNION ALL
+      SELECT 'c_mktsegment_' || g.level, ln(g.p / (1 - g.p)) - ln(f.p / (1 - f.p)),
+             sqrt(1 / (g.n * g.p * (1 - g.p)) + 1 / (f.n * f.p * (1 - f.p))) FROM g, f WHERE g.level <> f.level)
+SELECT term, round(coefficient, 5) AS coefficient, round(std_error, 5) AS std_error,
+       round(power(coefficient / std_error, 2), 3) AS wald, round(exp(coefficient), 5) AS odds_ratio FROM c""")
+def logistic_by_segment(spark, folder):
+    """With one text predictor the likelihood has a closed solution: the segments' response rates."""
+    table_ = models.fit_logistic(response_table(spark, folder), "response", ["c_mktsegment"]).coefficients
+    return table_.select("term", F.round("wald", 3).alias("wald"), *[
+        F.round(c, 5).alias(c) for c in ("coefficient", "std_error", "odds_ratio")])
+
+
+@query(f"""
+WITH {RESPONSE_SQL}
+SELECT c_custkey, round(avg(response) OVER (PARTITION BY c_mktsegment), 6) AS predicted_probability
+FROM response_table""")
+def logistic_scores_by_segment(spark, folder):
+    scored = models.fit_logistic(response_table(spark, folder), "response", ["c_mktsegment"]).scored
+    return rounded(scored.select("c_custkey", "predicted_probability"))
+
+
+@query(f"""
+WITH {RESPONSE_SQL},
+v AS (SELECT purchases, count(*) AS n, sum(response) AS k FROM response_table GROUP BY purchases),
+c AS (SELECT purchases AS cut, sum(n) OVER (ORDER BY purchases) AS n1, sum(k) OVER (ORDER BY purchases) AS k1,
+             sum(n) OVER () AS n, sum(k) OVER () AS k FROM v),
+best AS (SELECT *, k1 * (1 - k1 / n1) + (k - k1) * (1 - (k - k1) / (n - n1)) AS impurity
+         FROM c WHERE n1 >= 10 AND n - n1 >= 10 ORDER BY impurity, cut LIMIT 1)
+SELECT c_custkey, round(CASE WHEN purchases <= cut THEN k1 / n1 ELSE (k - k1) / (n - n1) END, 6)
+         AS predicted_probability FROM response_table, best""")
+def tree_with_one_split(spark, folder):
+    """The best of all splits by earlier purchases, found in SQL by trying each."""
+    fitted = models.fit_decision_tree(response_table(spark, folder), "response", ["purchases"], 1, 10)
+    return rounded(fitted.scored.select("c_custkey", "predicted_probability"))
+
+
 @query()
 def logistic_coefficients(spark, folder):
     return models.fit_logistic(response_table(spark, folder), "response", PREDICTORS).coefficients

@@ -1,4 +1,9 @@
-"""Every query with SQL gives the rows DuckDB gives, at two scales; every other query gives rows."""
+"""Every query with SQL gives the rows DuckDB gives; every other query gives rows.
+
+FULL=1 adds the tables ten times as large.
+"""
+
+import os
 
 import pytest
 
@@ -18,6 +23,7 @@ def test_small_tables_agree(spark, databases, name):
     assert compare.differences(spark, SMALL, name, databases[SMALL]) is None
 
 
+@pytest.mark.skipif(not os.environ.get("FULL"), reason="set FULL=1")
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_medium_tables_agree(spark, databases, name):
     assert compare.differences(spark, MEDIUM, name, databases[MEDIUM]) is None
@@ -25,7 +31,7 @@ def test_medium_tables_agree(spark, databases, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_fits_give_rows(spark, name):
-    assert not entry.queries()[name](spark, MEDIUM).isEmpty()
+    assert not entry.queries()[name](spark, SMALL).isEmpty()
 
 
 def test_every_sql_has_its_query():

