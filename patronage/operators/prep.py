@@ -25,18 +25,26 @@ def _samples(df: DataFrame, column: str) -> str:
     return ", ".join(f"'{r['v'][:40]}'" for r in rows) or "no values"
 
 
+def require_numbers(df: DataFrame, labels: dict[str, str], minimum_rows: int = 1) -> None:
+    """Every named column must hold enough readable numbers; one pass over all of them."""
+    found = df.agg(F.count("*").alias("rows"), *[
+        F.count(number_column(df, c)).alias(f"_{i}") for i, c in enumerate(labels)]).first()
+    for i, (column, label) in enumerate(labels.items()):
+        usable = found[f"_{i}"]
+        if not usable:
+            raise InputProblem(
+                f"No cell of '{column}' ({label}) reads as a number; it holds {_samples(df, column)}.",
+                "Take out currency signs, blanks and decimal commas before loading.")
+        if usable < minimum_rows:
+            raise InputProblem(f"'{column}' ({label}) has {usable:,} readable numbers in {found['rows']:,} rows; "
+                               f"at least {minimum_rows} are needed.")
+
+
 def coerce_numeric(df: DataFrame, column: str, label: str | None = None, minimum_rows: int = 1) -> DataFrame:
     """The table with ``column`` as DOUBLE; unreadable cells turn NULL. Too few readable rows is an error."""
-    label = label or column
-    out = df.withColumn(column, number_column(df, column))
-    usable, rows = out.agg(F.count(field(column)), F.count("*")).first()
-    if usable == 0:
-        raise InputProblem(f"No cell of '{column}' ({label}) reads as a number; it holds {_samples(df, column)}.",
-                           "Take out currency signs, blanks and decimal commas before loading.")
-    if usable < minimum_rows:
-        raise InputProblem(f"'{column}' ({label}) has {usable:,} readable numbers in {rows:,} rows; "
-                           f"at least {minimum_rows} are needed.")
-    return out
+    require_columns(df, column)
+    require_numbers(df, {column: label or column}, minimum_rows)
+    return df.withColumn(column, number_column(df, column))
 
 
 def coerce_date(df: DataFrame, column: str, label: str | None = None,

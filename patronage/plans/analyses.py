@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from patronage.functions.parse import binary_column
-from patronage.operators.prep import coerce_binary, coerce_numeric
+from patronage.operators.prep import coerce_binary, require_numbers
 from patronage.operators.ranking import lift_table, rfm_scores
 from patronage.operators.summaries import When, bgnbd_summary, rfm_from_transactions
 from patronage.operators.targeting import segment_response, targeting_profit, targeting_summary
 from patronage.plans.bgnbd import BGNBDFit, score_bgnbd
 from patronage.plans.response_models import PREDICTED, LogisticModel, TreeModel, fit_decision_tree, fit_logistic
+from patronage.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,7 @@ class RFMResult:
 def rfm_analysis(df: DataFrame, customer: str, recency: str, frequency: str, monetary: str,
                  response: str | None = None, groups: int = 5, nested: bool = True) -> RFMResult:
     """Scores per customer and the segments they form, from a customer table."""
-    for column, label in ((recency, "recency"), (frequency, "frequency"), (monetary, "monetary value")):
-        coerce_numeric(df, column, label)
+    require_numbers(df, {recency: "recency", frequency: "frequency", monetary: "monetary value"})
     if response is not None:
         df = coerce_binary(df, response, "response (0/1)")
     scores = rfm_scores(df, recency, frequency, monetary, customer, groups, nested)
@@ -68,5 +68,8 @@ def targeting_analysis(df: DataFrame, customer: str, outcome: str, predictors: S
 
 def bgnbd_from_log(df: DataFrame, customer: str, date: str, horizon: float, end: When = None,
                    unit: str = "weeks") -> tuple[BGNBDFit, DataFrame]:
-    """BG/NBD fit and scores straight from a purchase log."""
-    return score_bgnbd(bgnbd_summary(df, customer, date, end, unit), horizon=horizon)
+    """BG/NBD fit and scores straight from a purchase log.
+
+    The summary is written, so that fitting and scoring read it and not the log again.
+    """
+    return score_bgnbd(stored(bgnbd_summary(df, customer, date, end, unit), "summary"), horizon=horizon)

@@ -25,6 +25,7 @@ MOST_ITERATIONS = 500
 # Thresholds considered per predictor; exact for predictors with fewer distinct values.
 TREE_BINS = 512
 PREDICTED = "predicted_probability"
+LABEL, FEATURES = "_label", "_features"
 
 
 @dataclass(frozen=True)
@@ -50,19 +51,26 @@ def _is_number(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.NumericType, T.BooleanType))
 
 
-def _check(df: DataFrame, outcome: str, predictors: Sequence[str]) -> None:
+def _model_rows(df: DataFrame, outcome: str, predictors: Sequence[str]) -> DataFrame:
+    """The input with its 0/1 outcome as ``_label``, written once, and the outcome checked.
+
+    Medians, levels and every iteration of a fit read this table, a few columns at a time, instead of
+    whatever the input is computed from.
+    """
     require_columns(df, outcome, *predictors)
     if not predictors:
         raise InputProblem("No predictor was given.")
     if outcome in predictors:
         raise InputProblem("The outcome is also a predictor.", "Remove it from the predictors.")
-    answer = binary_column(df, outcome)
-    values = df.agg(F.count_if(answer == 0).alias("no"), F.count_if(answer == 1).alias("yes"),
-                    F.count_if(answer.isNotNull() & ~answer.isin(0.0, 1.0)).alias("other")).first()
+    rows = stored(df.withColumn(LABEL, binary_column(df, outcome)), "model-rows")
+    answer = F.col(LABEL)
+    values = rows.agg(F.count_if(answer == 0).alias("no"), F.count_if(answer == 1).alias("yes"),
+                      F.count_if(answer.isNotNull() & ~answer.isin(0.0, 1.0)).alias("other")).first()
     if values["other"]:
         raise InputProblem(f"'{outcome}' holds values other than 0 and 1.")
     if not values["no"] or not values["yes"]:
         raise InputProblem(f"'{outcome}' must contain both 0 and 1.")
+    return rows
 
 
 def _levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
@@ -87,14 +95,18 @@ def _filled(df: DataFrame, column: str, fill: float | None) -> Column:
     return F.coalesce(number_column(df, column), F.lit(0.0 if fill is None else float(fill)))
 
 
-def _design(df: DataFrame, outcome: str, terms: dict[str, Column]) -> DataFrame:
-    """The input with its 0/1 label and the vector of terms, written once: fits read it many times."""
+def _design(rows: DataFrame, terms: dict[str, Column]) -> DataFrame:
+    """The rows with the vector of model terms."""
     if len(terms) > MOST_TERMS:
         raise InputProblem(f"{len(terms):,} model terms; at most {MOST_TERMS:,} are supported.")
     names = [f"_t{i}" for i in range(len(terms))]
-    wide = df.withColumns({"_label": binary_column(df, outcome), **dict(zip(names, terms.values()))})
-    vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(wide).drop(*names)
-    return stored(vectors, "model-rows")
+    wide = rows.withColumns(dict(zip(names, terms.values())))
+    return VectorAssembler(inputCols=names, outputCol=FEATURES).transform(wide).drop(*names)
+
+
+def _scored(model, rows: DataFrame) -> DataFrame:
+    known = F.col(LABEL).isNotNull()
+    return model.transform(rows).withColumn(PREDICTED, F.when(known, F.col(PREDICTED))).drop(LABEL, FEATURES)
 
 
 def _logistic_terms(df: DataFrame, predictors: Sequence[str]) -> dict[str, Column]:
@@ -118,12 +130,12 @@ def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str]) -> Logi
 
     Rows without an outcome take no part in the fit and get no prediction.
     """
-    _check(df, outcome, predictors)
-    terms = _logistic_terms(df, predictors)
-    rows = _design(df, outcome, terms)
-    known = rows.where(F.col("_label").isNotNull())
+    rows = _model_rows(df, outcome, predictors)
+    terms = _logistic_terms(rows, predictors)
+    rows = _design(rows, terms)
+    known = rows.where(F.col(LABEL).isNotNull())
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="_label", featuresCol="_features", predictionCol=PREDICTED,
+        family="binomial", link="logit", labelCol=LABEL, featuresCol=FEATURES, predictionCol=PREDICTED,
         maxIter=MOST_ITERATIONS, tol=1e-10).fit(known)
     summary = model.summary
     # Spark lists the intercept's statistics last; here it comes first.
@@ -137,21 +149,19 @@ def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str]) -> Logi
     coefficients = table.orderBy("position").select(
         "term", "coefficient", "std_error", F.pow(F.col("coefficient") / F.col("std_error"), 2).alias("wald"),
         "p_value", F.exp("coefficient").alias("odds_ratio"))
-    scored = model.transform(rows).withColumn(
-        PREDICTED, F.when(F.col("_label").isNotNull(), F.col(PREDICTED))).drop("_label", "_features")
     # For 0/1 rows the deviance is −2 ln L.
-    return LogisticModel(scored, coefficients, -summary.deviance / 2, -summary.nullDeviance / 2)
+    return LogisticModel(_scored(model, rows), coefficients, -summary.deviance / 2, -summary.nullDeviance / 2)
 
 
 def _rules(debug: str, names: Sequence[str]) -> str:
     """Spark's description of a tree with predictor names, nested lines and probabilities."""
     out = []
     for line in debug.splitlines()[1:]:
-        depth = (len(line) - len(line.lstrip())) // 1
         text = line.strip()
+        # Spark indents the root by two blanks and each level by one more.
+        bar = "|   " * (len(line) - len(line.lstrip()) - 2) + "|--- "
         split = re.match(r"(?:If|Else) \(feature (\d+) (<=|>) ([-\d.eE]+)\)", text)
         leaf = re.match(r"Predict: ([-\d.eE]+)", text)
-        bar = "|   " * max((depth - 2) if depth >= 2 else 0, 0) + "|--- "
         if split:
             out.append(f"{bar}{names[int(split[1])]} {split[2]} {float(split[3]):.4f}")
         elif leaf:
@@ -169,26 +179,24 @@ def fit_decision_tree(df: DataFrame, outcome: str, predictors: Sequence[str], ma
     for the same class, which for rare responses leaves one leaf and one probability. A predictor
     with more than ``max_bins`` distinct values is split at quantiles.
     """
-    _check(df, outcome, predictors)
-    known = df.where(binary_column(df, outcome).isNotNull())
+    rows = _model_rows(df, outcome, predictors)
+    known = rows.where(F.col(LABEL).isNotNull())
     numbers = [c for c in predictors if _is_number(df, c)]
     medians = exact_medians(known, numbers)
-    terms = {c: _filled(df, c, medians[c]) for c in numbers}
+    terms = {c: _filled(rows, c, medians[c]) for c in numbers}
     for c, levels in _levels(known, [c for c in predictors if c not in numbers]).items():
         # Missing text counts as the most frequent level (the first of equals).
         usual = max(levels, key=lambda e: e[1])[0] if levels else ""
         text = F.coalesce(field(c).cast("string"), F.lit(usual))
         for level, _ in levels:
             terms[f"{c}_{level}"] = (text == level).cast("double")
-    rows = _design(df, outcome, terms)
+    rows = _design(rows, terms)
     tree = DecisionTreeRegressor(
-        impurity="variance", labelCol="_label", featuresCol="_features", predictionCol=PREDICTED, seed=42,
+        impurity="variance", labelCol=LABEL, featuresCol=FEATURES, predictionCol=PREDICTED, seed=42,
         maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, maxBins=max_bins,
-    ).fit(rows.where(F.col("_label").isNotNull()))
+    ).fit(rows.where(F.col(LABEL).isNotNull()))
     importances = tree.featureImportances.toArray()
     importance = df.sparkSession.createDataFrame(
         [(n, float(v)) for n, v in zip(terms, importances)], "feature string, importance double",
     ).orderBy(F.desc("importance"), "feature")
-    scored = tree.transform(rows).withColumn(
-        PREDICTED, F.when(F.col("_label").isNotNull(), F.col(PREDICTED))).drop("_label", "_features")
-    return TreeModel(scored, _rules(tree.toDebugString, list(terms)), importance)
+    return TreeModel(_scored(tree, rows), _rules(tree.toDebugString, list(terms)), importance)

@@ -46,9 +46,10 @@ SMALL_TABLE = 10_000
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """A narrow table, computed once: up to 10,000 rows as part of the plan, more of them as ``stored``.
+    """A narrow table that is cheap to compute: up to 10,000 rows travel in the plan, more are ``stored``.
 
-    Either way its size is known, so a join with it is broadcast exactly when it is small.
+    Either way its size is known, so a join with it is broadcast exactly when it is small. A large one is
+    computed twice, so this is for tables derived from stored rows; others go to ``stored``.
     """
     rows = df.limit(SMALL_TABLE + 1).collect()
     if len(rows) > SMALL_TABLE:
