@@ -12,7 +12,7 @@ from queries import query, rounded, table
 # Scenario rows: every customer's balance as margin (some are negative), with rates that vary by key.
 SCENARIO_SQL = """
 scenario AS (
-  SELECT c_custkey, c_acctbal AS margin, 0.51 + (c_custkey % 49) / 100.0::DOUBLE AS retention,
+  SELECT c_custkey, c_acctbal AS margin, (52 + c_custkey % 49) / 101.0::DOUBLE AS retention,
          (c_nationkey % 7) / 50.0::DOUBLE AS discount, 100.0::DOUBLE + c_nationkey AS cost,
          CAST(c_custkey % 13 AS INTEGER) AS periods, (c_custkey % 5) / 40.0::DOUBLE AS growth,
          CAST(c_custkey % 4 AS INTEGER) AS first, CAST(c_custkey % 4 + c_custkey % 6 AS INTEGER) AS last
@@ -24,7 +24,7 @@ GOOD = "margin >= 0 AND retention BETWEEN 0 AND 1 AND discount > -1"
 def scenario(spark, folder):
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     return table(spark, folder, "customer").select(
-        "c_custkey", F.col("c_acctbal").alias("margin"), (0.51 + key % 49 / 100.0).alias("retention"),
+        "c_custkey", F.col("c_acctbal").alias("margin"), ((52 + key % 49) / 101.0).alias("retention"),
         (nation % 7 / 50.0).alias("discount"), (100.0 + nation).alias("cost"),
         (key % 13).cast("int").alias("periods"), (key % 5 / 40.0).alias("growth"),
         (key % 4).cast("int").alias("first"), (key % 4 + key % 6).cast("int").alias("last"))
