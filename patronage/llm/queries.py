@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import near_dedup
+from patronage.llm import near_dedup, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +18,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _with_digest(df: DataFrame, text: str, digest: str) -> DataFrame:
+    """``text`` replaced by the SHA-256 of its words joined by one blank."""
+    others = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(batch.num_columns - 1).cast(pa.binary())
+            hashed = [hashlib.sha256(b" ".join((t.as_py() or b"").split())).hexdigest() for t in words]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(hashed, pa.string())],
+                                  names=[*batch.schema.names[:-1], digest])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return df.select(*[f"`{f.name}`" for f in others], text).mapInArrow(run, f"{schema}, `{digest}` string")
+
+
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    cut = substring_dedup.without_repeats(docs, counts=("n_words", "n_removed"))
+    return _with_digest(cut, "text", "kept_sha256")
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op5_repeated_passages": op5_repeated_passages,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
