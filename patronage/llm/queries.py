@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import near_dedup, substring_dedup
+from patronage.llm import near_dedup, quality_rules, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def _with_digest(df: DataFrame, text: str, digest: str) -> DataFrame:
     return df.select(*[f"`{f.name}`" for f in others], text).mapInArrow(run, f"{schema}, `{digest}` string")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, folder, "documents"))
+
+
 def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     cut = substring_dedup.without_repeats(docs, counts=("n_words", "n_removed"))
@@ -44,6 +48,7 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_repeated_passages": op5_repeated_passages,
     "op9_near_duplicates": op9_near_duplicates,
 }
