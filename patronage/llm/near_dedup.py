@@ -8,7 +8,8 @@ share a band and whose sketches do not rule out the threshold are compared by th
 A pair at the threshold of 0.75 shares no band with probability 5e-6, and its sketches reject it with less than 1e-6.
 
 Groups of copies. Documents with equal sets are one class from the start. Within a band bucket every class is first
-compared with two pivots (its smallest and its largest id), and links are merged into components. Only buckets that
+compared with two pivots (the one with the most company in all its buckets, and the smallest id), and links are merged
+into components. Only buckets that
 still hold several components are searched pair by pair, in blocks of bounded size, and only pairs across components
 leave the task. So a bucket of n copies costs 2n comparisons, not n^2, and no group is gathered in one task.
 
@@ -231,9 +232,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     classes = usable.groupBy(*print_columns).agg(F.min("id").alias("rep"))
     chosen = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     members = chosen.select("id", F.explode("bands").alias("bucket"))
-    busy = members.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("id").alias("p1"), F.max("id").alias("p2")).where("p1 <> p2")
-    shared = stored(members.join(busy, "bucket"), "buckets")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = stored(members.join(sizes, "bucket"), "buckets")
+    # The text others are copied from shares more and larger buckets than its copies: a pivot that links most of them.
+    central = crowded.groupBy("id").agg(F.sum("size").alias("central"))
+    rank = F.col("central") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    busy = crowded.join(central, "id").groupBy("bucket").agg(
+        F.max_by("id", rank).alias("p1"), F.min("id").alias("p2"))
+    shared = stored(crowded.join(busy, "bucket"), "buckets")
     sketches = chosen.select("id", "n_shingles", "sketch")
 
     pivots = shared.select(F.explode(F.array("p1", "p2")).alias("a"), F.col("id").alias("b")).where("a <> b").select(

@@ -5,11 +5,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import near_dedup, quality_rules, substring_dedup
+from patronage.llm import byte_bpe, decontamination, lengths, near_dedup, packing, quality_rules, substring_dedup
+
+# The vocabulary of the queries; operators take the path as an argument.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+# Context limits that the length report answers.
+LIMITS = [128, 512, 1024, 2048, 4096, 8192, 32768]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,14 +50,40 @@ def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return _with_digest(cut, "text", "kept_sha256")
 
 
+def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    coded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS)
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op8_packed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return packing.digest(packing.packed(byte_bpe.encode(docs, RANKS, PATTERN)))
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return lengths.histogram(lengths.token_counts(docs, RANKS, PATTERN))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_repeated_passages": op5_repeated_passages,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_packed_rows": op8_packed_rows,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_length_histogram": op10_length_histogram,
 }
 
 # Words as in the operators: `[^ \t\n\x0b\f\r]+`, A-Z lower-cased.
