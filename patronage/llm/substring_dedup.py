@@ -19,9 +19,11 @@ A unit or window that occurs again within a batch of documents is settled there,
 batch is shuffled. So a passage that a third of all documents hold is one row per batch, and no group is gathered: rows
 are sorted by Spark and read one after another.
 
+The documents are shuffled once: looking at windows and cutting words use the same exchange.
+
 Edge cases. A null text has no words. Rows without an id are left as they are: nothing is removed from them and they
-cover nothing. Rows that share an id are told apart by their text's hash, in its order; equal rows are alike, so each
-keeps what the first keeps. Texts with fewer words than a window keep them all. Extra columns are passed on by
+cover nothing (the smallest long is their mark, and no id). Rows that share an id are told apart by their text's hash,
+in its order; equal rows are alike, so each keeps what the first keeps. Texts with fewer words than a window keep them all. Extra columns are passed on by
 ``without_repeats``. An empty table gives an empty result.
 """
 
@@ -42,18 +44,23 @@ ANCHOR = 5
 # Units after which a task settles what repeats among them, in rows of about 50 bytes.
 FLUSH = 1 << 19
 
-PLACE = "id long, version long, start int, windows int"
+PLACE = "id long, version int, start int, windows int"
+NO_ID = -(1 << 63)
 UNIT = f"key long, print long, {PLACE}"
 # What is known of a run of windows: covered for certain, or to be looked at window by window.
 COVERED, OPEN = 1, 2
 FOUND = f"{PLACE}, state int"
 
 
-def _named(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """id, version (the text's hash, which tells rows with the same id apart), text."""
+def _rows_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The columns as c0, c1, ..., then id, version (the text's hash, which tells rows with the same id apart) and text.
+
+    No two names can clash, and as neither key is null the same rows serve inner and outer joins.
+    """
     require_columns(docs, id_column, text)
-    return docs.select(field(id_column).cast("long").alias("id"),
-                       F.xxhash64(F.coalesce(field(text), F.lit(""))).alias("version"), field(text).alias("text"))
+    columns = [field(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]
+    return docs.select(*columns, F.coalesce(field(id_column).cast("long"), F.lit(NO_ID)).alias("id"),
+                       F.hash(F.coalesce(field(text), F.lit(""))).alias("version"), field(text).alias("text"))
 
 
 def _anchored(grams: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +102,7 @@ def _rows(table: np.ndarray, state: int | None) -> pa.RecordBatch:
     """Unit rows as Arrow; settled ones lose their key, which spreads them over tasks by document."""
     n = table.shape[1]
     state = pa.array(np.full(n, state or 0, np.int32))
-    return pa.record_batch([pa.array(table[0]), pa.array(table[1]), pa.array(table[2]), pa.array(table[3]),
-                            pa.array(table[4].astype(np.int32)), pa.array(table[5].astype(np.int32)), state],
+    return pa.record_batch([*map(pa.array, table[:3]), *[pa.array(c.astype(np.int32)) for c in table[3:]], state],
                            names=["key", "print", "id", "version", "start", "windows", "state"])
 
 
@@ -108,7 +114,7 @@ def _flushed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield _rows(again, COVERED)
 
 
-def units(named: DataFrame, length: int) -> DataFrame:
+def units(rows_of: DataFrame, length: int) -> DataFrame:
     """Units of every text; ``state`` is COVERED for those that this task has seen earlier, else 0."""
     def run(batches):
         white, hasher, second = is_white(), Hasher(BASES[0]), Hasher(BASES[1])
@@ -132,7 +138,7 @@ def units(named: DataFrame, length: int) -> DataFrame:
                     rows, held = [], 0
         yield from _flushed(rows)
 
-    return named.where("id is not null").mapInArrow(run, f"{UNIT}, state int")
+    return rows_of.where(F.col("id") != NO_ID).select("id", "version", "text").mapInArrow(run, f"{UNIT}, state int")
 
 
 def judged(rows: DataFrame, by_window: bool) -> DataFrame:
@@ -191,23 +197,25 @@ def _found(batch: pa.RecordBatch, rows: np.ndarray, state: int, names: list[str]
                            names=[*names, "state"])
 
 
-def windows(named: DataFrame, found: DataFrame, length: int) -> DataFrame:
+def windows(rows_of: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """One row (key and print: 128 bits of its words) for each window of the OPEN units."""
     open_units = found.where(F.col("state") == OPEN).groupBy("id", "version").agg(
         F.collect_list(F.struct("start", "windows")).alias("runs"))
-    texts = named.join(open_units, ["id", "version"]).select("id", "version", "text", "runs")
+    # All columns pass through, also those not needed here: only then is the exchange the one of ``without_repeats``.
+    texts = rows_of.join(open_units, ["id", "version"])
+    at_id, at_version, at_text, at_runs = (texts.columns.index(c) for c in ("id", "version", "text", "runs"))
 
     def run(batches):
         white, hasher, second = is_white(), Hasher(BASES[0]), Hasher(BASES[1])
         rows, held = [], 0
         for batch in batches:
-            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            runs = batch.column(3)
+            ids, versions = batch.column(at_id).to_numpy(), batch.column(at_version).to_numpy()
+            runs = batch.column(at_runs)
             offsets = runs.offsets.to_numpy()
             inner = runs.flatten()
             begin, count = inner.field(0).to_numpy(), inner.field(1).to_numpy()
             offsets = offsets - offsets[0]
-            for i, j, w in pieces(batch.column(2), white):
+            for i, j, w in pieces(batch.column(at_text), white):
                 lo, hi = offsets[i], offsets[j]
                 owner = np.repeat(np.arange(j - i), np.diff(offsets[i:j + 1]))
                 n = count[lo:hi].astype(np.int64)
@@ -228,35 +236,36 @@ def windows(named: DataFrame, found: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, f"{UNIT}, state int")
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per document with repeats: id, version, spans (runs of covered windows: first start, number of windows)."""
-    named = _named(docs, id_column, text)
-    seeds = judged(units(named, length), by_window=False)
-    single = judged(windows(named, seeds, length), by_window=True)
+def _spans(rows_of: DataFrame, length: int) -> DataFrame:
+    seeds = judged(units(rows_of, length), by_window=False)
+    single = judged(windows(rows_of, seeds, length), by_window=True)
     covered = seeds.where(F.col("state") == COVERED).union(single)
     return covered.groupBy("id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
+def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """Per document with repeats: id, version (hash of its text), spans (runs of covered windows: first start, number)."""
+    return _spans(_rows_of(docs, id_column, text), length)
+
+
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     length: int = LENGTH, counts: tuple[str, str] | None = None) -> DataFrame:
     """The rows with repeated words cut from ``text``; what is left of a cut text is joined by single blanks, a text
     without repeats stays as it is. ``counts`` names two more columns: words before, and words cut."""
-    before, cut = counts or ("_words", "_cut")
-    version = F.xxhash64(F.coalesce(field(text), F.lit("")))
-    spans = repeats(docs, id_column, text, length).select(
-        F.col("id").alias("_span_id"), F.col("version").alias("_span_version"), F.col("spans").alias("_spans"))
-    rows = docs.join(spans, (field(id_column).cast("long") == F.col("_span_id")) & (version == F.col("_span_version")),
-                     "left").drop("_span_id", "_span_version")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    place = docs.columns.index(text)
+    rows_of = _rows_of(docs, id_column, text)
+    rows = rows_of.join(_spans(rows_of, length), ["id", "version"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    others = [c for c in rows.columns if c not in ("id", "version", "text", "spans")]
+    places = [rows.columns.index(c) for c in others]
+    at_text, at_spans = rows.columns.index("text"), rows.columns.index("spans")
 
     def run(batches):
         white = is_white()
         for batch in batches:
-            spans = batch.column(batch.num_columns - 1)
+            spans = batch.column(at_spans)
             totals, gone, texts = [], [], []
-            for i, j, w in pieces(batch.column(place), white):
-                own, data = batch.column(place).slice(i, j - i).to_pylist(), w.data.tobytes()
+            for i, j, w in pieces(batch.column(at_text), white):
+                own, data = batch.column(at_text).slice(i, j - i).to_pylist(), w.data.tobytes()
                 sizes = w.counts()
                 for t in range(j - i):
                     n, runs = int(sizes[t]), spans[i + t]
@@ -272,10 +281,13 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                     left = np.flatnonzero(np.cumsum(edge[:-1]) == 0) + w.first[t]
                     gone.append(n - len(left))
                     texts.append(b" ".join([data[a:b] for a, b in zip(w.starts[left], w.ends[left])]).decode())
-            columns = batch.columns[:-1]
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.record_batch([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
-                                  names=[*batch.schema.names[:-1], before, cut])
-
-    out = rows.mapInArrow(run, f"{schema}, `{before}` long, `{cut}` long")
-    return out if counts else out.drop(before, cut)
+            yield pa.record_batch([*[batch.column(k) for k in places], pa.array(texts, pa.string()),
+                                   pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
+                                  names=[*others, "text", "n_words", "n_cut"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in others], "text string, n_words long, n_cut long"])
+    out = rows.mapInArrow(run, schema)
+    named = [F.col("text" if c == text else f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    if counts:
+        named += [F.col("n_words").alias(counts[0]), F.col("n_cut").alias(counts[1])]
+    return out.select(*named)
