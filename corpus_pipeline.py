@@ -3,28 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patronage.llm import near_dedup
+from patronage.columns import field
+from patronage.llm import byte_bpe, decontamination, near_dedup, quality_rules, queries, substring_dedup
 from patronage.scratch import scratch_path
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Rows without an id cannot be told apart and go."""
+    kept = quality_rules.judged(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, field("doc_id") == F.col("_kept_id"), "left_semi")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return near_dedup.without_near_duplicates(docs)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds; documents of which nothing is left go."""
+    cut = substring_dedup.without_repeats(docs, counts=("_words", "_cut"))
+    return cut.where("_words > _cut").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token ids; decoding must give back every text, else the job stops."""
+    coded = byte_bpe.encode(docs.withColumn("_sha", F.sha2("text", 256)), queries.RANKS, queries.PATTERN)
+    back = byte_bpe.decode(coded, queries.RANKS)
+    right = F.sha2("bytes", 256).eqNullSafe(F.coalesce("_sha", F.sha2(F.lit(""), 256)))
+    ids = F.when(right, F.col("token_ids")).otherwise(
+        F.raise_error(F.concat(F.lit("Decoding does not give back document "), F.coalesce(
+            F.col("doc_id").cast("string"), F.lit("without id")))).cast("array<int>"))
+    return back.select("doc_id", "lang", "source", ids.alias("token_ids"), F.size("token_ids").cast("long").alias("n_tokens"))
+
+
 STAGES = [
+    ("quality rules", quality),
     ("near-duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("byte-level BPE", encode),
 ]
 
-# Near copies, LM-style divergences and byte-pair merges are beyond SQL; tests compare the stages with brute force.
+# Near copies, histogram distances and byte-pair merges are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

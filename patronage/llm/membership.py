@@ -7,6 +7,7 @@ size is a parameter, not a function of the data; with too many keys it merely le
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,23 @@ def maybe_in(filled: np.ndarray, keys: np.ndarray, bits: int = BITS) -> np.ndarr
     first = np.flatnonzero(perhaps(filled, k >> U64(64 - bits)))
     second = (k[first] & U64(0xFFFFFFFF)) >> U64(32 - bits)
     return first[perhaps(filled, second)]
+
+
+def only(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (id, text) whose id may be among the ids of ``wanted``: most others are dropped before any shuffle."""
+    bits = bitmap(wanted, F.col("id"))
+    sent = named.sparkSession.sparkContext.broadcast(bits)
+    mask = len(bits) * 64 - 1
+
+    def run(batches):
+        filled = sent.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for c in (2, 3):
+                place = batch.column(c).to_numpy().view(U64) & U64(mask)
+                keep &= (filled[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == U64(1)
+            yield pa.record_batch([x.filter(pa.array(keep)) for x in batch.columns[:2]], names=["id", "text"])
+
+    hashed = named.where(F.col("id").isNotNull()).select(
+        "id", "text", F.xxhash64("id", F.lit(1)).alias("h1"), F.xxhash64("id", F.lit(2)).alias("h2"))
+    return hashed.mapInArrow(run, "id long, text string")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import byte_bpe, decontamination, lengths, near_dedup, packing, quality_rules, substring_dedup
+from patronage.llm import (byte_bpe, decontamination, language_id, lengths, near_dedup, packing, perplexity,
+                           quality_rules, substring_dedup, toxicity)
 
 # The vocabulary of the queries; operators take the path as an argument.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -44,6 +45,25 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(_table(spark, folder, "documents"))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    unseen = language_id.held_out(F.col("doc_id"))
+    found = language_id.predicted(docs, docs.where(~unseen))
+    return found.select("doc_id", unseen.alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    part = toxicity.fold(F.col("id"))
+    found = toxicity.scored(docs, labels, learn=part.isin(0, 1), calibrate=part == 3)
+    return found.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.judged(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     cut = substring_dedup.without_repeats(docs, counts=("n_words", "n_removed"))
@@ -78,6 +98,9 @@ def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op4_perplexity": op4_perplexity,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_byte_bpe": op7_byte_bpe,
