@@ -6,6 +6,9 @@ the XOR of two sketches, so its population count estimates the similarity, most
 share a band and whose sketches do not rule out the threshold are compared by their full sets.
 
 A pair at the threshold of 0.75 shares no band with probability 5e-6, and its sketches reject it with less than 1e-6.
+A second odd sketch, of the full set and about four bits per shingle, loses nothing: two sets differ in at least as many
+shingles as these bitmaps differ in bits, and at most a seventh of both sizes' sum may differ at a similarity of 0.75. It
+spares most comparisons of full sets that would fail, as there are many in groups of loose copies.
 
 Groups of copies. Documents with equal sets are one class from the start. Within a band bucket every class is first
 compared with two pivots (the one with the most company in all its buckets, and the smallest id), and links are merged
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
 from patronage.llm.components import components
-from patronage.llm.membership import bitmap
+from patronage.llm.membership import only
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lower_table, mixed, pieces
 from patronage.scratch import stored
 
@@ -45,7 +48,7 @@ BLOCK = 1024
 # Texts that are compared with one pivot in a group of rows.
 SALT_ROWS = 256
 
-SIGNATURE = "id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
+SIGNATURE = "id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, parity binary"
 
 
 def shingle_sets(w, hasher: Hasher, shingle: int) -> Iterator[np.ndarray]:
@@ -93,6 +96,21 @@ def odd_sketches(samples: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(U64)
 
 
+def parity(members: np.ndarray) -> bytes:
+    """Odd sketch of a full set: 512 bits or the power of two from four bits a member on."""
+    bits = max(512, 1 << int(4 * len(members) - 1).bit_length())
+    odd = np.bincount((members & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Rows of parity words brought to ``size`` words; the upper half falls on the lower one."""
+    while words.shape[1] > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
 def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, 128-bit fingerprint of the set (f1, f2), band keys and odd sketch of every row."""
     require_columns(docs, id_column, text)
@@ -104,8 +122,10 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
                 n = np.zeros(j - i, np.int64)
                 prints = np.zeros((2, j - i), U64)
                 samples = np.zeros((j - i, BANDS * ROWS), np.uint32)
+                full = []
                 for t, members in enumerate(shingle_sets(w, hasher, SHINGLE)):
                     n[t] = len(members)
+                    full.append(parity(members) if len(members) else b"")
                     if len(members):
                         prints[0, t] = mixed(members).sum(dtype=U64)
                         prints[1, t] = mixed(members ^ U64(BASES[1])).sum(dtype=U64)
@@ -117,8 +137,9 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
                     batch.column(0).slice(i, j - i), pa.array(n), as_long(prints[0]), as_long(prints[1]),
                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(width)), pa.int32()), as_long(bands)),
                     pa.ListArray.from_arrays(
-                        pa.array(np.arange(j - i + 1) * sketch.shape[1], pa.int32()), as_long(sketch.ravel()))],
-                    names=["id", "n_shingles", "f1", "f2", "bands", "sketch"])
+                        pa.array(np.arange(j - i + 1) * sketch.shape[1], pa.int32()), as_long(sketch.ravel())),
+                    pa.array(full, pa.binary())],
+                    names=["id", "n_shingles", "f1", "f2", "bands", "sketch", "parity"])
 
     return docs.select(field(id_column).cast("long").alias("id"), field(text).alias("text")).mapInArrow(run, SIGNATURE)
 
@@ -173,17 +194,39 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def possible(full: list[np.ndarray], width: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray,
+             percent: int) -> np.ndarray:
+    """Which pairs (x, y) of sets may reach the threshold, by their parity bitmaps; never says no to one that does."""
+    out = np.zeros(len(x), bool)
+    small = np.minimum(width[x], width[y])
+    for size in np.unique(small):
+        rows = {}
+        for wide in np.unique(width[width >= size]):
+            own = np.flatnonzero(width == wide)
+            rows.update(zip(own.tolist(), folded(np.stack([full[k] for k in own]), size)))
+        at = np.flatnonzero(small == size)
+        for i in range(0, len(at), 4096):
+            part = at[i:i + 4096]
+            a, b = np.stack([rows[k] for k in x[part].tolist()]), np.stack([rows[k] for k in y[part].tolist()])
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            out[part] = differ * (100 + percent) <= (100 - percent) * (n[x[part]] + n[y[part]])
+    return out
+
+
 def across(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within each (bucket, i, j) block that sketches do not rule out.
 
-    ``groups``: bucket, i, j, block, id, label, n_shingles, sketch, p1, p2. Pairs with a pivot have been compared before.
+    ``groups``: bucket, i, j, block, id, label, n_shingles, sketch, parity, p1, p2. Pairs with a pivot have been compared
+    before.
     """
-    names = ["bucket", "i", "j", "block", "id", "label", "n_shingles", "p1", "p2", "sketch"]
+    names = ["bucket", "i", "j", "block", "id", "label", "n_shingles", "p1", "p2", "sketch", "parity"]
     rows = groups.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def pairs(table: pa.Table):
         col = {c: table[c].to_numpy() for c in names[1:9]}
         sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(U64).reshape(len(table), -1)
+        full = [np.frombuffer(x, U64) for x in table["parity"].to_pylist()]
+        width = np.array([len(x) for x in full])
         diagonal = col["i"][0] == col["j"][0]
         other = np.arange(len(table)) if diagonal else np.flatnonzero(col["block"] == col["j"][0])
         first = other if diagonal else np.flatnonzero(col["block"] == col["i"][0])
@@ -200,8 +243,11 @@ def across(groups: DataFrame, percent: int) -> DataFrame:
             if diagonal:
                 ok &= col["id"][mine][:, None] < col["id"][other][None, :]
             x, y = np.nonzero(ok)
+            x, y = mine[x], other[y]
+            keep = possible(full, width, col["n_shingles"], x, y, percent)
+            x, y = x[keep], y[keep]
             if len(x):
-                a, b = col["id"][mine[x]], col["id"][other[y]]
+                a, b = col["id"][x], col["id"][y]
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
@@ -240,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     busy = crowded.join(central, "id").groupBy("bucket").agg(
         F.max_by("id", rank).alias("p1"), F.min("id").alias("p2"))
     shared = stored(crowded.join(busy, "bucket"), "buckets")
-    sketches = chosen.select("id", "n_shingles", "sketch")
+    sketches = chosen.select("id", "n_shingles", "sketch", "parity")
 
     pivots = shared.select(F.explode(F.array("p1", "p2")).alias("a"), F.col("id").alias("b")).where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -249,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         near(F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
         & (flips(F.col("x.sketch"), F.col("y.sketch")) <= MOST_FLIPS)).select("a", "b").distinct()
     named = docs.select(field(id_column).cast("long").alias("id"), field(text).alias("text"))
-    texts = _only(named, shared)
+    texts = only(named, shared)
     links = stored(verified(stored(likely, "pairs"), texts, percent), "links")
 
     found = components(links)
@@ -275,26 +321,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _only(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts that a pair may need: a bitmap of fixed size drops most others before any shuffle."""
-    bits = bitmap(wanted, F.col("id"))
-    sent = named.sparkSession.sparkContext.broadcast(bits)
-    mask = len(bits) * 64 - 1
-
-    def run(batches):
-        filled = sent.value
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for c in (2, 3):
-                place = batch.column(c).to_numpy().view(U64) & U64(mask)
-                keep &= (filled[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == U64(1)
-            yield pa.record_batch([x.filter(pa.array(keep)) for x in batch.columns[:2]], names=["id", "text"])
-
-    hashed = named.where(F.col("id").isNotNull()).select(
-        "id", "text", F.xxhash64("id", F.lit(1)).alias("h1"), F.xxhash64("id", F.lit(2)).alias("h2"))
-    return hashed.mapInArrow(run, "id long, text string")
-
-
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                             percent: int = PERCENT) -> DataFrame:
     """The rows of one document per component, with all their columns; of rows with the same id one stays.
