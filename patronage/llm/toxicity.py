@@ -15,7 +15,7 @@ Size of the models: the ``WORDS`` most frequent words and openings and ``PAIRS``
 (rarer ones are discounted to nothing); these tables are sent to all tasks. A pair can only be that frequent if both words
 are, so pairs are counted after words, each summed within tasks before it is shuffled.
 
-Edge cases. Null and blank texts have no words and get what the calibration gives to no evidence. Without labels of both
+Edge cases. Null and blank texts have no words; their score is the share of toxic labels. Without labels of both
 kinds every score is the share of toxic labels (0 without any). Null labels are ignored; an id with several labels is
 toxic if one of them says so. Texts are scored from their words alone, so equal texts score alike. Rows without an id are
 scored and never learned from.
@@ -196,7 +196,8 @@ def trained(rows: DataFrame) -> Model | None:
 
 
 def evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows with ``text`` replaced by mean, best and second: evidence per word, and of the two strongest words."""
+    """The rows with ``text`` replaced by mean, best and second: evidence per word (null without words), and of the two
+    strongest words."""
     sent = rows.sparkSession.sparkContext.broadcast(
         [(model.openings, model.opening_evidence), (model.words, model.word_evidence),
          (model.pairs, model.pair_evidence)])
@@ -229,7 +230,7 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
                     strongest = np.sort(np.partition(own, -2)[-2:]) if len(own) > 1 else np.append(0, own)
                     second[t], best[t] = np.maximum(strongest, 0)
                 yield pa.record_batch([*[batch.column(k).slice(i, j - i) for k in range(at_text)],
-                                       pa.array(mean), pa.array(best), pa.array(second)],
+                                       pa.array(mean, mask=n == 0), pa.array(best), pa.array(second)],
                                       names=[*names, "mean", "best", "second"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others],
@@ -243,6 +244,7 @@ def _features(mean, best, second) -> np.ndarray:
 
 def calibrated(rows: list) -> tuple[np.ndarray | None, float]:
     """Weights of the logistic regression, and the share of toxic rows."""
+    rows = [r for r in rows if r["mean"] is not None]
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None, float(y.mean()) if len(y) else 0.0
@@ -282,4 +284,4 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
     found = evidence(docs.select(field(id_column).alias("id"), field(text).alias("text")), model)
     logit = sum((F.col(c) * F.lit(float(w)) for c, w in zip(("mean", "best", "second"), model.weights[1:] * [10, 1, 1])),
                 F.lit(float(model.weights[0])))
-    return found.select(F.col("id").alias(id_column), F.round(1 / (1 + F.exp(-logit)), 6).alias("score"))
+    return found.select(F.col("id").alias(id_column), F.round(F.coalesce(1 / (1 + F.exp(-logit)), F.lit(float(model.share))), 6).alias("score"))
