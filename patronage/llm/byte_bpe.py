@@ -33,8 +33,8 @@ from patronage.errors import InputProblem
 from patronage.llm.words import bytes_of, slices
 
 # Words a task remembers; bytes of text whose new words are merged together, and that are handled at once.
-HELD = 400_000
-GROUP, SLICE = 1 << 25, 1 << 20
+HELD = 200_000
+GROUP, SLICE = 1 << 23, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,11 +185,14 @@ class Encoder:
         return {x for t in texts for x in self.keys(t) if x not in known}
 
     def remember(self, new: set[str]) -> None:
-        pieces = {x: self.pieces(x) for x in new}
-        distinct = list({p for own in pieces.values() for p in own})
-        ids = dict(zip(distinct, self.merges.encode([p.encode() for p in distinct])))
-        for x, own in pieces.items():
-            self.known[x] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
+        cut = [self.pieces(x) for x in new]
+        place: dict[str, int] = {}
+        for own in cut:
+            for p in own:
+                place.setdefault(p, len(place))
+        ids = self.merges.encode([p.encode() for p in place])
+        for x, own in zip(new, cut):
+            self.known[x] = ids[place[own[0]]] if len(own) == 1 else b"".join([ids[place[p]] for p in own])
 
     def encoded(self, texts, parts: list[tuple[int, int]]):
         """(ids of each text as 32-bit numbers, i, j) for each part (i, j) of a group of rows; ``texts(i, j)`` gives its
