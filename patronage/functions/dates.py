@@ -11,20 +11,18 @@ from pyspark.sql import types as T
 
 from patronage.columns import data_type, field
 from patronage.errors import InputProblem
+from patronage.functions.parse import stripped
 
 # Days per time unit.
 UNIT_DAYS = {"days": 1.0, "weeks": 7.0, "months": 30.4375}
 
-# Tried in this order for text dates; callers with day-first slashes pass their own list.
-DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd.MM.yyyy",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
-    "yyyyMMdd",
-)
+# Days in these orders, each with an optional time. Tried in turn for text dates; callers with day-first
+# slashes pass their own list. Single letters read one or two digits, brackets are optional.
+CLOCK = "[' ']['T'][H:mm[:ss[.SSSSSSSSS]]]"
+ISO = "ISO"
+DATE_FORMATS = (ISO, f"d.M.yyyy{CLOCK}", f"M/d/yyyy{CLOCK}", f"yyyy/M/d{CLOCK}", "yyyyMMdd", "yyyyMMdd'T'HHmmss")
+# What may be an ISO date, with any time and zone after it; the wall clock counts, not the zone.
+ISO_LIKE = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
 
 
 def unit_days(unit: str) -> float:
@@ -41,11 +39,17 @@ def date_column(df: DataFrame, column: str, formats: Sequence[str] = DATE_FORMAT
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return field(column).cast("timestamp_ntz")
     if isinstance(kind, T.StringType):
-        text = F.trim(field(column))
-        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+        text = stripped(field(column))
+        return F.coalesce(*[_read(text, f) for f in formats])
     raise InputProblem(f"'{column}' holds {kind.simpleString()}, not dates.")
 
 
+def _read(text: Column, form: str) -> Column:
+    if form == ISO:
+        return F.when(text.rlike(ISO_LIKE), text.try_cast("timestamp_ntz"))
+    return F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+
+
 def moment(value: str | dt.date | dt.datetime) -> Column:
     """A given observation date; a date without a time is midnight."""
     text = value if isinstance(value, str) else value.isoformat(sep=" ") if isinstance(value, dt.datetime) \

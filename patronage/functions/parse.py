@@ -20,13 +20,21 @@ UNSTORABLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i)[+-]?inf(inity)?$"
 
 
+# White space around a cell that does not belong to its value: blanks of any kind, tabs and line ends.
+AROUND = " \t\r\n\v\f\u00a0\u2007\u202f\ufeff"
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(AROUND))
+
+
 def no_nan(value: Column) -> Column:
     """NaN is a missing value here, never the largest number."""
     return F.nullif(value, F.lit(float("nan")))
 
 
 def text_to_number(text: Column) -> Column:
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     return no_nan(F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double")))
 
 
@@ -47,7 +55,7 @@ def binary_column(df: DataFrame, column: str) -> Column:
     kind = data_type(df, column)
     if not isinstance(kind, T.StringType):
         return number_column(df, column)
-    word = F.lower(F.trim(field(column)))
+    word = F.lower(stripped(field(column)))
     return (
         F.when(word.isin(*YES_WORDS), F.lit(1.0))
         .when(word.isin(*NO_WORDS), F.lit(0.0))
@@ -56,7 +64,7 @@ def binary_column(df: DataFrame, column: str) -> Column:
 
 
 def event_word(event_type: Column) -> Column:
-    return F.lower(F.trim(event_type.cast("string")))
+    return F.lower(stripped(event_type.cast("string")))
 
 
 def is_purchase(event_type: Column) -> Column:

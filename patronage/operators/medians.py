@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from patronage.functions.parse import number_column
 
-# Values few enough for one task to sort.
-SORTABLE = 200_000
+# Values that are left when the search ends; this many per column and rank are held and sorted at last.
+HANDFUL = 100
 # How far around the wanted rank the two pivots lie, and the sketch size that makes them likely.
 SLACK, SKETCH = 1e-3, 10_000
 
@@ -59,7 +59,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
 
     Each round is two aggregations over all columns at once: a sketch proposes two pivots around the
     middle, and counts say on which side of them it lies. A round cuts the candidates several hundred
-    times; when few enough are left they are sorted.
+    times, down to a handful, so nothing that is held grows with the table.
     """
     if not columns:
         return {}
@@ -73,7 +73,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
         searches[name] = [_Search(F.col(f"_{i}"), rank, n) for rank in middle]
     everything = [s for both in searches.values() for s in both]
 
-    while wide := [s for s in everything if s.answer is None and s.inside > SORTABLE]:
+    while wide := [s for s in everything if s.answer is None and s.inside > HANDFUL]:
         def around(s: _Search) -> list[float]:
             share = (s.rank - s.below) / s.inside
             return [max(share - SLACK, 0.0), min(share + SLACK, 1.0)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -183,16 +184,13 @@ def dedupe_headers(headers: Sequence[str]) -> list[str]:
 
     Names that differ only in case count as repeats too, because Spark resolves them alike.
     """
-    out: list[str] = []
-    used: set[str] = set()
-    for i, header in enumerate(headers, 1):
-        base = str(header).strip() or f"column_{i}"
-        name, k = base, 2
-        while name.lower() in used:
-            name, k = f"{base}__{k}", k + 1
-        used.add(name.lower())
-        out.append(name)
-    return out
+    taken: dict[str, str] = {}  # lower-cased name: the header, in order
+    for place, header in enumerate(headers, 1):
+        wanted = str(header).strip() or f"column_{place}"
+        choices = itertools.chain([wanted], (f"{wanted}__{n}" for n in itertools.count(2)))
+        chosen = next(c for c in choices if c.lower() not in taken)
+        taken[chosen.lower()] = chosen
+    return list(taken.values())
 
 
 def neutralize_formulas(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ the row's place in its sorted slice plus the rows in the slices before it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,15 +18,11 @@ from pyspark.sql import functions as F
 from patronage.columns import field, names, require_columns, require_distinct_roles
 from patronage.errors import InputProblem
 from patronage.functions.parse import number_column
-from patronage.scratch import settled, stored
+from patronage.scratch import stored
 
 # Fixed value: monotonically_increasing_id keeps the partition above this many bits.
 ROW_BITS = 33
 
-# A sketched distinct count above this many times the wanted groups is taken as enough; the sketch is
-# off by a few percent, and exact for so few values.
-SKETCH_MARGIN = 20
-
 ROW_ID, PLACE = "_row_id", "_place"
 
 
@@ -70,7 +67,7 @@ def quantile_score(
     score: str = "score",
     keys: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Adds ``score``: 1 for the best ``1/groups`` of the rows (of each key group), and so on.
+    """Adds ``score``: 1 for the best ``1/groups`` of the rows (of each key group), and so on. Missing keys are a group.
 
     Ties go by ``tiebreak``. Rows without a readable value score NULL. A group with fewer readable or
     distinct values than ``groups`` gets that many scores; with one or none, everybody scores 1.
@@ -82,9 +79,12 @@ def quantile_score(
     direction = F.desc_nulls_last(number) if higher_is_better else F.asc_nulls_last(number)
     ranked = distributed_rank(numbered, [*map(field, keys), direction, *map(field, ties)], PLACE)
 
-    per_group = _group_facts(ranked, keys, number, groups)
+    per_group = _group_facts(ranked, keys, number)
     if keys:
-        joined = ranked.join(per_group, keys, "left")
+        # Null-safe: a group may be the one whose key is missing.
+        facts = per_group.select(*[field(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_rows", "_distinct")
+        same = [ranked[f"`{k}`"].eqNullSafe(facts[f"_k{i}"]) for i, k in enumerate(keys)]
+        joined = ranked.join(facts, functools.reduce(Column.__and__, same), "left")
     else:
         one = per_group.first()
         facts = ("_first", "_rows", "_distinct")
@@ -97,27 +97,17 @@ def quantile_score(
     ).select(*map(field, df.columns), field(score))
 
 
-def _group_facts(ranked: DataFrame, keys: list[str], number: str, groups: int) -> DataFrame:
+def _group_facts(ranked: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Per group: where it starts, how many readable rows it has, and how many distinct values.
 
-    The distinct count matters only when it is below ``groups``. A sketch in the same pass shows which
-    groups can be that poor; only those are counted exactly, and having few values they shrink to a
-    few rows per task before they are shuffled.
+    Equal values shrink to one row per task and then to one row, so a hot value or group is summed where it lies.
     """
     by = [field(k) for k in keys]
-    readable = ranked.where(F.col(number).isNotNull())
-    facts = settled(readable.groupBy(*by).agg(
-        F.min(PLACE).alias("_first"), F.count("*").alias("_rows"),
-        F.approx_count_distinct(number).alias("_distinct")).where(F.col("_rows") > 0), "groups")
-    poor = facts.where(F.col("_distinct") <= SKETCH_MARGIN * groups)
-    if poor.isEmpty():
-        return facts
-    exact = readable.join(poor.select(*by), keys, "left_semi") if keys else readable
-    counted = exact.select(*by, number).distinct().groupBy(*by).agg(F.count("*").alias("_counted"))
-    if not keys:
-        return facts.withColumn("_distinct", counted.select("_counted").scalar())
-    both = facts.join(counted, keys, "left")
-    return settled(both.withColumn("_distinct", F.coalesce("_counted", "_distinct")).drop("_counted"), "groups")
+    values = ranked.where(F.col(number).isNotNull()).groupBy(*by, number).agg(
+        F.min(PLACE).alias("_from"), F.count("*").alias("_n"))
+    return values.groupBy(*by).agg(
+        F.min("_from").alias("_first"), F.sum("_n").alias("_rows"), F.count("*").alias("_distinct")).where(
+        F.col("_rows") > 0)
 
 
 def rfm_scores(
@@ -138,8 +128,12 @@ def rfm_scores(
     require_distinct_roles({"recency": recency, "frequency": frequency, "monetary value": monetary})
     out = quantile_score(df, recency, tiebreak, False, groups, "R_score")
     out = quantile_score(out, frequency, tiebreak, True, groups, "F_score", ["R_score"] if nested else None)
+    if nested:  # a row outside every R group has no place in one
+        out = out.withColumn("F_score", F.when(F.col("R_score").isNotNull(), F.col("F_score")))
     out = quantile_score(out, monetary, tiebreak, True, groups, "M_score",
                          ["R_score", "F_score"] if nested else None)
+    if nested:
+        out = out.withColumn("M_score", F.when(F.col("F_score").isNotNull(), F.col("M_score")))
     scores = [F.col("R_score"), F.col("F_score"), F.col("M_score")]
     label = F.concat(scores[0].cast("string"), F.lit("-"), scores[1].cast("string"), F.lit("-"),
                      scores[2].cast("string"))

@@ -7,6 +7,7 @@ holds a third of the log is merged where the rows lie. No window runs over a cus
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from patronage.columns import field, guarded, names, require_columns, require_di
 from patronage.errors import InputProblem
 from patronage.functions.dates import date_column, elapsed_days, elapsed_units, moment, unit_days
 from patronage.functions.parse import number_column
+from patronage.operators.markov import complete_transitions
 from patronage.operators.ranking import distributed_rank
 from patronage.scratch import stored
 
@@ -42,9 +44,16 @@ def drop_incomplete(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _log(df: DataFrame, customer: str, date: str, *others: Column) -> DataFrame:
-    """The needed columns only: customer, readable date, others."""
+    """The needed columns only: customer, readable date, others. A batch log without one usable row is an error.
+
+    ``prep.unreadable_rows`` counts the rows that are left out. A stream's log may be empty.
+    """
     rows = df.select(field(customer).alias("_customer"), date_column(df, date).alias("_at"), *others)
-    return drop_incomplete(rows, "_customer", "_at")
+    rows = drop_incomplete(rows, "_customer", "_at")
+    if not df.isStreaming and rows.isEmpty():
+        raise InputProblem(f"No row has both a '{customer}' and a readable date in '{date}'.",
+                           "prep.unreadable_rows shows what could not be read.")
+    return rows
 
 
 def _period_start(unit: str, at: Column) -> Column:
@@ -177,13 +186,16 @@ def compress_histories(df: DataFrame, columns: Sequence[str], weight: str | None
 
 
 def active_customers_per_period(df: DataFrame, customer: str, date: str, unit: str,
-                                keys: str | Sequence[str] | None = None) -> DataFrame:
+                                keys: str | Sequence[str] | None = None, before: When = None) -> DataFrame:
     """Customers with at least one row per period (0, 1, 2, ... from the first period of the log).
 
-    Periods nobody was active in are filled with 0, per segment of ``keys``.
+    Periods nobody was active in are filled with 0, per segment of ``keys``. ``before`` ends the log, for instance where
+    its last period is not over.
     """
     keys = names(keys)
     rows = _log(df, customer, date, *map(field, keys))
+    if before is not None:
+        rows = rows.where(F.col("_at") < moment(before))
     starts = rows.select(*map(field, keys), "_customer", _period_start(unit, F.col("_at")).alias("_period"))
     step = PERIOD_STEPS.get(unit)
     if step is None:
@@ -201,14 +213,19 @@ def active_customers_per_period(df: DataFrame, customer: str, date: str, unit: s
         F.coalesce(F.try_element_at("_counts", F.col("period_start")), F.lit(0)).alias("customers"))
 
 
-def survivor_curve(df: DataFrame, cohort: str, last_period: str, horizon: str) -> DataFrame:
+def survivor_curve(df: DataFrame, cohort: str, last_period: str, horizon: str, on_invalid: str = "error") -> DataFrame:
     """(cohort, period, survivors): how many of a cohort reach period 0, 1, ... up to ``horizon``.
 
     One input row per customer: its cohort, the last period it reached (0-based, from the cohort's
-    start) and the cohort's last observable period.
+    start) and the cohort's last observable period. Both must be known and not negative: a customer for whom
+    they are not stops the job, or with ``on_invalid='null'`` is left out of the curve.
     """
     observable = field(horizon).cast("int")
-    known = df.where(field(last_period).isNotNull() & field(horizon).isNotNull())
+    usable = F.coalesce((field(last_period) >= 0) & (field(horizon) >= 0), F.lit(False))
+    if on_invalid == "error":
+        usable = F.when(usable, True).otherwise(F.raise_error(F.lit(
+            "a customer without a last period or horizon of 0 or more")).cast("boolean"))
+    known = df.where(usable)
     rows = known.select(field(cohort).alias("_cohort"), observable.alias("_horizon"),
                         F.least(field(last_period).cast("int"), observable).alias("_last"))
     exits = rows.groupBy("_cohort", "_last").agg(F.count("*").alias("_n"), F.max("_horizon").alias("_horizon"))
@@ -263,8 +280,11 @@ def _with_next(placed: DataFrame, place: str, columns: Sequence[str]) -> DataFra
 
 
 def estimate_transitions(df: DataFrame, customer: str, date: str, state: str, tiebreak: str,
-                         scenario: str | None = None) -> DataFrame:
-    """Share of moves from one state to the next per customer: (scenario, from_state, to_state, prob).
+                         scenario: str | None = None, absorbing: str = "stay") -> DataFrame:
+    """Share of moves from one state to the next per customer: (scenario, from_state, to_state, moves, prob).
+
+    The matrix is whole: pairs of a scenario's states that were never seen are 0; a state that no customer left leads to
+    itself, or stops the job with ``absorbing='error'``.
 
     "Next" needs the rows of a customer in time order. A window per customer would put a hot customer
     into one task; instead rows are placed in order over (scenario, customer, time, tie-break) across
@@ -281,7 +301,13 @@ def estimate_transitions(df: DataFrame, customer: str, date: str, state: str, ti
     keys = same[:-1]
     counts = moves.groupBy(*keys, F.col("_state").alias("from_state"), F.col("_next._state").alias("to_state")).agg(
         F.count("*").alias("moves"))
-    # One row per pair of states is left; it is kept, because checks and paths read it repeatedly.
+    # One row per pair of states is left. Pairs never seen are 0, and states never left stay.
     total = F.sum("moves").over(W.partitionBy(*keys, "from_state"))
-    out = stored(counts.withColumn("prob", F.col("moves") / total), "transitions")
+    seen = stored(counts.withColumn("prob", F.col("moves") / total), "transitions")
+    whole = complete_transitions(seen, keys, absorbing)
+    pair = [*keys, "from_state", "to_state"]
+    right = seen.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(pair)], "moves")
+    same = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(pair)]
+    out = whole.join(right, functools.reduce(Column.__and__, same), "left").select(
+        *pair, F.coalesce("moves", F.lit(0).cast("long")).alias("moves"), "prob")
     return out.withColumnRenamed("_scenario", scenario) if who else out

@@ -134,10 +134,8 @@ def score_bgbb(df: DataFrame, n: str = "n", tx: str = "tx", x: str = "x", future
     theta = (fit.alpha, fit.beta, fit.gamma, fit.delta)
     scores = {"probability_alive": bgbb_probability_alive("_n", "_tx", "_x", *theta),
               "expected_future_purchases": bgbb_expected_purchases("_n", "_tx", "_x", future_periods, *theta)}
-    if histories.count() <= BROADCAST_HISTORIES:
-        # Equal histories have equal scores: computed once each and looked up by every customer.
-        table = histories.select("_n", "_tx", "_x").withColumns(scores)
-        scored = rows.join(F.broadcast(table), ["_n", "_tx", "_x"])
-    else:
-        scored = rows.withColumns(scores)
+    # Equal histories have equal scores: computed once each and looked up by every customer. The table has been written,
+    # so Spark knows its size and chooses the join; a history that many customers share is split by adaptive execution.
+    table = histories.select("_n", "_tx", "_x").withColumns(scores)
+    scored = rows.join(table, ["_n", "_tx", "_x"])
     return fit, scored.drop("_n", "_tx", "_x", "_w")

@@ -22,7 +22,7 @@ from patronage.functions.special import (
     trigamma,
 )
 from patronage.plans.newton import Derivatives, maximise, points_column
-from patronage.scratch import settled, stored
+from patronage.scratch import stored
 
 # Bounds of the log parameters, and the four starts as (r, alpha per median T, a, b).
 LOG_BOUNDS = (-12.0, 16.0)
@@ -62,16 +62,17 @@ def read_histories(df: DataFrame, x: str, tx: str, T: str, weight: str | None =
 def compressed_histories(rows: DataFrame) -> DataFrame:
     """Distinct histories with their summed weight, computed once; this is all a fit reads again."""
     return stored(rows.groupBy("_x", "_tx", "_T").agg(
-        F.sum("_w").alias("weight"), F.min("_w").alias("least_weight")), "bgnbd-histories")
+        F.sum("_w").alias("weight"), F.min("_w").alias("least_weight"), F.count("*").alias("customers")),
+        "bgnbd-histories")
 
 
 def validate_bgnbd(histories: DataFrame) -> float:
-    """One pass over the distinct histories: their median T, or an error for a broken rule."""
+    """One pass over the distinct histories: the median T of the customers, or an error for a broken rule."""
     reason = invalid_reason([*bgnbd_rules("_x", "_tx", "_T"),
                              (F.col("least_weight") >= 0, "weights must not be negative")])
     found = histories.agg(
         F.count("*").alias("rows"), F.max(reason).alias("reason"),
-        F.percentile_approx("_T", 0.5).alias("median")).first()
+        F.percentile("_T", F.lit(0.5), F.col("customers")).alias("median")).first()
     if not found["rows"]:
         raise InputProblem("No row has a finite x, tx and T.")
     if found["reason"]:
@@ -90,7 +91,7 @@ class _Likelihood:
     """
 
     def __init__(self, histories: DataFrame):
-        histogram = settled(histories.groupBy("_x").agg(F.sum("weight").alias("count")), "bgnbd-histogram")
+        histogram = stored(histories.groupBy("_x").agg(F.sum("weight").alias("count")), "bgnbd-histogram")
         none = F.lit(None).cast("double")
         self.table = histories.select("_x", "_tx", "_T", "weight", none.alias("count")).unionByName(
             histogram.select("_x", none.alias("_tx"), none.alias("_T"), none.alias("weight"), "count"))

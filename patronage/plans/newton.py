@@ -18,10 +18,6 @@ Derivatives = tuple[float, np.ndarray, np.ndarray]
 Evaluate = Callable[[np.ndarray], list[Derivatives]]
 
 LONGEST_STEP = 2.0
-# A start is given up when this many times its promised rise leaves it below the best one.
-PATIENCE = 20.0
-# Passes every start gets before any is given up.
-WARM_UP = 5
 
 
 @dataclass
@@ -78,10 +74,6 @@ class _Climber:
             self.damping = max(self.damping * 10, 1e-10)
             self.done = self.damping > 1e6
 
-    def hopeless(self, best: float) -> bool:
-        """Even many times the rise its own curvature promises would not reach the best start."""
-        return self.value + PATIENCE * self.gain < best or self.gain < 1e-6 * abs(best) and self.value < best
-
 
 def maximise(evaluate: Evaluate, starts: Sequence[Sequence[float]], low: Sequence[float],
              high: Sequence[float], tolerance: float = 1e-9, max_passes: int = 100) -> Optimum:
@@ -93,10 +85,6 @@ def maximise(evaluate: Evaluate, starts: Sequence[Sequence[float]], low: Sequenc
         for c in climbers:
             if not c.done:
                 c.propose(tolerance)
-        best = max(climbers, key=lambda c: c.value)
-        if passes >= WARM_UP:
-            for c in climbers:
-                c.done = c.done or c is not best and c.hopeless(best.value)
         active = [c for c in climbers if not c.done]
         if not active:
             break

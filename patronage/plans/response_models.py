@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -22,8 +23,8 @@ from patronage.scratch import stored
 MOST_TERMS = 4096
 # Fixed value: most iterations of the logistic fit.
 MOST_ITERATIONS = 500
-# Thresholds considered per predictor; exact for predictors with fewer distinct values.
-TREE_BINS = 512
+# Most thresholds considered per predictor: a tree's histograms hold this many cells per predictor and node.
+TREE_BINS = 65_536
 PREDICTED = "predicted_probability"
 LABEL, FEATURES = "_label", "_features"
 
@@ -176,8 +177,9 @@ def fit_decision_tree(df: DataFrame, outcome: str, predictors: Sequence[str], ma
 
     The variance of a 0/1 outcome is p(1−p), half the Gini impurity, so a regression tree makes the
     same splits. It is used because Spark's classification tree merges neighbouring leaves that vote
-    for the same class, which for rare responses leaves one leaf and one probability. A predictor
-    with more than ``max_bins`` distinct values is split at quantiles.
+    for the same class, which for rare responses leaves one leaf and one probability. Thresholds lie
+    between any two neighbouring values, found in all rows. Only a predictor with more than
+    ``max_bins`` distinct values is split at its quantiles instead.
     """
     rows = _model_rows(df, outcome, predictors)
     known = rows.where(F.col(LABEL).isNotNull())
@@ -191,9 +193,12 @@ def fit_decision_tree(df: DataFrame, outcome: str, predictors: Sequence[str], ma
         for level, _ in levels:
             terms[f"{c}_{level}"] = (text == level).cast("double")
     rows = _design(rows, terms)
+    # Spark looks for thresholds in a sample of the rows once they outnumber the square of its bins.
+    facts = known.agg(F.count("*"), *[F.count_distinct(terms[c]) for c in numbers]).first()
+    bins = min(max_bins, max(32, math.isqrt(facts[0]) + 1, *[n + 1 for n in facts[1:]], 32))
     tree = DecisionTreeRegressor(
         impurity="variance", labelCol=LABEL, featuresCol=FEATURES, predictionCol=PREDICTED, seed=42,
-        maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, maxBins=max_bins,
+        maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, maxBins=bins,
     ).fit(rows.where(F.col(LABEL).isNotNull()))
     importances = tree.featureImportances.toArray()
     importance = df.sparkSession.createDataFrame(

@@ -2,12 +2,12 @@
 
 A job that reads the same intermediate rows more than once (rank, then count; or one pass per
 fit iteration) must see the *same* rows each time, also after an executor is lost. Such rows are
-written to the shared folder the cluster names in ``spark.checkpoint.dir``.
+written to the shared folder the cluster names in ``spark.checkpoint.dir``, below a folder named after
+the application. ``clear_scratch`` removes that folder when its results have been used.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,22 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from patronage.errors import InputProblem
 
 SETTING = "spark.checkpoint.dir"
+# Where a local master, which has one machine and no shared folder, keeps its tables if the setting is missing.
+LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder; only a local master may fall back to a folder of this machine."""
+    """This application's folder for intermediate tables. The session's settings are read, never changed."""
     folder = spark.conf.get(SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise InputProblem(f"{SETTING} is not set.", "Name a folder every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set(SETTING, folder)
-    return folder
+    if not folder:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise InputProblem(f"{SETTING} is not set.", "Name a folder every executor can reach.")
+        folder = LOCAL_FOLDER
+    return f"{folder.rstrip('/')}/patronage-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_folder(spark)}/patronage/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -41,17 +41,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Rows up to which a narrow table travels inside the plan.
-SMALL_TABLE = 10_000
-
-
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """A narrow table that is cheap to compute: up to 10,000 rows travel in the plan, more are ``stored``.
-
-    Either way its size is known, so a join with it is broadcast exactly when it is small. A large one is
-    computed twice, so this is for tables derived from stored rows; others go to ``stored``.
-    """
-    rows = df.limit(SMALL_TABLE + 1).collect()
-    if len(rows) > SMALL_TABLE:
-        return stored(df, label)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes every table this application has stored; DataFrames that still read them fail from then on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

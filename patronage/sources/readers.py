@@ -11,12 +11,12 @@ from patronage.errors import InputProblem
 
 
 def read_csv_table(spark: SparkSession, path, schema: T.StructType | str | None = None,
-                   multiline: bool = True) -> DataFrame:
+                   multiline: bool = False) -> DataFrame:
     """A CSV file or folder with a header row.
 
     Without a schema every column is text: no inference pass over the data, and the operators read
-    each column by its role. ``multiline`` allows line breaks inside quoted cells; switch it off for
-    huge files without them, so that one file can be split over tasks.
+    each column by its role. A file is split over tasks, for which a record must be a line;
+    ``multiline`` allows line breaks inside quoted cells, and then a file is one task.
     """
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     return (reader.schema(schema) if schema is not None else reader).csv(path)
@@ -41,10 +41,10 @@ def flatten_structs(df: DataFrame) -> DataFrame:
 
 
 def read_json_records(spark: SparkSession, path, schema: T.StructType | str | None = None,
-                      lines: bool = False) -> DataFrame:
-    """A list of records (or, with ``lines``, one record per line) as one flat table.
+                      lines: bool = True) -> DataFrame:
+    """One record per line, or without ``lines`` a list of records, as one flat table.
 
-    One record per line is the form for large data: such a file can be split over tasks.
+    Lines can be split over tasks; a list is one value, and its file is one task.
     """
     reader = spark.read.option("multiLine", not lines)
     return flatten_structs((reader.schema(schema) if schema is not None else reader).json(path))
@@ -62,7 +62,7 @@ def read_json_tables(spark: SparkSession, path, schema: T.StructType | str | Non
     if head is None:
         raise InputProblem(f"Nothing to read at {path}.")
     if head["first"] == "[":
-        return {"data": read_json_records(spark, path, schema)}
+        return {"data": read_json_records(spark, path, schema, lines=False)}
     if head["first"] != "{":
         text = spark.read.text(path, wholetext=True)
         bare = F.trim(F.regexp_replace("value", r"^\uFEFF", ""))

@@ -22,9 +22,8 @@ counts AS (SELECT s.c_mktsegment, s.period, s.quarter AS period_start, coalesce(
 
 
 def counts(spark, folder):
-    orders = table(spark, folder, "orders").where(F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp_ntz"))
-    log = orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return active_customers_per_period(log, "o_custkey", "o_orderdate", "quarter", "c_mktsegment")
+    log = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return active_customers_per_period(log, "o_custkey", "o_orderdate", "quarter", "c_mktsegment", "2001-07-01")
 
 
 @query(f"WITH {QUARTER_SQL} SELECT * FROM counts")

@@ -63,10 +63,10 @@ def profile_of_conversations(spark, folder):
 
 
 @query("""
-SELECT CAST(sum(n) AS BIGINT) AS rows, 2 AS columns, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
-FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)""")
+SELECT CAST(sum(n) AS BIGINT) AS rows, 6 AS columns, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS n FROM events GROUP BY event_id, ts, user_id, event_type, value, props)""")
 def shape_of_events(spark, folder):
-    return prep.table_shape(table(spark, folder, "events").select("user_id", "event_type"))
+    return prep.table_shape(table(spark, folder, "events"))
 
 
 @query("SELECT * FROM customer ORDER BY c_custkey LIMIT 100")
@@ -105,9 +105,9 @@ def csv_round_trip(spark, folder):
     """Orders written as CSV and read back by role; the date is text in between."""
     path = scratch_path(spark, "csv")
     sinks.write_table(table(spark, folder, "orders"), path, "csv")
-    text = readers.read_csv_table(spark, path, multiline=False)
+    text = readers.read_csv_table(spark, path)
     read = prep.coerce_numeric(text, "o_totalprice")
-    read = prep.coerce_date(read, "o_orderdate", formats=["yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss"])
+    read = prep.coerce_date(read, "o_orderdate")
     return read.withColumns({k: F.col(k).cast("long") for k in ("o_orderkey", "o_custkey")})
 
 
@@ -119,7 +119,7 @@ def csv_round_trip_of_texts(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", F.regexp_replace(
         "text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "").alias("text"))
     sinks.write_table(documents, path, "csv", safe=False)
-    return readers.read_csv_table(spark, path, "doc_id BIGINT, text STRING")
+    return readers.read_csv_table(spark, path, "doc_id BIGINT, text STRING", multiline=True)
 
 
 @query("""
