@@ -109,5 +109,49 @@ QUERIES: dict[str, Query] = {
     "op10_length_histogram": op10_length_histogram,
 }
 
-# Words as in the operators: `[^ \t\n\x0b\f\r]+`, A-Z lower-cased.
-SQL: dict[str, str] = {}
+# Words and shingles as in the operators; the others are beyond SQL and are tested against plain computations.
+WORD = r"[^ \t\n\x0b\f\r]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingle_sql(table: str, key: str) -> str:
+    """Distinct (key, shingle) of a table's texts."""
+    words = f"regexp_extract_all({LOWER.format('text')}, '{WORD}')"
+    return f"""SELECT DISTINCT {key}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+                  ELSE array_to_string(w[i:i + 4], ' ') END AS s
+        FROM (SELECT {key}, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i
+              FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
+
+
+SQL: dict[str, str] = {
+    "op5_repeated_passages": f"""
+WITH word AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM word WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + g AS i FROM later, generate_series(0, 19) AS s(g)),
+each AS (SELECT doc_id, w[i] AS x, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM word)),
+left_over AS (SELECT e.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS text
+              FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY ALL)
+SELECT word.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM word LEFT JOIN left_over USING (doc_id)""",
+    "op6_benchmark_leaks": f"""
+WITH doc AS ({_shingle_sql("documents", "doc_id")}),
+item AS ({_shingle_sql("benchmark", "item_id")}),
+size AS (SELECT item_id, count(*) AS n_item_shingles FROM item GROUP BY ALL)
+SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
+FROM doc JOIN item USING (s) JOIN size USING (item_id) GROUP BY ALL HAVING 100 * count(*) >= 75 * n_item_shingles""",
+    "op9_near_duplicates": f"""
+WITH RECURSIVE doc AS MATERIALIZED ({_shingle_sql("documents", "doc_id")}),
+size AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY ALL),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM doc a JOIN doc b ON a.s = b.s AND a.doc_id < b.doc_id
+         GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y
+                      WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM way UNION SELECT r.x, w.y FROM reach r JOIN way w ON r.y = w.x),
+root AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY ALL)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       doc_id <= coalesce(low, doc_id) AS kept
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN root USING (doc_id)""",
+}
