@@ -149,12 +149,24 @@ class RetentionForecast:
 
 
 def sbg_forecast(df: DataFrame, keys: str | Sequence[str] | None, period: str, survivors: str, horizon: int,
-                 on_invalid: str = "error") -> RetentionForecast:
-    """Survival and retention per cohort for periods 0..max(horizon, last observed period)."""
+                 on_invalid: str = "error", given: tuple[float, float] | None = None) -> RetentionForecast:
+    """Survival and retention per cohort for periods 0..max(horizon, last observed period).
+
+    ``given`` (alpha, beta) applies known parameters to all cohorts instead of fitting each.
+    """
     if horizon < 0:
         raise InputProblem("The forecast horizon cannot be negative.")
+    if given is not None and not min(given) > 0:
+        raise InputProblem("Alpha and beta must be positive.")
     k = [field(c) for c in names(keys)]
-    fits = _fitted(df, keys, period, survivors, on_invalid)
+    if given is None:
+        fits = _fitted(df, keys, period, survivors, on_invalid)
+    else:
+        known = dict(zip(("alpha", "beta"), given))
+        good = F.col("invalid_reason").isNull()
+        fits = prepare_survivors(df, keys, period, survivors, on_invalid).select(
+            *k, "survivors", *[F.when(good, F.lit(float(known[f.name])) if f.name in known else F.lit(None)).cast(
+                f.dataType).alias(f.name) for f in FIT.fields], "invalid_reason")
     s, start = F.col("survivors"), F.get("survivors", F.lit(0))
     last = F.greatest(F.lit(int(horizon)), F.size(s) - 1)
     periods = fits.where(F.col("invalid_reason").isNull()).select(

@@ -148,12 +148,14 @@ def _gained(retention: Column) -> Column:
 
 def customer_equity(df: DataFrame, keys: str | Sequence[str] | None, period: str, customers: str, *,
                     acquisition_cost, margin, retention, discount, tax_rate=0.0, forecast_periods: int = 100,
-                    periods_per_year: int = 1, change: float = 0.01, on_invalid: str = "error") -> EquityResult:
+                    periods_per_year: int = 1, change: float = 0.01, on_invalid: str = "error",
+                    given: tuple[float, float, float] | None = None) -> EquityResult:
     """Value of present and future customers per segment, from a history of customer counts.
 
     The count history is put in period order. Margin, retention and the other inputs are numbers for
     all segments. A one-percent better margin or acquisition cost leaves past acquisitions unchanged,
     so the elasticities need two curve fits per segment, with today's and with the better retention.
+    ``given`` (alpha, beta, gamma) is a known acquisition curve for all segments; then nothing is fitted.
     """
     if periods_per_year < 1:
         raise InputProblem("Periods per year must be at least one.")
@@ -186,9 +188,15 @@ def customer_equity(df: DataFrame, keys: str | Sequence[str] | None, period: str
         return F.transform(name, lambda v: F.greatest(v, F.lit(0.0)))
 
     packed = packed.withColumns({"_base": floor("_base"), "_better": floor("_better")})
-    fitted = _fit(packed, F.when(good, F.col("_times")), F.when(good, F.col("_base")), "_curve")
-    fitted = _fit(fitted, F.when(reachable, F.col("_times")), F.when(reachable, F.col("_better")), "_curve_better")
-    fitted = stored(fitted.drop("repeats"), "equity-fits")
+    if given is None:
+        fitted = _fit(packed, F.when(good, F.col("_times")), F.when(good, F.col("_base")), "_curve")
+        fitted = _fit(fitted, F.when(reachable, F.col("_times")), F.when(reachable, F.col("_better")), "_curve_better")
+        fitted = stored(fitted.drop("repeats"), "equity-fits")
+    else:
+        curve = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(CURVE.names, given)],
+                         *[F.lit(None).cast("double").alias(n) for n in CURVE.names[3:]])
+        fitted = packed.drop("repeats").withColumns(
+            {"_curve": F.when(good, curve), "_curve_better": F.when(reachable, curve)})
 
     cost, tax = float(acquisition_cost), float(tax_rate)
     last_t, last_n = F.element_at("t", -1), F.element_at("y", -1)
