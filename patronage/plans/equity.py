@@ -36,69 +36,90 @@ def _bell(t: np.ndarray, beta: np.ndarray, gamma: np.ndarray) -> np.ndarray:
     return gamma * e / (1 + e) ** 2
 
 
-def _fit_bell(t: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Least squares of one short series.
+def _fit_bells(t: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Least squares of many short series at once: rows of (alpha, beta, gamma, sse, r_squared).
 
-    For given (beta, gamma) the best alpha has a closed form, so the search has two dimensions: a
-    coarse grid over peak position and width and the known starts, then a grid that follows the best
-    cell and shrinks around it.
+    ``t`` and ``y`` are series by period, padded where ``real`` is 0. For given (beta, gamma) the best alpha has a closed
+    form, so the search has two dimensions: a coarse grid over peak position and width and the known starts, then a grid
+    that follows the best cell and shrinks around it.
     """
-    scale = max(2 * y.sum(), 4 * y.max(), 1.0)
-    most = max(scale * ALPHA_FACTOR, ALPHA_ROOM)
+    n = real.sum(1)
+    low, high = np.where(real > 0, t, np.inf).min(1), np.where(real > 0, t, -np.inf).max(1)
+    most = np.maximum(np.maximum.reduce([2 * y.sum(1), 4 * y.max(1), np.ones(len(y))]) * ALPHA_FACTOR, ALPHA_ROOM)
 
-    def best_of(beta: np.ndarray, log_gamma: np.ndarray):
+    def best_of(rows, beta, log_gamma):
+        """Best of the points of each row: sse, beta, log gamma, alpha."""
         beta = np.clip(beta, -BETA_BOUND, BETA_BOUND)
         log_gamma = np.clip(log_gamma, *np.log(GAMMA_BOUNDS))
-        shape = _bell(t[None, :], beta[:, None], np.exp(log_gamma)[:, None])
-        power = (shape * shape).sum(1)
-        alpha = np.clip((shape @ y) / np.where(power > 0, power, 1.0), ALPHA_LEAST, most)
+        shape = _bell(t[rows][:, None, :], beta[..., None], np.exp(log_gamma)[..., None]) * real[rows][:, None, :]
+        power = (shape * shape).sum(2)
+        alpha = (shape * y[rows][:, None, :]).sum(2) / np.where(power > 0, power, 1.0)
+        alpha = np.clip(alpha, ALPHA_LEAST, most[rows][:, None])
         # Residuals, not the expanded square: the sum keeps its digits for close fits.
-        sse = ((alpha[:, None] * shape - y) ** 2).sum(1)
-        i = int(np.argmin(sse))
-        return sse[i], beta[i], log_gamma[i], alpha[i]
-
-    span = max(t.max() - t.min(), 1.0)
-    widths = np.exp(np.linspace(np.log(0.2 / span), np.log(4.0), 21))
-    peaks = np.linspace(t.min() - span, t.max() + 2 * span, 61)
-    gammas, at = (a.ravel() for a in np.meshgrid(widths, peaks))
-    seeds = [best_of(-gammas * at, np.log(gammas))]
-    seeds += [best_of(np.array([b]), np.log([g])) for b, g in STARTS]
+        sse = ((alpha[..., None] * shape - y[rows][:, None, :]) ** 2).sum(2)
+        at = (np.arange(len(rows)), sse.argmin(1))
+        return sse[at], beta[at], log_gamma[at], alpha[at]
+
+    every = np.arange(len(t))
+    span = np.maximum(high - low, 1.0)[:, None]
+    widths = np.exp(np.linspace(np.log(0.2 / span[:, 0]), np.log(4.0), 21, axis=1))
+    peaks = np.linspace(low - span[:, 0], high + 2 * span[:, 0], 61, axis=1)
+    gammas = np.tile(widths, (1, 61))
+    at = np.repeat(peaks, 21, axis=1)
+    found = [best_of(every, -gammas * at, np.log(gammas))]
+    found += [best_of(every, np.full((len(t), 1), b), np.full((len(t), 1), np.log(g))) for b, g in STARTS]
+
+    rows = np.tile(every, len(found))
+    sse, beta, log_gamma, alpha = (np.concatenate(part) for part in zip(*found))
+    # The frame (height at the centre of the data, gamma) is less slanted than (beta, gamma).
+    centre = (np.where(real > 0, t, 0).sum(1) / n)[rows]
+    reach_u, reach_v = np.full(len(rows), 1.0), np.full(len(rows), 0.5)
     unit = np.linspace(-1, 1, 9)
-    du, dv = (a.ravel() for a in np.meshgrid(unit, unit))
-    results = []
-    for sse, beta, log_gamma, alpha in seeds:
-        # The frame (height at the centre of the data, gamma) is less slanted than (beta, gamma).
-        centre = t.mean()
-        reach_u, reach_v = 1.0, 0.5
-        for _ in range(400):
-            gamma = np.exp(log_gamma + reach_v * dv)
-            height = beta + np.exp(log_gamma) * centre + reach_u * du
-            found = best_of(height - gamma * centre, log_gamma + reach_v * dv)
-            moved = found[0] < sse
-            edge = moved and (abs(found[2] - log_gamma) > 0.9 * reach_v
-                              or abs(found[1] + np.exp(found[2]) * centre
-                                     - beta - np.exp(log_gamma) * centre) > 0.9 * reach_u)
-            if moved:
-                sse, beta, log_gamma, alpha = found
-            if not edge:
-                reach_u, reach_v = reach_u / 2, reach_v / 2
-            if max(reach_u, reach_v) < 1e-11:
-                break
-        results.append((sse, alpha, beta, np.exp(log_gamma)))
-    sse, alpha, beta, gamma = min(results)
-    spread = ((y - y.mean()) ** 2).sum()
-    return alpha, beta, gamma, sse, 1 - sse / spread if spread > 0 else 1.0
+    du, dv = (a.ravel()[None, :] for a in np.meshgrid(unit, unit))
+    for _ in range(400):
+        go = np.flatnonzero(np.maximum(reach_u, reach_v) >= 1e-11)
+        if not len(go):
+            break
+        u, v, mid = reach_u[go][:, None], reach_v[go][:, None], centre[go][:, None]
+        was_beta, was_gamma = beta[go], log_gamma[go]
+        height = was_beta[:, None] + np.exp(was_gamma)[:, None] * mid + u * du
+        gamma = np.exp(was_gamma[:, None] + v * dv)
+        new = best_of(rows[go], height - gamma * mid, was_gamma[:, None] + v * dv)
+        moved = new[0] < sse[go]
+        shift = np.abs(new[1] + np.exp(new[2]) * centre[go] - was_beta - np.exp(was_gamma) * centre[go])
+        edge = moved & ((np.abs(new[2] - was_gamma) > 0.9 * reach_v[go]) | (shift > 0.9 * reach_u[go]))
+        for old, now in zip((sse, beta, log_gamma, alpha), new):
+            old[go] = np.where(moved, now, old[go])
+        shrink = np.where(edge, 1.0, 0.5)
+        reach_u[go] *= shrink
+        reach_v[go] *= shrink
+
+    best = sse.reshape(len(found), -1).argmin(0) * len(t) + every
+    mean = y.sum(1) / n
+    spread = (((y - mean[:, None]) * real) ** 2).sum(1)
+    r_squared = np.where(spread > 0, 1 - sse[best] / np.where(spread > 0, spread, 1), 1.0)
+    return np.column_stack([alpha[best], beta[best], np.exp(log_gamma[best]), sse[best], r_squared])
+
+
+# Series that are fitted together; bounds the arrays of a search step.
+TOGETHER = 64
 
 
 @F.pandas_udf(CURVE)
 def _fit_curves(t: pd.Series, y: pd.Series) -> pd.DataFrame:
     """Curve per (t, y) series; NULL series give NULL curves."""
-    rows = [
-        (None,) * 5 if times is None or values is None
-        else _fit_bell(np.asarray(times, float), np.asarray(values, float))
-        for times, values in zip(t, y)
-    ]
-    return pd.DataFrame(rows, columns=CURVE.names, dtype=float)
+    out = np.full((len(t), len(CURVE.names)), np.nan)
+    usable = [i for i, (times, values) in enumerate(zip(t, y)) if times is not None and values is not None]
+    usable.sort(key=lambda i: len(t.iloc[i]))
+    for i in range(0, len(usable), TOGETHER):
+        part = usable[i:i + TOGETHER]
+        longest = len(t.iloc[part[-1]])
+        times, values, real = (np.zeros((len(part), longest)) for _ in range(3))
+        for row, k in enumerate(part):
+            size = len(t.iloc[k])
+            times[row, :size], values[row, :size], real[row, :size] = t.iloc[k], y.iloc[k], 1.0
+        out[part] = _fit_bells(times, values, real)
+    return pd.DataFrame(out, columns=CURVE.names)
 
 
 def _fit(series: DataFrame, times: Column, values: Column, into: str) -> DataFrame:

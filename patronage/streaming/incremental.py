@@ -7,14 +7,14 @@ batch functions turn the current totals into RFM or BG/NBD inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from patronage.errors import InputProblem
 from patronage.functions.dates import moment
 from patronage.operators.summaries import When, bgnbd_from_totals, purchase_totals, rfm_from_totals
-from patronage.scratch import scratch_path
+from patronage.scratch import scratch_path, stored
 
 
 def stream_totals(purchases: DataFrame, customer: str, date: str, amount: str, path: str,
@@ -42,6 +42,27 @@ def current_totals(updates: DataFrame, customer: str) -> DataFrame:
     return newest.select(customer, "t.*")
 
 
+def compact_totals(spark: SparkSession, path: str, customer: str) -> None:
+    """Leaves one folder of newest totals under ``path`` in place of one per batch, so that reads stop growing.
+
+    Run it between two runs of the stream, not beside one. It takes the number of the last batch: later batches count as
+    newer. Folders go only after the new one is whole; a run that breaks off leaves totals that say the same.
+    """
+    updates = spark.read.parquet(path)
+    last = updates.agg(F.max("batch")).first()[0]
+    if last is None:
+        return
+    newest = stored(current_totals(updates, customer), "totals")
+    newest.write.mode("overwrite").parquet(f"{path}/batch={last}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and name != f"batch={last}":
+            files.delete(status.getPath(), True)
+
+
 def rfm_now(totals: DataFrame, customer: str, observation_date: When = None) -> DataFrame:
     """RFM inputs as of ``observation_date`` (default: the latest purchase)."""
     ends = totals.agg(F.struct(F.min("first_purchase").alias("start"),

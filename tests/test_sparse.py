@@ -114,3 +114,18 @@ def test_scratch_leaves_the_session_alone(spark):
     assert table.count() == 5 and spark.conf.get(SETTING) == before
     assert spark.sparkContext.applicationId in scratch_folder(spark)
     assert scratch_folder(spark).startswith(before) and callable(clear_scratch)
+
+
+def test_compacted_totals_say_the_same(spark, tmp_path):
+    from patronage.streaming import incremental
+    schema = "who int, last long"
+    for batch, rows in enumerate([[(1, 10), (2, 20)], [(2, 25), (3, 30)], [(1, 40)]]):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/batch={batch}")
+
+    def totals():
+        return sorted(tuple(r) for r in incremental.current_totals(spark.read.parquet(str(tmp_path)), "who").collect())
+
+    before = totals()
+    incremental.compact_totals(spark, str(tmp_path), "who")
+    assert totals() == before == [(1, 40), (2, 25), (3, 30)]
+    assert [p.name for p in tmp_path.iterdir() if p.is_dir()] == ["batch=2"]
