@@ -312,8 +312,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     if not more.isEmpty():
         found = components(links.union(verified(more, texts, percent)))
 
-    root = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        *print_columns, F.coalesce("root", "rep").alias("component"))
+    # Written, so that the last join has a shuffle of its own on both sides, and a class of very many copies is split.
+    root = stored(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+        *print_columns, F.coalesce("root", "rep").alias("component")), "classes")
     out = signed.select("id", *print_columns).join(root, print_columns, "left").withColumn(
         "component_id", F.when(F.col("id").isNull(), None).when(F.col("n_shingles") > 0, F.col("component"))
         .otherwise(F.col("id")))
