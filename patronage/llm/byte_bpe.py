@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patronage.columns import field, require_columns
 from patronage.errors import InputProblem
-from patronage.llm.words import bytes_of, slices
+from patronage.llm.words import bytes_of, lean, slices
 
 # Words a task remembers; bytes of text whose new words are merged together, and that are handled at once.
 HELD = 200_000
-GROUP, SLICE = 1 << 23, 1 << 19
+GROUP, SLICE = 1 << 22, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,12 +81,12 @@ class Merges:
         ends = np.cumsum(sizes)
         body = np.frombuffer(b"".join([pieces[i] for i in todo]), np.uint8)
         token = self.single[body]
-        owner = np.repeat(np.arange(len(todo)), sizes)
-        after = np.arange(1, len(token) + 1)
+        owner = np.repeat(np.arange(len(todo), dtype=np.int32), sizes)
+        after = np.arange(1, len(token) + 1, dtype=np.int32)
         after[ends - 1] = -1
-        before = np.arange(-1, len(token) - 1)
+        before = np.arange(-1, len(token) - 1, dtype=np.int32)
         before[ends - sizes] = -1
-        pair = np.full(len(token), -1)  # rank of the pair that begins at each place
+        pair = np.full(len(token), -1, np.int32)  # rank of the pair that begins at each place
         at = np.flatnonzero(after >= 0)
         pair[at] = self.bytes[body[at], body[at + 1]]
 
@@ -233,6 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     ranks = send_ranks(docs.sparkSession, path)
 
     def run(batches):
+        lean()
         encoder = Encoder(ranks.value, pattern)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
@@ -260,6 +261,7 @@ def decode(rows: DataFrame, path: str, ids: str = "token_ids", decoded: str = "b
     ranks = send_ranks(rows.sparkSession, path)
 
     def run(batches):
+        lean()
         top = max(ranks.value.values(), default=-1) + 1
         tokens = [b""] * (top + 1)
         for token, rank in ranks.value.items():

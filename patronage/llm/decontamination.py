@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from patronage.columns import field, require_columns
 from patronage.llm.membership import BITS, key_bitmap, maybe_in
 from patronage.llm.near_dedup import MinHasher, shingle_sets
-from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lower_table, mixed, pieces
+from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, lower_table, mixed, pieces
 from patronage.scratch import stored
 
 SHINGLE = 5
@@ -56,6 +56,7 @@ def _level(n: int) -> int:
 def item_keys(items: DataFrame) -> DataFrame:
     """item, text_id, level, keys of every item text with words. ``items``: id, text."""
     def run(batches):
+        lean()
         white, fold, hasher, minhash = is_white(), lower_table(), Hasher(BASES[0]), MinHasher(SAMPLES)
         for batch in batches:
             for i, j, w in pieces(batch.column(2), white, fold):
@@ -78,6 +79,7 @@ def item_keys(items: DataFrame) -> DataFrame:
 def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     """Bitmap over all item keys: every task fills its own, and they are merged word by word."""
     def run(batches):
+        lean()
         filled = np.zeros(1 << (bits - 6), U64)
         for batch in batches:
             filled |= key_bitmap(batch.column(0).to_numpy().view(U64), bits)
@@ -118,6 +120,7 @@ def suspects(docs: DataFrame, filled: np.ndarray, levels: list[int], bits: int)
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches):
+        lean()
         white, fold, hasher, minhash = is_white(), lower_table(), Hasher(BASES[0]), MinHasher(SAMPLES)
         filter_ = sent.value
         for batch in batches:
@@ -147,6 +150,7 @@ def suspects(docs: DataFrame, filled: np.ndarray, levels: list[int], bits: int)
 def _contained(pairs: DataFrame, percent: int) -> DataFrame:
     """id, item, n_item_shingles, n_shared of the pairs (id, text, item, item_text) that reach the threshold."""
     def run(batches):
+        lean()
         white, fold, hasher = is_white(), lower_table(), Hasher(BASES[0])
         for batch in batches:
             sets = [[s for *_, w in pieces(batch.column(k), white, fold) for s in shingle_sets(w, hasher, SHINGLE)]

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 
 from patronage.columns import field, require_columns
 from patronage.errors import InputProblem
-from patronage.llm.words import U64, bytes_of, mixed, slices
+from patronage.llm.words import U64, bytes_of, lean, mixed, slices
 from patronage.scratch import stored
 
 ORDER = 3  # bytes of context
@@ -65,6 +65,7 @@ def strings_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def counted_strings(rows: DataFrame) -> DataFrame:
     """lang, string, n: strings of ORDER + 1 bytes of all texts. ``rows``: lang, text."""
     def run(batches):
+        lean()
         held: dict[str, list] = {}
         size = 0
         for batch in batches:
@@ -221,6 +222,7 @@ def predicted(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", t
     letter = re.compile(r"[^\W\d_]")
 
     def run(batches):
+        lean()
         trees = Trees(sent.value) if sent.value[0] else None
         for batch in batches:
             data, offsets = bytes_of(batch.column(1))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.words import U64, mixed
+from patronage.llm.words import U64, lean, mixed
 
 BITS = 24  # 2^24 bits: 2 MB
 
@@ -60,6 +60,7 @@ def only(named: DataFrame, wanted: DataFrame) -> DataFrame:
     mask = len(bits) * 64 - 1
 
     def run(batches):
+        lean()
         filled = sent.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from patronage.columns import field, require_columns
 from patronage.llm.components import components
 from patronage.llm.membership import only
-from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lower_table, mixed, pieces
+from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, lower_table, mixed, pieces
 from patronage.scratch import stored
 
 SHINGLE = 5
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     require_columns(docs, id_column, text)
 
     def run(batches):
+        lean()
         white, fold, hasher, minhash = is_white(), lower_table(), Hasher(BASES[0]), MinHasher(BANDS * ROWS)
         for batch in batches:
             for i, j, w in pieces(batch.column(1), white, fold):
@@ -171,6 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     rows = mine.union(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
+        lean()
         white, fold, hasher = is_white(), lower_table(), Hasher(BASES[0])
         key, own = None, []
         for batch in batches:
@@ -251,6 +253,7 @@ def across(groups: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
+        lean()
         kept, key = [], None
         for batch in batches:
             if batch.num_rows == 0:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from patronage.columns import field, require_columns
 from patronage.llm.membership import only
 from patronage.llm.tokens import before, find
-from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, pieces
+from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, pieces
 from patronage.scratch import stored
 
 WORDS, GRAMS = 1 << 16, 1 << 20
@@ -56,6 +56,7 @@ def _summed(held: list[np.ndarray], name: str):
 def _counted(rows: DataFrame, name: str, keys) -> DataFrame:
     """Sums of the 64-bit keys that ``keys(words, hasher)`` gives for slices of ``text``."""
     def run(batches):
+        lean()
         white, hasher = is_white(), Hasher(BASES[0])
         held, size = [], 0
         for batch in batches:
@@ -156,6 +157,7 @@ def perplexities(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
     kinds = dict(docs.dtypes)
 
     def run(batches):
+        lean()
         white, hasher = is_white(), Hasher(BASES[0])
         for batch in batches:
             for i, j, w in pieces(batch.column(len(columns)), white):

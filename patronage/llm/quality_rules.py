@@ -17,6 +17,7 @@ words go to the smaller word, ties between languages to the smaller name. Repeat
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from patronage.columns import field, require_columns
-from patronage.llm.words import BASES, U64, Hasher, Words, bytes_of, is_white, lower_table, mixed, pieces
+from patronage.llm.words import BASES, U64, Hasher, Words, bytes_of, is_white, lean, lower_table, mixed, pieces
 
 COMMON = 60
 # Shortest texts that a distance judges: characters, words.
@@ -40,7 +41,7 @@ SYMBOLS = "#*$%&|<>"
 POINTS = ".,;:!?'\"()-"
 LOWER, UPPER, DIGIT, BLANK, POINT, OTHER, WIDE, NONE = range(8)
 # Different words a task holds before it passes their counts on.
-HELD = 200_000
+HELD = 100_000
 
 
 def _classes() -> np.ndarray:
@@ -68,6 +69,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     rows = docs.select(field(lang).alias("lang"), field(text).alias("text")).where("lang is not null")
 
     def run(batches):
+        lean()
         classes, fold = _classes(), lower_table()
         words, chars = {}, {}
         held = 0
@@ -95,12 +97,12 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
 
 
 def _counted(words: dict, chars: dict):
-    rows = [(name, "word", w, n) for name, seen in words.items() for w, n in seen.items()]
-    rows += [(name, "char", b"%d" % k, int(n)) for name, cells in chars.items() for k, n in enumerate(cells)]
-    for k in range(0, len(rows), 50_000):
+    rows = itertools.chain(
+        ((name, "word", w, n) for name, seen in words.items() for w, n in seen.items()),
+        ((name, "char", b"%d" % k, int(n)) for name, cells in chars.items() for k, n in enumerate(cells)))
+    while part := list(itertools.islice(rows, 20_000)):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(
-            zip(*rows[k:k + 50_000]), (pa.string(), pa.string(), pa.binary(), pa.int64()))],
-            names=["lang", "kind", "cell", "n"])
+            zip(*part), (pa.string(), pa.string(), pa.binary(), pa.int64()))], names=["lang", "kind", "cell", "n"])
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -192,6 +194,7 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        lean()
         reference = Reference(model.value)
         white, fold, classes, hasher = is_white(), lower_table(), _classes(), Hasher(BASES[0])
         symbol = np.zeros(256, bool)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
-from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, pieces
+from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, pieces
 
 LENGTH = 20
 ANCHOR = 5
@@ -117,6 +117,7 @@ def _flushed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 def units(rows_of: DataFrame, length: int) -> DataFrame:
     """Units of every text; ``state`` is COVERED for those that this task has seen earlier, else 0."""
     def run(batches):
+        lean()
         white, hasher, second = is_white(), Hasher(BASES[0]), Hasher(BASES[1])
         rows, held = [], 0
         for batch in batches:
@@ -148,6 +149,7 @@ def judged(rows: DataFrame, by_window: bool) -> DataFrame:
     names = ["id", "version", "start", "windows"]
 
     def run(batches):
+        lean()
         last_key = last_print = last = None
         lone: pa.RecordBatch | None = None  # the first unit of the anchor at hand, while it is the only one
         for batch in batches:
@@ -206,6 +208,7 @@ def windows(rows_of: DataFrame, found: DataFrame, length: int) -> DataFrame:
     at_id, at_version, at_text, at_runs = (texts.columns.index(c) for c in ("id", "version", "text", "runs"))
 
     def run(batches):
+        lean()
         white, hasher, second = is_white(), Hasher(BASES[0]), Hasher(BASES[1])
         rows, held = [], 0
         for batch in batches:
@@ -260,6 +263,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     at_text, at_spans = rows.columns.index("text"), rows.columns.index("spans")
 
     def run(batches):
+        lean()
         white = is_white()
         for batch in batches:
             spans = batch.column(at_spans)

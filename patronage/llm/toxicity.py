@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from patronage.columns import field, require_columns
 from patronage.llm.membership import only
 from patronage.llm.tokens import before, find, pair_hash, separators
-from patronage.llm.words import BASES, U64, Hasher, as_long, lower_table, mixed, pieces
+from patronage.llm.words import BASES, U64, Hasher, as_long, lean, lower_table, mixed, pieces
 from patronage.scratch import stored
 
 CAUTION = 2.0
@@ -78,6 +78,7 @@ def counted_words(rows: DataFrame) -> DataFrame:
     names = ["word", "left", "toxic", "ordinary"]
 
     def run(batches):
+        lean()
         parting, folded, hasher = separators(), lower_table(), Hasher(BASES[0])
         held, size = [], 0
         for batch in batches:
@@ -101,6 +102,7 @@ def counted_pairs(rows: DataFrame, words: np.ndarray) -> DataFrame:
     names = ["pair", "left", "right", "toxic", "ordinary"]
 
     def run(batches):
+        lean()
         parting, folded, hasher = separators(), lower_table(), Hasher(BASES[0])
         table, held, size = sent.value, [], 0
         for batch in batches:
@@ -211,6 +213,7 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
         return place
 
     def run(batches):
+        lean()
         parting, folded, hasher = separators(), lower_table(), Hasher(BASES[0])
         starts, words, pairs = sent.value
         at_text = len(names)

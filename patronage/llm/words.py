@@ -22,6 +22,11 @@ CHUNK = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
+def lean() -> None:
+    """Called first in a task: what Arrow frees goes back to the system, not to a pool the idle worker would keep."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def is_white() -> np.ndarray:
     table = np.zeros(256, bool)
     table[WHITE] = True
