@@ -32,7 +32,7 @@ from patronage.llm.tokens import before, find
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, pieces
 from patronage.scratch import stored
 
-WORDS, GRAMS = 1 << 16, 1 << 20
+WORDS, GRAMS = 1 << 13, 1 << 20
 FEWEST = 5
 QUANTILE = 0.995
 # Texts with fewer words say too little: they set no threshold and stay.
