@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from patronage.columns import field, require_columns
 from patronage.errors import InputProblem
 from patronage.llm import byte_bpe
+from patronage.scratch import stored
 
 BLOCK = 1024
 
@@ -39,8 +40,9 @@ def histogram(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:
     one and longer ones; ``truncated_total`` is what is left of the corpus when texts are cut to this length.
     """
     require_columns(lengths, n_tokens)
-    counts = lengths.where(field(n_tokens).isNotNull()).groupBy(field(n_tokens).cast("long").alias("n_tokens")).agg(
-        F.count("*").alias("documents"))
+    # Written: the sums below read the histogram twice, and texts must be encoded once.
+    counts = stored(lengths.where(field(n_tokens).isNotNull()).groupBy(
+        field(n_tokens).cast("long").alias("n_tokens")).agg(F.count("*").alias("documents")), "lengths")
     rows = counts.withColumns({"tokens": F.col("documents") * F.col("n_tokens"),
                                "block": F.floor(F.col("n_tokens") / BLOCK).cast("long")})
     totals = rows.groupBy("block").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t"))
