@@ -1,14 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Method. Words (runs without white space, as they stand) are numbered: the ``WORDS`` most frequent ones of at least ``FEWEST``
-occurrences, and one number for all others, which stands for any of the other words seen alike. Trigrams of all trusted
-texts are counted: summed in tasks, then over tasks by the hash of the trigram, the shards of the count table. Everything
-else follows from that table by joins and sums over its shards: context totals, continuation counts of bigrams and words,
-and the counts of counts that give the three discounts of each order.
+Method. Every word (a run without white space, as it stands) of the trusted texts is in the model, known by its 64-bit hash.
+Trigrams of all trusted texts are counted: summed in tasks, then over tasks by the three words, the shards of the count table.
+Everything else follows from that table by sums over its shards: context totals and what a context leaves for the next lower
+order, continuation counts of bigrams and words, and the counts of counts that give the three discounts of each order. Nothing
+is pruned and the model grows with the trusted texts; after every context the probabilities of all words, and of one that
+stands for any word never seen, add up to one.
 
-What scores texts is the frozen model: the ``GRAMS`` most frequent trigrams and bigrams seen twice or more, with their
-discounted probabilities; the probability of all others goes to the next lower order, so every context still adds up to one.
-Its size is a parameter and it is sent to all tasks, so scoring shuffles no text.
+Texts are scored in slices of about ``SLICE`` words. A slice's distinct n-grams are joined with the model by key, so a frequent
+n-gram is one row per slice, and what the model has of them goes back to the slice. A bitmap of fixed size over the model's
+keys is sent to all tasks; it spares the join n-grams that the model lacks, and loses none that it has.
+
+``trained`` and ``bits`` are the same model cut to a given number of words and n-grams, for callers who hold it in one place.
 
 A text's perplexity is 2^(mean bits per word). Thresholds are a quantile, per language, of the perplexities of trusted texts
 that the model has not learned from: a quarter of them, chosen by the hash of the id. They are exact to 1/1000 bit.
@@ -21,14 +24,18 @@ an id are scored and never learned from. Repeated rows score alike; other column
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
-from patronage.llm.membership import only
-from patronage.llm.tokens import before, find
+from patronage.llm.decontamination import key_filter
+from patronage.llm.membership import maybe_in, only
+from patronage.llm.tokens import before, find, pair_hash
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, pieces
 from patronage.scratch import stored
 
@@ -40,6 +47,10 @@ LEAST_WORDS = 20
 HELD = 1 << 20
 START, BITS = 0, 21
 MASK = (1 << BITS) - 1
+# Stands for the words before a text.
+OPEN = U64(0x51ED270B7A3F9E15)
+# Words of a slice, and size of the bitmap over the model's keys: 2^27 bits, 16 MB.
+SLICE, FILTER = 1 << 19, 27
 
 
 def held_out(id_column: Column) -> Column:
@@ -151,25 +162,184 @@ def bits(w, hashes: np.ndarray, model: dict) -> np.ndarray:
     return np.where(unknown, np.log2(model["others"]), 0) - np.log2(p)
 
 
-def perplexities(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
-    """The named columns, n_words and mean_bits (null without words) of every row; the text is the column ``text``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _before_two(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = before(hashes, first, OPEN)
+    return before(last, first, OPEN), last
+
+
+def counted_triples(texts: DataFrame) -> DataFrame:
+    """second, last, this (hashes of words in order), n: every trigram of ``text`` with its occurrences."""
+    names = ["second", "last", "this"]
+
+    def summed(held):
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            _, at, n = np.unique(pair_hash(pair_hash(*columns[:2]), columns[2]), return_index=True, return_counts=True)
+            yield pa.record_batch([*[as_long(c[at]) for c in columns], pa.array(n)], names=[*names, "n"])
+
+    def run(batches):
+        lean()
+        white, hasher = is_white(), Hasher(BASES[0])
+        held, size = [], 0
+        for batch in batches:
+            for *_, w in pieces(batch.column(0), white):
+                hashes = hasher.of_words(w)
+                held.append((*_before_two(hashes, w.first), hashes))
+                size += len(hashes)
+                if size >= HELD:
+                    yield from summed(held)
+                    held, size = [], 0
+        yield from summed(held)
+
+    return texts.select("text").mapInArrow(run, "second long, last long, this long, n long").groupBy(*names).agg(
+        F.sum("n").alias("n"))
+
+
+def _keyed(rows: DataFrame, words: list[str]) -> DataFrame:
+    """key, n, total, rest: the hashes of ``words``, in order, as one key."""
+    def run(batches):
+        lean()
+        for batch in batches:
+            key, *others = [batch.column(k).to_numpy().view(U64) for k in range(len(words))]
+            for x in others:
+                key = pair_hash(key, x)
+            yield pa.record_batch([as_long(key), *batch.columns[len(words):]], names=["key", "n", "total", "rest"])
+
+    return rows.select(*words, "n", "total", "rest").mapInArrow(run, "key long, n long, total long, rest double")
+
+
+def _share(d: list[float]):
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def counted_model(texts: DataFrame) -> dict | None:
+    """The whole model of ``texts`` (a column text), or None if they hold no words.
+
+    ``grams`` has a row per n-gram of any order: key and n (occurrences, or different words before it for bigrams and
+    words). ``contexts`` has one per context: key, total of n over what follows, share ``rest`` of the next lower order.
+    ``discounts`` are those of words, bigrams and trigrams, ``total`` and ``size`` the sum of n over words and their
+    number, ``left`` what the words' discounts leave.
+    """
+    three = stored(counted_triples(texts), "triples")
+    if three.isEmpty():
+        return None
+    two = stored(three.groupBy("last", "this").agg(F.count("*").alias("n")), "pairs")
+    one = stored(two.groupBy("this").agg(F.count("*").alias("n")), "singles")
+    d1, d2, d3 = _discounts(one), _discounts(two), _discounts(three)
+    whole = one.agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.sum(_share(d1)).alias("left")).first()
+    # Rows as n-grams, rows as contexts: kept apart, so that none are shuffled only to stand beside each other.
+    no_count, no_context = F.lit(0).cast("long").alias("n"), [F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("rest")]
+    grams = [_keyed(rows.select(*names, "n", *no_context), names)
+             for rows, names in ((three, ["second", "last", "this"]), (two, ["last", "this"]), (one, ["this"]))]
+    contexts = [_keyed(rows.groupBy(*names).agg(
+        F.sum("n").alias("total"), (F.sum(_share(d)) / F.sum("n")).alias("rest")).select(*names, no_count, "total", "rest"),
+        names) for rows, names, d in ((three, ["second", "last"], d3), (two, ["last"], d2))]
+    return {"grams": reduce(DataFrame.unionByName, grams), "contexts": reduce(DataFrame.unionByName, contexts),
+            "discounts": (d1, d2, d3), "total": whole["total"], "size": whole["size"], "left": whole["left"]}
+
+
+def _keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys of each word's trigram, of the bigram before it, of its bigram, of the word before it, and of the word."""
+    second, last = _before_two(hashes, first)
+    context = pair_hash(second, last)
+    return pair_hash(context, hashes), context, pair_hash(last, hashes), last, hashes
+
+
+def counted_bits(keys: tuple[np.ndarray, ...], grams: tuple, contexts: tuple, numbers: dict) -> np.ndarray:
+    """Bits of each word; ``grams``: key (sorted) and n, ``contexts``: key (sorted), total and rest among ``keys``."""
+    d1, d2, d3 = numbers["discounts"]
+
+    def kept(n, d):
+        return n - np.select([n == 0, n == 1, n == 2], [0, d[0], d[1]], d[2])
+
+    triple, context, pair, last, this = keys
+    counts, totals, rests = grams, contexts[:2], contexts[::2]
+    p = (kept(_value(counts, this, 0), d1) + numbers["left"] / (numbers["size"] + 1)) / numbers["total"]
+    for gram, before_it, d in ((pair, last, d2), (triple, context, d3)):
+        p = kept(_value(counts, gram, 0), d) / _value(totals, before_it, 1) + _value(rests, before_it, 1.0) * p
+    return -np.log2(p)
+
+
+def _sliced(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """slice, the named columns as lists, counts of words, distinct word hashes, and each word's place among them."""
     kinds = dict(docs.dtypes)
 
+    def row(held):
+        words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        lists = []
+        for k in range(len(columns)):
+            values = pa.concat_arrays([h[2][k] for h in held])
+            lists.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+        counts = np.concatenate([h[1] for h in held]).astype(np.int64)
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (counts, words, at.astype(np.int32))]
+        return pa.record_batch([pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists, *packed],
+                               names=["slice", *columns, "counts", "words", "at"])
+
     def run(batches):
         lean()
         white, hasher = is_white(), Hasher(BASES[0])
+        held, size = [], 0
         for batch in batches:
             for i, j, w in pieces(batch.column(len(columns)), white):
-                n = w.counts()
-                sums = np.append(0, np.cumsum(bits(w, hasher.of_words(w), sent.value)))[w.first]
-                yield pa.record_batch(
-                    [*[batch.column(k).slice(i, j - i) for k in range(len(columns))], pa.array(n),
-                     pa.array(np.round(np.diff(sums) / np.maximum(n, 1), 6), mask=n == 0)],
-                    names=[*columns, "n_words", "mean_bits"])
+                held.append((hasher.of_words(w), w.counts(), [batch.column(k).slice(i, j - i) for k in range(len(columns))]))
+                size += len(w) + j - i
+                if size >= SLICE:
+                    yield row(held)
+                    held, size = [], 0
+        if held:
+            yield row(held)
+
+    lists = ", ".join(f"`{c}` array<{kinds[c]}>" for c in columns)
+    return docs.select(*columns, "text").mapInArrow(run, f"slice long, {lists}, counts binary, words binary, at binary")
+
+
+def _unpacked(counts: bytes, words: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a slice's words, and the first word of each text."""
+    first = np.append(0, np.cumsum(np.frombuffer(counts, np.int64)))
+    return np.frombuffer(words, U64)[np.frombuffer(at, np.int32)], first
+
+
+def perplexities(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
+    """The named columns, n_words and mean_bits (null without words) of every row; the text is the column ``text``."""
+    kinds = dict(docs.dtypes)
+    # Written: a slice's name must be the same wherever it is read.
+    slices = stored(_sliced(docs, columns), "slices")
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(model["grams"].select(F.array("key").alias("keys")), FILTER))
+    numbers = {k: v for k, v in model.items() if k not in ("grams", "contexts")}
+
+    def wanted(batches):
+        lean()
+        for batch in batches:
+            for name, *packed in zip(*[c.to_pylist() for c in batch.columns]):
+                for order in _keys(*_unpacked(*packed))[::2]:
+                    keys = np.unique(order)
+                    keys = keys[maybe_in(sent.value, keys, FILTER)]
+                    yield pa.record_batch([pa.array(np.full(len(keys), name)), as_long(keys)], names=["slice", "key"])
+                # Contexts that are no n-gram of their own: those at the beginning of texts.
+                keys = np.array([OPEN, pair_hash(np.array([OPEN]), np.array([OPEN]))[0]], U64)
+                yield pa.record_batch([pa.array(np.full(len(keys), name)), as_long(keys)], names=["slice", "key"])
+
+    def bits_of(slices_, found):
+        lean()
+        key, n, total, rest = [found[c].to_numpy() for c in ("key", "n", "total", "rest")]
+        order = np.argsort(key.view(U64))
+        gram, context = order[n[order] > 0], order[total[order] > 0]
+        tables = (key.view(U64)[gram], n[gram]), (key.view(U64)[context], total[context], rest[context])
+        out = []
+        for k in range(slices_.num_rows):
+            hashes, first = _unpacked(*[slices_[c][k].as_py() for c in ("counts", "words", "at")])
+            n = np.diff(first)
+            sums = np.append(0, np.cumsum(counted_bits(_keys(hashes, first), *tables, numbers)))[first]
+            out.append(pa.table([*[slices_[c][k].values for c in columns], pa.array(n),
+                                 pa.array(np.round(np.diff(sums) / np.maximum(n, 1), 6), mask=n == 0)],
+                                names=[*columns, "n_words", "mean_bits"]))
+        return pa.concat_tables(out)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return docs.select(*columns, "text").mapInArrow(run, f"{schema}, n_words long, mean_bits double")
+    keys = slices.select("slice", "counts", "words", "at").mapInArrow(wanted, "slice long, key long")
+    found = keys.join(model["grams"].unionByName(model["contexts"]), "key").select("slice", "key", "n", "total", "rest")
+    return slices.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(
+        bits_of, f"{schema}, n_words long, mean_bits double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -182,7 +352,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
     trusted = labels.where(field(label) == 1).select(field(id_column).cast("long").alias("id")).where(
         "id is not null").distinct()
     texts = stored(only(named.select(F.col("id").cast("long").alias("id"), "text"), trusted).join(trusted, "id"), "trusted")
-    model = trained(texts.where(~held_out(F.col("id"))).select("text"))
+    model = counted_model(texts.where(~held_out(F.col("id"))).select("text"))
     if model is None:
         words = F.size(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+', 0)")).cast("long")
         none = F.lit(None).cast("double")

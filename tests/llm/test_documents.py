@@ -202,6 +202,52 @@ def test_perplexity_model_adds_up(spark):
         assert p.sum() == pytest.approx(1)
 
 
+def test_perplexity_knows_every_word_and_trigram(spark):
+    """Against a plain modified Kneser-Ney model of all words and n-grams, those seen once included."""
+    import math
+    rng = random.Random(4)
+    vocabulary = ["w%d" % k for k in range(9000)]  # more than any fixed number of words of the bounded model
+    rows = [(i, " ".join(rng.choice(vocabulary[:60] if rng.random() < 0.6 else vocabulary) for _ in range(80))) for i in range(400)]
+    rows += [(1000, rows[0][1] + " never seen"), (1001, ""), (1002, "w1")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    train = [t.split() for i, t in rows[:300]]
+    model = perplexity.counted_model(docs.where("id < 300"))
+    found = {r.id: r for r in perplexity.perplexities(docs, model, ["id"]).collect()}
+    three = collections.Counter(g for t in train for g in zip(["<", "<"] + t, ["<"] + t, t))
+    two = collections.Counter(g[1:] for g in three)
+    one = collections.Counter(g[1:] for g in two)
+
+    def discounts(counts):
+        n1, n2, n3, n4 = (sum(n == k for n in counts.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        return [min(max(x, 0.1), k - 0.1) for x, k in zip(d, (1, 2, 3))]
+
+    levels = []
+    for counts in (one, two, three):
+        d, total, left = discounts(counts), collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3) - 1]
+        levels.append((counts, d, total, left))
+
+    def probability(gram):
+        p = 1 / (len(one) + 1)
+        for k, (counts, d, total, left) in enumerate(levels):
+            g = gram[2 - k:]
+            if total[g[:-1]]:
+                n = counts[g]
+                p = ((n - d[min(n, 3) - 1] if n else 0) + left[g[:-1]] * p) / total[g[:-1]]
+        return p
+
+    assert len(found) == len(rows) and found[1001].mean_bits is None
+    for i, text in rows:
+        t = text.split()
+        if t:
+            bits = [-math.log2(probability(g)) for g in zip(["<", "<"] + t, ["<"] + t, t)]
+            assert found[i].n_words == len(t) and found[i].mean_bits == pytest.approx(sum(bits) / len(t), abs=2e-6)
+
+
 @pytest.mark.parametrize("which", ["awkward", "given"])
 def test_repeated_passages(request, which):
     rows, docs = request.getfixturevalue(which)
