@@ -3,9 +3,12 @@
 Method. Every language of the table gives two reference histograms, counted over all its documents: classes of characters,
 and its ``COMMON`` most frequent words (lower-cased A-Z; everything else is one more cell). A text is measured against
 each language by the Jensen-Shannon distance (square root of the divergence to base 2, 0 to 1) and judged by the language
-whose words are nearest. It is rejected when its character distance or its word distance is over a limit. Short texts
-have coarse histograms, so each distance only counts from a minimum length on, and the base rules reject texts that are
-very short or mostly repetition.
+whose words are nearest, as a share of that language's distance from a text without any of its common words. It is rejected
+when its character distance or its word distance is over a limit, or when it lacks the common words of every language:
+``NEAR`` of that distance or more where ``EXPECTED`` common words stand in a text of its length, none at all where chance
+leaves a text without one less often than ``RARE``. A language whose words are too even for that at a text's length vouches
+only for texts that are said to be in it. Short texts have coarse histograms, so each distance only counts from a
+minimum length on, and the base rules reject texts that are very short or mostly repetition.
 
 References are at most ``COMMON`` + 1 + 7 numbers a language and reach the driver; the counts behind them are summed in
 tasks first and shuffled by word, so a hot word or source is one row per task.
@@ -34,6 +37,10 @@ COMMON = 60
 LEAST_CHARS, LEAST_WORDS = 300, 40
 # Largest distances of a text that stays.
 FAR_CHARS, FAR_WORDS = 0.30, 0.50
+# Share of the distance of a text without common words at which a text lacks them, judged where so many are expected.
+NEAR, EXPECTED = 0.90, 32
+# Chance of a text without any common word below which it lacks them.
+RARE = 1e-6
 # Base rules.
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 # Characters counted as symbols, and punctuation of ordinary sentences.
@@ -128,35 +135,47 @@ class Reference:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         place = {cells[k]: i for i, k in enumerate(order)}
-        self.words, self.shares, self.chars = [], [], []
+        self.words, self.shares, self.chars, self.bare = [], [], [], []
         for name in self.langs:
             own = [(place[bytes(r["cell"])], r["share"]) for r in rows if r["lang"] == name and r["kind"] == "word"]
             self.words.append(np.array([k for k, _ in own], np.int64))
             share = np.array([s for _, s in own])
             self.shares.append(np.append(share, max(0.0, 1 - share.sum())))
+            without = np.append(np.zeros(len(share)), 1.0)[None, :]
+            self.bare.append(max(distance(without, self.shares[-1])[0], 1e-9))
             chars = np.zeros(NONE)
             for r in rows:
                 if r["lang"] == name and r["kind"] == "char":
                     chars[int(bytes(r["cell"]))] = r["share"]
             self.chars.append(chars)
 
-    def distances(self, w, hashes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word distance, character distance and language index of each text of a slice."""
+    def distances(self, w, hashes: np.ndarray, chars: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Word distance, character distance, language index and lack of common words of each text of a slice; ``named``
+        are the indices of the languages the texts are said to be in, or -1."""
         n = w.counts()
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         known = np.flatnonzero(self.hashes[at] == hashes) if len(self.hashes) else np.zeros(0, np.int64)
         size = max(1, len(self.hashes))
         found = np.bincount(w.text_of_word()[known] * size + at[known], minlength=len(n) * size).reshape(len(n), size)
         far = np.ones((len(self.langs), len(n)))
+        able, lacking = np.zeros(far.shape, bool), np.zeros(far.shape, bool)
         for k, (words, share) in enumerate(zip(self.words, self.shares)):
             own = found[:, words]
             p = np.column_stack([own, n - own.sum(axis=1)]) / np.maximum(n, 1)[:, None]
             far[k] = distance(p, share)
-        best = far.argmin(axis=0)
+            many = n * (1 - share[-1]) >= EXPECTED
+            some = n * np.log(max(share[-1], 1e-300)) <= np.log(RARE)
+            able[k] = many | some
+            lacking[k] = many & (far[k] > NEAR * self.bare[k]) | some & (own.sum(axis=1) == 0)
+        texts = np.arange(len(n))
+        said = (named >= 0) & ~able[named, texts]
+        lacks = able.any(axis=0) & (lacking | ~able).all(axis=0) & ~said
+        ratio = far / np.array(self.bare)[:, None]
+        best = np.where(able | ~able.any(axis=0), ratio, np.inf).argmin(axis=0)
+        best = np.where(said & lacking[best, texts], named, best)
         p = chars / np.maximum(chars.sum(axis=1), 1)[:, None]
         char_far = np.stack([distance(p, q) for q in self.chars])
-        texts = np.arange(len(n))
-        return far[best, texts], char_far[best, texts], best
+        return far[best, texts], char_far[best, texts], best, lacks
 
 
 def repeated_words(w, grams: np.ndarray, window: int) -> np.ndarray:
@@ -196,6 +215,7 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
     def run(batches):
         lean()
         reference = Reference(model.value)
+        index = {name: k for k, name in enumerate(reference.langs)}
         white, fold, classes, hasher = is_white(), lower_table(), _classes(), Hasher(BASES[0])
         symbol = np.zeros(256, bool)
         symbol[list(SYMBOLS.encode())] = True
@@ -210,13 +230,15 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
                 failed = (n < FEWEST_WORDS) | (100 * again > MOST_REPEATED * n)
                 chars = _char_histograms(w.data, w.offsets, classes)
                 word_far, char_far, names = np.zeros(len(n)), np.zeros(len(n)), [None] * len(n)
+                lacks = np.zeros(len(n), bool)
                 if reference.langs:
                     folded = Words(fold[w.data], w.offsets, white)
-                    word_far, char_far, best = reference.distances(folded, hasher.of_words(folded), chars)
+                    named = np.array([index.get(x, -1) for x in batch.column(2).slice(i, j - i).to_pylist()], np.int64)
+                    word_far, char_far, best, lacks = reference.distances(folded, hasher.of_words(folded), chars, named)
                     names = [reference.langs[k] if m else None for k, m in zip(best, n)]
                 no_words = (n < LEAST_WORDS) | (not reference.langs)
                 no_chars = (chars.sum(axis=1) < LEAST_CHARS) | (not reference.langs)
-                kept = ~failed & (no_words | (word_far <= FAR_WORDS)) & (no_chars | (char_far <= FAR_CHARS))
+                kept = ~failed & (no_words | ((word_far <= FAR_WORDS) & ~lacks)) & (no_chars | (char_far <= FAR_CHARS))
                 yield pa.record_batch(
                     [batch.column(0).slice(i, j - i), pa.array(n), pa.array(word_chars),
                      pa.array(_per_text(symbol[w.data], w.offsets)), pa.array(lines), pa.array(again),
@@ -224,6 +246,7 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
                      pa.array(char_far, mask=no_chars), pa.array(kept)],
                     names=["id", *[c.split()[0] for c in VERDICT.split(", ")]])
 
-    out = docs.select(field(id_column).alias("id"), field(text).alias("text")).mapInArrow(
+    out = docs.select(field(id_column).alias("id"), field(text).alias("text"),
+                      field(lang).cast("string").alias("lang")).mapInArrow(
         run, f"id {id_type}, {VERDICT}")
     return out.withColumnRenamed("id", id_column)

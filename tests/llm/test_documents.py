@@ -82,6 +82,28 @@ def test_quality_distances(spark):
     assert found[0].nearest_lang == "en" and found[0].word_distance < quality_rules.FAR_WORDS
 
 
+def test_quality_of_unknown_words(spark):
+    """Long prose-shaped texts of unknown words go, whichever languages are in the table; texts of the languages stay."""
+    rng = random.Random(12)
+    common = {"en": ["the", "of", "and", "to", "in", "is", "that", "it"], "fr": ["le", "de", "et", "la", "les", "un", "est", "que"]}
+
+    def made(stem):
+        return "".join(rng.choice(stem) for _ in range(rng.randrange(4, 9)))
+
+    def prose(lang, n):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.32 else made("abcdefghij") for _ in range(n)) + "."
+
+    rows = [(k, prose("en" if k % 2 else "fr", 40 + 10 * k), "en" if k % 2 else "fr") for k in range(60)]
+    flat = [(100 + k, " ".join(made("klmnopqrst") for _ in range(300)), "flat") for k in range(40)]
+    odd = [(200 + k, " ".join(made("uvwxyzabcd") for _ in range(n)), lang)
+           for k, (n, lang) in enumerate([(50, "en"), (400, "en"), (400, None), (5000, "fr")])]
+    frame = spark.createDataFrame(rows + flat + odd, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality_rules.judged(frame).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert not any(found[200 + k].kept for k in range(4))
+    assert all(found[i].kept for i, *_ in rows) and all(found[i].kept for i, *_ in flat)
+
+
 def test_quality_without_languages(spark, awkward, nothing):
     found = quality_rules.judged(awkward[1].withColumn("lang", F.lit(None).cast("string"))).collect()
     assert all(r.kept != r.base_failed and r.word_distance is None for r in found)
