@@ -4,11 +4,13 @@ An item is contained in a document if at least ``percent`` of the item's distinc
 are among the document's.
 
 Method. Containment of a short set in a long one makes a tiny Jaccard similarity, so both sides are partitioned by size.
-Items fall into classes by their number of shingles, up to 16, 32, 64 and so on. For a class of up to u shingles, documents
-are cut into segments of 2u, and every segment and every item gets ``SAMPLES`` MinHash values. A document is a candidate
-for an item if one of its segments shares one value with it. Wherever in the document the shingles stand, the segments'
-similarities to the item add up to a fifth at least, so all 64 values miss with probability e^-12 or less. Minima of long
-segments come from those of short ones; the samples are computed once for all classes.
+Items fall into classes by their number of shingles, up to 4, 8, 16, 32 and so on. Items of up to ``EXACT`` shingles, a
+class of their own, are searched by the shingles themselves: a document is a candidate if it holds enough of them, which
+misses nothing. For a class of up to u shingles, documents are cut into segments of 2u, and every segment and every item
+gets ``SAMPLES`` MinHash values. A document is a candidate for an item if one of its segments shares one value with it. An
+item of the class has more than u / 2 shingles, so wherever in the document they stand, the segments' similarities to the
+item add up to 0.15 at least, and all 64 values miss with probability e^-9.6 or less; for shingles that stand together
+e^-12. Minima of long segments come from those of short ones; the samples are computed once for all classes.
 
 Candidates are verified by exact shingle containment in the whole document.
 
@@ -37,7 +39,8 @@ from patronage.scratch import stored
 SHINGLE = 5
 PERCENT = 75
 SAMPLES = 64
-SMALLEST = 16  # shingles up to which items are of the first class
+EXACT = 4  # shingles up to which items are searched by each of them: the first class
+SMALLEST = 2 * EXACT  # shingles up to which items are of the first class with samples
 # Shingles of a text whose samples are computed at once.
 STRETCH = 1 << 12
 
@@ -49,8 +52,13 @@ def _keys(level: np.ndarray | int, values: np.ndarray) -> np.ndarray:
 
 
 def _level(n: int) -> int:
-    """0 for up to 16 shingles, 1 for up to 32, ..."""
-    return max(0, int(n - 1).bit_length() - (SMALLEST - 1).bit_length())
+    """0 for up to 4 shingles, 1 for up to 8, 2 for up to 16, ..."""
+    return max(0, int(n - 1).bit_length() - (EXACT - 1).bit_length())
+
+
+def _exact(grams: np.ndarray) -> np.ndarray:
+    """Keys of single shingles."""
+    return mixed(grams ^ U64(BASES[1]))
 
 
 def item_keys(items: DataFrame) -> DataFrame:
@@ -64,8 +72,8 @@ def item_keys(items: DataFrame) -> DataFrame:
                 for t, members in enumerate(shingle_sets(w, hasher, SHINGLE), i):
                     if len(members):
                         level = _level(len(members))
-                        rows.append((batch.column(0)[t], batch.column(1)[t], level,
-                                     _keys(level, minhash.samples(members)[None, :])[0].view(np.int64)))
+                        keys = _keys(level, minhash.samples(members)[None, :])[0] if level else _exact(members)
+                        rows.append((batch.column(0)[t], batch.column(1)[t], level, keys.view(np.int64)))
                 if rows:
                     item, own, level, keys = zip(*rows)
                     yield pa.record_batch([pa.array([x.as_py() for x in item], pa.int64()),
@@ -94,9 +102,10 @@ def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 def segment_minima(grams: np.ndarray, minhash: MinHasher, levels: list[int]):
-    """(level, minima of its segments as a (segments, samples) array) for a text's shingles in order."""
+    """(level, minima of its segments as a (segments, samples) array) for a text's shingles in order; levels from 1."""
     x = (grams >> U64(32)).astype(np.uint32)
-    short = 2 * SMALLEST
+    low = min([*levels, 4])
+    short = SMALLEST << low
     parts = []
     for i in range(0, len(x), STRETCH):
         piece = x[i:i + STRETCH]
@@ -106,8 +115,8 @@ def segment_minima(grams: np.ndarray, minhash: MinHasher, levels: list[int]):
         values += minhash.shift
         parts.append(values.reshape(len(minhash.factor), -1, short).min(axis=2))
     lows = parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)
-    for level in range(max(levels) + 1):
-        if level:
+    for level in range(low, max(levels) + 1):
+        if level > low:
             if lows.shape[1] % 2:
                 lows = np.append(lows, lows[:, -1:], axis=1)
             lows = np.minimum(lows[:, ::2], lows[:, 1::2])
@@ -118,6 +127,7 @@ def segment_minima(grams: np.ndarray, minhash: MinHasher, levels: list[int]):
 def suspects(docs: DataFrame, filled: np.ndarray, levels: list[int], bits: int) -> DataFrame:
     """id, text, keys of the documents with a value that may be an item's."""
     sent = docs.sparkSession.sparkContext.broadcast(filled)
+    sampled = [level for level in levels if level]
 
     def run(batches):
         lean()
@@ -133,8 +143,10 @@ def suspects(docs: DataFrame, filled: np.ndarray, levels: list[int], bits: int)
                     if not n:
                         continue
                     own = grams[w.first[t]:w.first[t + 1] - SHINGLE + 1] if n >= SHINGLE else short[t:t + 1]
-                    keys = np.concatenate([_keys(level, values).ravel()
-                                           for level, values in segment_minima(own, minhash, levels)])
+                    parts = [_exact(own)] if 0 in levels else []
+                    if sampled:
+                        parts += [_keys(level, values).ravel() for level, values in segment_minima(own, minhash, sampled)]
+                    keys = np.concatenate(parts)
                     hit = maybe_in(filter_, keys, bits)
                     if len(hit):
                         rows.append(i + t)
@@ -188,7 +200,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: st
         return empty
     found = stored(suspects(named, key_filter(keys, bits), levels, bits), "suspects")
     pairs = found.select("id", F.explode("keys").alias("key")).join(
-        keys.select("text_id", F.explode("keys").alias("key")), "key").select("id", "text_id").distinct()
+        keys.select("text_id", "level", F.size("keys").alias("size"), F.explode("keys").alias("key")), "key").groupBy(
+        "id", "text_id").agg(F.max("level").alias("level"), F.max("size").alias("size"), F.countDistinct("key").alias("n")).where(
+        (F.col("level") > 0) | (100 * F.col("n") >= percent * F.col("size"))).select("id", "text_id")
     both = pairs.join(tests, "text_id").join(found.select("id", "text"), "id").select("id", "text", "item", "item_text")
     rows = _contained(both, percent).groupBy("id", "item").agg(
         F.max(F.struct("n_shared", "n_item_shingles")).alias("best"))

@@ -360,6 +360,35 @@ def test_leaks(spark, given, nothing):
     assert left.columns == docs.columns and left.count() == len(rows) - len({r.doc_id for r in found})
 
 
+def test_leaks_of_short_items(spark):
+    """Items of 1 to 12 words inside long texts, whole or with one word changed at an end."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(1 + k % 12))) for k in range(600)]
+    docs = []
+    for k, text in items:
+        own, around = text.split(), [word() for _ in range(400)]
+        if k % 5 == 0:
+            own[-1] = "CHANGED"
+        at = rng.randrange(400)
+        docs.append((k, " ".join(around[:at] + own + around[at:])))
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    expected = set()
+    for (k, item), (_, text) in zip(items, docs):
+        of_item = shingles(item)
+        both = len(of_item & shingles(text))
+        if 100 * both >= 75 * len(of_item):
+            expected.add((k, k, len(of_item), both))
+    assert {n for *_, n, _ in expected} == set(range(1, 9))
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                  spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in found} == expected
+
+
 def test_leaks_scattered_and_awkward(spark, awkward, nothing):
     rng = random.Random(12)
     item = ["q%d" % k for k in range(40)]
