@@ -11,9 +11,10 @@ strongest word, since a long text may be toxic in a few places. Three numbers an
 regression on labelled texts that the models have not seen, at most ``CALIBRATION`` of them (those with the smallest hashed
 ids), its only sample. The models count all labelled texts.
 
-Size of the models: the ``WORDS`` most frequent words and openings and ``PAIRS`` most frequent pairs of at least ``FEWEST`` occurrences
-(rarer ones are discounted to nothing); these tables are sent to all tasks. A pair can only be that frequent if both words
-are, so pairs are counted after words, each summed within tasks before it is shuffled.
+Size of the models: all words and openings of at least ``FEWEST`` occurrences, and all pairs that keep a count in one of the
+classes (others are discounted to nothing and say what their second word says). These tables grow with the labelled texts;
+they pass through the driver and are sent to all tasks, so both must hold them. A pair can only be that frequent if both
+words are, so pairs are counted after words, each summed within tasks before it is shuffled.
 
 Edge cases. Null and blank texts have no words; their score is the share of toxic labels. Without labels of both
 kinds every score is the share of toxic labels (0 without any). Null labels are ignored; an id with several labels is
@@ -39,7 +40,6 @@ from patronage.scratch import stored
 CAUTION = 2.0
 OPENING = 5
 FEWEST = 5
-WORDS, PAIRS = 1 << 20, 1 << 20
 CALIBRATION = 20_000
 HELD = 1 << 20
 NO_WORD = U64(0)
@@ -146,10 +146,9 @@ def _kept(n: np.ndarray) -> np.ndarray:
     return np.maximum(n - CAUTION * np.sqrt(n), 0)
 
 
-def _top(counts: DataFrame, key: str, most: int):
-    """Keys in order and the other columns of the most frequent rows."""
-    both = F.col("toxic") + F.col("ordinary")
-    table = counts.where(both >= FEWEST).orderBy(F.desc(both), key).limit(most).toArrow()
+def _sorted(counts: DataFrame, key: str):
+    """Keys in order and the other columns."""
+    table = counts.toArrow()
     order = np.argsort(table[key].to_numpy().view(U64))
     columns = {c: table[c].to_numpy()[order] for c in table.column_names}
     return columns[key].view(U64), columns
@@ -162,14 +161,15 @@ def trained(rows: DataFrame) -> Model | None:
     if not total[0] or not total[1]:
         return None
     totals = dict(zip(CLASSES, map(float, total)))
-    starts, of_start = _top(counts.groupBy("opening").agg(
-        *[F.sum(c).alias(c) for c in CLASSES], F.count("*").alias("words")), "opening", WORDS)
-    words, of_word = _top(counts, "word", WORDS)
+    often = F.col("toxic") + F.col("ordinary") >= FEWEST
+    starts, of_start = _sorted(counts.groupBy("opening").agg(
+        *[F.sum(c).alias(c) for c in CLASSES], F.count("*").alias("words")).where(often), "opening")
+    words, of_word = _sorted(counts.where(often), "word")
     pairs = stored(counted_pairs(rows, words), "word-pairs")
     spread = pairs.groupBy("right").agg(F.count("*").alias("n")).toArrow()
     different = np.ones(len(words))
     different[spread["right"].to_numpy()] = spread["n"].to_numpy()
-    keys, of_pair = _top(pairs.where("left >= 0"), "pair", PAIRS)
+    keys, of_pair = _sorted(pairs.where("left >= 0").where(F.greatest(*CLASSES) > CAUTION ** 2), "pair")
     left, right = of_pair["left"].astype(np.int64), of_pair["right"].astype(np.int64)
 
     # Each level: what the class itself has seen, and the level below for the rest. Evidence is the log-ratio of the

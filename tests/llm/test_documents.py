@@ -175,6 +175,25 @@ def test_toxicity(spark, nothing):
     assert toxicity.scored(nothing, marks, part.isin(0, 1), part == 3).collect() == []
 
 
+def test_toxicity_keeps_every_pair_with_evidence(spark, monkeypatch):
+    """A toxic expression of two ordinary words, rarer than ordinary pairs, whatever number of pairs a model once held."""
+    import numpy as np
+    monkeypatch.setattr(toxicity, "PAIRS", 20, raising=False)
+    rng = random.Random(6)
+    plain = ["word%d" % k for k in range(12)]
+    rows = []
+    for i in range(400):
+        w = [rng.choice(plain) for _ in range(100)] + ["alpha", rng.choice(plain), "beta"]
+        if i < 50:
+            w += ["alpha", "beta"]
+        rows.append((" ".join(w), int(i < 50)))
+    model = toxicity.trained(spark.createDataFrame(rows, "text string, toxic int"))
+    hashes = toxicity.Hasher(toxicity.BASES[0])
+    (*_, found), = toxicity._tokens(toxicity.pa.array(["alpha beta"]), toxicity.separators(), toxicity.lower_table(), hashes)
+    at = int(toxicity.find(model.pairs, toxicity.pair_hash(found[:1], found[1:]))[0])
+    assert at >= 0 and model.pair_evidence[at] > 1 and np.isfinite(model.pair_evidence).all()
+
+
 def test_toxicity_on_held_out_rows(spark):
     """Documents in English with words of abuse are found in the fold that was not learned from."""
     folder = "/root/testdata/sf0.1"
