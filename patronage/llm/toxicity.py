@@ -9,7 +9,7 @@ expression is left to the shared counts, which say the same of both classes, and
 A text's score compares its log-likelihoods per word: the mean over all its words, and that of its strongest and second
 strongest word, since a long text may be toxic in a few places. Three numbers and a constant are weighed by a logistic
 regression on labelled texts that the models have not seen, at most ``CALIBRATION`` of them (those with the smallest hashed
-ids), its only sample. The models count all labelled texts.
+ids), its only sample. The models count all other labelled texts.
 
 Size of the models: all words and openings of at least ``FEWEST`` occurrences, and all pairs that keep a count in one of the
 classes (others are discounted to nothing and say what their second word says). These tables grow with the labelled texts;
@@ -268,7 +268,8 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
     """id column and score (0 to 1) of every row of ``docs``.
 
     ``labels``: id column and ``label`` (0 or 1). ``learn`` and ``calibrate`` are conditions on the column ``id`` that say
-    which labels train the models and which weigh the evidence; all others are not looked at.
+    which labels train the models and which may weigh the evidence; all others are not looked at. Of the latter, those
+    beyond the sample of ``CALIBRATION`` train the models too.
     """
     require_columns(docs, id_column, text)
     require_columns(labels, id_column, label)
@@ -277,9 +278,11 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
         "id is not null and toxic in (0, 1)").where(learn | calibrate).groupBy("id").agg(F.max("toxic").alias("toxic"))
     named = docs.select(field(id_column).cast("long").alias("id"), field(text).alias("text"))
     known = stored(only(named, marks).join(marks, "id").select("id", "toxic", "text"), "labelled")
-    model = trained(known.where(learn).select("text", "toxic"))
+    places = known.where(calibrate).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
+    sampled = stored(places, "calibration")
+    model = trained(known.join(F.broadcast(sampled), "id", "left_anti").select("text", "toxic"))
     if model is not None:
-        sample = known.where(calibrate).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
+        sample = known.join(F.broadcast(sampled), "id", "left_semi")
         model.weights, model.share = calibrated(evidence(sample, model).collect())
     if model is None or model.weights is None:
         share = model.share if model else known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]

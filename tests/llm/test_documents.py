@@ -194,6 +194,23 @@ def test_toxicity_keeps_every_pair_with_evidence(spark, monkeypatch):
     assert at >= 0 and model.pair_evidence[at] > 1 and np.isfinite(model.pair_evidence).all()
 
 
+def test_toxicity_counts_what_it_does_not_calibrate_on(spark, monkeypatch):
+    """Words of abuse that only texts beyond the calibration sample hold are learned."""
+    monkeypatch.setattr(toxicity, "CALIBRATION", 60)
+    rng = random.Random(14)
+    plain = ["word%d" % k for k in range(100)]
+    counted = []
+    train = toxicity.trained
+    monkeypatch.setattr(toxicity, "trained", lambda rows: counted.append(rows.count()) or train(rows))
+    docs = [(i, " ".join(rng.choice(plain) for _ in range(50)) + (" vile" * 3 if i % 4 == 0 else "")) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    part = toxicity.fold(F.col("id"))
+    found = toxicity.scored(frame, marks, part.isin(0, 1), part == 3).count()
+    of = collections.Counter(r.f for r in frame.select(toxicity.fold(F.col("doc_id")).alias("f")).collect())
+    assert found == 400 and of[3] > 60 and counted == [of[0] + of[1] + of[3] - 60]
+
+
 def test_toxicity_on_held_out_rows(spark):
     """Documents in English with words of abuse are found in the fold that was not learned from."""
     folder = "/root/testdata/sf0.1"
