@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import (byte_bpe, decontamination, language_id, lengths, near_dedup, packing, perplexity,
-                           quality_rules, substring_dedup, toxicity)
+from patronage.llm import (byte_bpe, collocations, decontamination, language_id, lengths, mixing, near_dedup, packing,
+                           perplexity, quality_rules, spelling, substring_dedup, toxicity)
 
 # The vocabulary of the queries; operators take the path as an argument.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -96,6 +96,18 @@ def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.histogram(lengths.token_counts(docs, RANKS, PATTERN))
 
 
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(mixing.mixture(_table(spark, folder, "documents")))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op13_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -107,6 +119,9 @@ QUERIES: dict[str, Query] = {
     "op8_packed_rows": op8_packed_rows,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_length_histogram": op10_length_histogram,
+    "op11_source_mix": op11_source_mix,
+    "op12_collocations": op12_collocations,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
 # Words and shingles as in the operators; the others are beyond SQL and are tested against plain computations.
@@ -154,4 +169,70 @@ root AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY ALL)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
        doc_id <= coalesce(low, doc_id) AS kept
 FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN root USING (doc_id)""",
+    "op11_source_mix": f"""
+WITH doc AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k,
+                    coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r
+        FROM doc GROUP BY source),
+weighed AS (SELECT *, CASE r % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS w, 1.5 * sum(source_size) OVER () AS budget FROM src),
+-- Sources whose two passes are the least for their weight are the first to reach them.
+level AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY source_size / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+                 sum(w) OVER (ORDER BY source_size / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM weighed),
+open AS (SELECT first(CAST(budget - full_before AS DOUBLE) / w_left ORDER BY source_size / w, r) AS height FROM level
+         WHERE 2 * source_size * CAST(w_left AS DOUBLE) > w * CAST(budget - full_before AS DOUBLE)),
+goal AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * coalesce(height, CAST('infinity' AS DOUBLE))) AS target
+         FROM weighed, open),
+queue AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS give,
+                 CAST(sum(size) OVER (PARTITION BY doc.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
+          FROM doc JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source)
+SELECT doc_id, size, source_size, target,
+       greatest(0, least(size, give - before)) + greatest(0, least(size, give - source_size - before)) AS taken
+FROM queue""",
+    "op12_collocations": f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang,
+                      unnest(regexp_split_to_array({LOWER.format("text")}, '[.,;:!?\n\x0b\f\r]')) AS p FROM documents),
+word AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM piece),
+place AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM word),
+total AS (SELECT lang, count(*) AS n FROM place GROUP BY ALL),
+gram AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+         FROM place, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+cand AS MATERIALIZED (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM gram WHERE k > 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+           FROM cand, generate_series(2, 3) AS a(m), generate_series(1, 3) AS b(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inner_ n USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * f),
+side AS MATERIALIZED (SELECT lang, phrase, f AS a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest
+                      FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM kept)),
+cut AS (SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score
+        FROM side c JOIN gram x ON x.lang = c.lang AND x.phrase = head JOIN gram y ON y.lang = c.lang AND y.phrase = rest),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN total USING (lang) WHERE rank <= 2000""",
+    # The CRC-32 over the bytes of "<doc_id>:<run>", from its table of 256 remainders.
+    "op13_spelling_groups": r"""
+WITH RECURSIVE bit AS (SELECT CAST(x AS BIGINT) AS x, CAST(x AS BIGINT) AS c, 0 AS k FROM generate_series(0, 255) AS s(x)
+                       UNION ALL SELECT x, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY x) AS t FROM bit WHERE k = 8),
+run AS (SELECT doc_id, run, count(*) AS m FROM (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[a-zA-Z\x{00C0}-\x{00FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+byte AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM run),
+hashed AS (SELECT doc_id, run, m, xor(4294967295, list_reduce(
+             list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, CAST(length(x) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+             lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS INT)], c >> 8))) AS h FROM byte, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+                     ELSE run END AS word, m FROM hashed),
+word AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY ALL HAVING sum(m) >= 2),
+gap AS MATERIALIZED (SELECT word, n, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+                     FROM (SELECT word, n, CAST(unnest(generate_series(1, length(word))) AS INT) AS i FROM word)),
+joint AS MATERIALIZED (SELECT word, n, substr(word, 1, i) AS head, substr(word, i + 1) AS tail
+                       FROM (SELECT word, n, CAST(unnest(generate_series(0, length(word))) AS INT) AS i FROM word)),
+pair AS (SELECT a.word AS x, b.word AS y, b.n FROM gap a JOIN gap b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM gap a JOIN joint b ON a.head = b.head AND a.tail = b.tail
+         UNION SELECT a.word, b.word, b.n FROM joint a JOIN gap b ON a.head = b.head AND a.tail = b.tail),
+near AS (SELECT x AS word, count(*) AS n_near, max(n) AS most, first(y ORDER BY n DESC, y) AS best FROM pair GROUP BY ALL),
+link AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN best END AS form,
+                             CASE WHEN most >= 10 * w.n THEN most END AS form_n FROM word w LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS root, 0 AS k FROM link
+         UNION ALL SELECT walk.word, link.form, k + 1 FROM walk JOIN link ON walk.root = link.word WHERE link.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM link JOIN (SELECT word, last(root ORDER BY k) AS root FROM walk GROUP BY ALL) USING (word)""",
 }
