@@ -1,9 +1,12 @@
 """Exact ranks and quantile groups over whole tables, RFM scores and lift tables.
 
 A window without partition keys puts every row into one task, and a window per RFM score puts them
-into five. Ranks here come from a global sort instead: rows are range-partitioned on (keys, value,
-tie-break), which splits any hot key or hot value, the sorted rows are written once, and the rank is
-the row's place in its sorted slice plus the rows in the slices before it.
+into five. Ranks here come from a global sort instead: (keys, value, tie-break) are range-partitioned, which splits
+any hot key or hot value, the sorted keys are written once, and the rank is the row's place in its sorted slice plus the
+rows in the slices before it.
+
+Quantile groups need no rank per row: the sort says which rows are the last of their group, and every row of the table is
+compared with those few bounds where it lies. Nothing but the sort keys is sorted, written or shuffled.
 """
 
 from __future__ import annotations
@@ -74,40 +77,53 @@ def quantile_score(
     """
     keys, ties = names(keys), names(tiebreak)
     require_columns(df, value, *ties, *keys)
-    number = "_number"
-    numbered = df.withColumn(number, number_column(df, value))
-    direction = F.desc_nulls_last(number) if higher_is_better else F.asc_nulls_last(number)
-    ranked = distributed_rank(numbered, [*map(field, keys), direction, *map(field, ties)], PLACE)
+    return _with_score(df, _bounds(df, value, ties, higher_is_better, groups, keys), value, ties, higher_is_better, score, keys)
+
 
-    per_group = _group_facts(ranked, keys, number)
+def _with_score(df: DataFrame, bounds: DataFrame, value: str, ties: Sequence[str], higher_is_better: bool, score: str,
+                keys: Sequence[str]) -> DataFrame:
+    """Adds ``score``: the group of each row, by comparing it with the bounds of its key group."""
+    sort_key, number = _sort_key(df, value, ties, higher_is_better)
     if keys:
         # Null-safe: a group may be the one whose key is missing.
-        facts = per_group.select(*[field(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_rows", "_distinct")
-        same = [ranked[f"`{k}`"].eqNullSafe(facts[f"_k{i}"]) for i, k in enumerate(keys)]
-        joined = ranked.join(facts, functools.reduce(Column.__and__, same), "left")
+        right = bounds.select(*[field(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_bounds")
+        same = [df[f"`{k}`"].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)]
+        joined = df.join(right, functools.reduce(Column.__and__, same), "left")
     else:
-        one = per_group.first()
-        facts = ("_first", "_rows", "_distinct")
-        joined = ranked.withColumns({c: F.lit(one[c] if one else None).cast("long") for c in facts})
-    bins = F.least(F.lit(groups).cast("long"), F.col("_rows"), F.col("_distinct"))
-    rank = F.col(PLACE) - F.col("_first") + 1
-    binned = F.when(bins <= 1, F.lit(1)).otherwise(quantile_bin(rank, F.col("_rows"), bins))
-    return joined.withColumn(
-        score, F.when(F.col(number).isNotNull() & F.col("_rows").isNotNull(), binned)
-    ).select(*map(field, df.columns), field(score))
+        joined = df.withColumn("_bounds", bounds.select("_bounds").scalar())
+    passed = F.size(F.filter("_bounds", lambda b: b < sort_key))
+    group = F.when(F.col("_bounds").isNull(), F.lit(1)).otherwise(passed + 1)
+    return joined.select(*[df[f"`{c}`"] for c in df.columns if c != score], F.when(number.isNotNull(), group).alias(score))
 
 
-def _group_facts(ranked: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Per group: where it starts, how many readable rows it has, and how many distinct values.
+def _sort_key(df: DataFrame, value: str, ties: Sequence[str], higher_is_better: bool) -> tuple[Column, Column]:
+    """What a row is ranked by, best first, as one value; and the number in it."""
+    number = number_column(df, value)
+    return F.struct((-number if higher_is_better else number).alias("number"), *[
+        field(t).alias(f"tie{i}") for i, t in enumerate(ties)]), number
 
-    Equal values shrink to one row per task and then to one row, so a hot value or group is summed where it lies.
+
+def _bounds(df: DataFrame, value: str, ties: Sequence[str], higher_is_better: bool, groups: int,
+            keys: Sequence[str]) -> DataFrame:
+    """(keys, _bounds): the sort keys of the last rows of all quantile groups but the last, in order.
+
+    Only keys, numbers and tie-breaks are sorted and written. The bin rule of ``quantile_bin`` says which ranks are last: the
+    b-th bin ends at rank (rows − 1) · b div groups + 1.
     """
+    sort_key, number = _sort_key(df, value, ties, higher_is_better)
+    narrow = df.where(number.isNotNull()).select(*map(field, keys), sort_key.alias("_key"))
     by = [field(k) for k in keys]
-    values = ranked.where(F.col(number).isNotNull()).groupBy(*by, number).agg(
-        F.min(PLACE).alias("_from"), F.count("*").alias("_n"))
-    return values.groupBy(*by).agg(
-        F.min("_from").alias("_first"), F.sum("_n").alias("_rows"), F.count("*").alias("_distinct")).where(
-        F.col("_rows") > 0)
+    ranked = distributed_rank(narrow, [*by, F.col("_key")], PLACE)
+    # Equal numbers shrink to one row per task and then to one row, so a hot value or group is summed where it lies.
+    values = ranked.groupBy(*by, F.col("_key.number").alias("number")).agg(F.min(PLACE).alias("_from"), F.count("*").alias("_n"))
+    facts = values.groupBy(*by).agg(F.min("_from").alias("_first"), F.sum("_n").alias("_rows"), F.count("*").alias("_distinct"))
+    bins = F.least(F.lit(groups).cast("long"), F.col("_rows"), F.col("_distinct"))
+    last = F.call_function("div", F.col("_b") * (F.col("_rows") - 1), bins)
+    ends = facts.where(bins > 1).select("*", F.explode(F.sequence(F.lit(1).cast("long"), bins - 1)).alias("_b")).select(
+        "_b", (F.col("_first") + last).alias("_end"))
+    found = ranked.join(F.broadcast(ends) if not keys else ends, F.col(PLACE) == F.col("_end"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_b", "_key"))), lambda e: e["_key"]).alias("_bounds")
+    return stored(found.groupBy(*by).agg(listed), "bounds")
 
 
 def rfm_scores(
@@ -126,14 +142,20 @@ def rfm_scores(
     and no total.
     """
     require_distinct_roles({"recency": recency, "frequency": frequency, "monetary value": monetary})
-    out = quantile_score(df, recency, tiebreak, False, groups, "R_score")
-    out = quantile_score(out, frequency, tiebreak, True, groups, "F_score", ["R_score"] if nested else None)
-    if nested:  # a row outside every R group has no place in one
-        out = out.withColumn("F_score", F.when(F.col("R_score").isNotNull(), F.col("F_score")))
-    out = quantile_score(out, monetary, tiebreak, True, groups, "M_score",
-                         ["R_score", "F_score"] if nested else None)
-    if nested:
-        out = out.withColumn("M_score", F.when(F.col("F_score").isNotNull(), F.col("M_score")))
+    ties = names(tiebreak)
+    require_columns(df, recency, frequency, monetary, *ties)
+    columns = list(dict.fromkeys([recency, frequency, monetary, *ties]))
+    narrow, out = stored(df.select(*map(field, columns)), "rfm"), df
+    keys: list[str] = []
+    for value, higher, score in ((recency, False, "R_score"), (frequency, True, "F_score"), (monetary, True, "M_score")):
+        inside = narrow.where(functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])) if keys else narrow
+        bounds = _bounds(inside, value, ties, higher, groups, keys)
+        narrow, out = (_with_score(t, bounds, value, ties, higher, score, keys) for t in (narrow, out))
+        if keys:  # a row outside the groups has no place in one
+            known = functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+            narrow, out = (t.withColumn(score, F.when(known, F.col(score))) for t in (narrow, out))
+        if nested:
+            keys = [*keys, score]
     scores = [F.col("R_score"), F.col("F_score"), F.col("M_score")]
     label = F.concat(scores[0].cast("string"), F.lit("-"), scores[1].cast("string"), F.lit("-"),
                      scores[2].cast("string"))

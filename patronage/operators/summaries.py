@@ -280,11 +280,12 @@ def _with_next(placed: DataFrame, place: str, columns: Sequence[str]) -> DataFra
 
 
 def estimate_transitions(df: DataFrame, customer: str, date: str, state: str, tiebreak: str,
-                         scenario: str | None = None, absorbing: str = "stay") -> DataFrame:
+                         scenario: str | None = None, absorbing: str = "stay", whole: bool = True) -> DataFrame:
     """Share of moves from one state to the next per customer: (scenario, from_state, to_state, moves, prob).
 
     The matrix is whole: pairs of a scenario's states that were never seen are 0; a state that no customer left leads to
-    itself, or stops the job with ``absorbing='error'``.
+    itself, or stops the job with ``absorbing='error'``. With ``whole=False`` only the pairs that were seen are
+    returned, for ``sparse_markov.coordinate_matrix``.
 
     "Next" needs the rows of a customer in time order. A window per customer would put a hot customer
     into one task; instead rows are placed in order over (scenario, customer, time, tie-break) across
@@ -303,11 +304,14 @@ def estimate_transitions(df: DataFrame, customer: str, date: str, state: str, ti
         F.count("*").alias("moves"))
     # One row per pair of states is left. Pairs never seen are 0, and states never left stay.
     total = F.sum("moves").over(W.partitionBy(*keys, "from_state"))
-    seen = stored(counts.withColumn("prob", F.col("moves") / total), "transitions")
-    whole = complete_transitions(seen, keys, absorbing)
+    shares = counts.withColumn("prob", F.col("moves") / total)
+    if not whole:
+        return shares.withColumnRenamed("_scenario", scenario) if who else shares
+    seen = stored(shares, "transitions")
+    whole_matrix = complete_transitions(seen, keys, absorbing)
     pair = [*keys, "from_state", "to_state"]
     right = seen.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(pair)], "moves")
     same = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(pair)]
-    out = whole.join(right, functools.reduce(Column.__and__, same), "left").select(
+    out = whole_matrix.join(right, functools.reduce(Column.__and__, same), "left").select(
         *pair, F.coalesce("moves", F.lit(0).cast("long")).alias("moves"), "prob")
     return out.withColumnRenamed("_scenario", scenario) if who else out

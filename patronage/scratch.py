@@ -41,6 +41,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` returned, once no result needs them any more."""
+    spark = table.sparkSession
+    folder = scratch_folder(spark)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for file in table.inputFiles():
+        path = jvm.Path(file)
+        if folder.split("://")[-1].lstrip("/") in file:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes every table this application has stored; DataFrames that still read them fail from then on."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronage.errors import InputProblem
-from patronage.operators import markov, summaries
+from patronage.operators import markov, sparse_markov, summaries
 from patronage.plans import newton, response_models
 from patronage.scratch import SETTING, clear_scratch, scratch_folder, stored
 from patronage.sources import readers, sinks
@@ -24,9 +24,9 @@ def test_missing_pairs_are_zero(spark):
     assert got["A", 0, "B"] == 1 and got["A", 0, "A"] == 0 and got["A", 1, "C"] == 1
     assert got["C", 1, "B"] == 0.5 and got["C", 1, "A"] == 0.25
     joined = {(r["previous"], r["occasion"], r["state"]): r["probability"]
-              for r in markov.choice_probabilities_by_join(ring(spark), 2).collect()}
+              for r in sparse_markov.sparse_choice_probabilities(sparse_markov.coordinate_matrix(ring(spark)), None, 2).collect()}
     assert joined == {k: v for k, v in got.items() if v}
-    one = markov.choice_probabilities_by_join(ring(spark), 2, previous="C").collect()
+    one = sparse_markov.sparse_choice_probabilities(sparse_markov.coordinate_matrix(ring(spark)), "C", 2).collect()
     assert {r["previous"] for r in one} == {"C"} and len(one) == len([k for k in joined if k[0] == "C"])
     value = markov.markov_clv(packed, "A", "C", 1.0, 1.0, 1.0, 0.0, 1.0).first()["clv"]
     assert value == pytest.approx(1.0)
@@ -51,6 +51,76 @@ def test_any_number_of_states(spark, n):
     assert [(r["occasion"], r["state"], r["probability"]) for r in rows] == [(0, 1, 1.0), (1, 2, 1.0)]
 
 
+TERMS = (120.0, 0.25, 2.0, 0.1, 2.0)
+
+
+def test_packed_and_sparse_agree(spark):
+    """Value and return of small matrices, with scenarios of which one has no name, in both forms."""
+    keyed = ring(spark, ["x", None])
+    better = keyed.withColumn("prob", F.col("prob") * 0.5).unionByName(keyed.select("from_state").distinct().crossJoin(
+        keyed.select("scenario").distinct()).select("from_state", F.lit("B").alias("to_state"), F.lit(0.5).alias("prob"), "scenario")) \
+        .groupBy("scenario", "from_state", "to_state").agg(F.sum("prob").alias("prob"))
+    for keys, old, new in ((None, ring(spark), better.where("scenario = 'x'").drop("scenario")), ("scenario", keyed, better)):
+        packed, sparse = markov.pack_transitions(old, keys), sparse_markov.coordinate_matrix(old, keys)
+        for details in (False, True):
+            a = markov.markov_clv(packed, None, "B", *TERMS, keys=keys, details=details)
+            b = sparse_markov.sparse_markov_clv(sparse, None, "B", *TERMS, keys=keys, details=details)
+            assert a.columns == b.columns
+            for x, y in zip(sorted(map(tuple, a.collect()), key=repr), sorted(map(tuple, b.collect()), key=repr)):
+                assert x[:-1][:2] == y[:-1][:2] and x[-1] == pytest.approx(y[-1], abs=1e-12)
+    one = (ring(spark), better.where("scenario = 'x'").drop("scenario"))
+    weights = spark.createDataFrame([("A", 1), ("B", 3), ("C", 6)], "state string, weight int")
+    a = markov.markov_roi(*[markov.pack_transitions(m) for m in one], weights, "B", *TERMS, 1000.0, 500.0).first()
+    b = sparse_markov.sparse_markov_roi(*[sparse_markov.coordinate_matrix(m) for m in one], weights, "B", *TERMS, 1000.0, 500.0).first()
+    assert a.asDict() == pytest.approx(b.asDict(), rel=1e-12) and a["roi"] > 0
+    short = weights.where("state <> 'A'")
+    with pytest.raises(Exception, match="same states"):
+        sparse_markov.sparse_markov_roi(*[sparse_markov.coordinate_matrix(m) for m in one], short, "B", *TERMS, 1000.0, 500.0).collect()
+
+
+def test_ten_thousand_states(spark):
+    """A ring of 10,000 states in which a third of all moves goes to one state: paths, value and return without a matrix in a row."""
+    n = 10_000
+    ends = spark.range(n).select(F.col("id").alias("from_state"), F.explode(F.array(
+        F.struct(((F.col("id") + 1) % n).alias("to_state"), F.lit(0.5).alias("prob")),
+        F.struct(((F.col("id") + 2) % n).alias("to_state"), F.lit(0.25).alias("prob")),
+        F.struct(F.lit(0).cast("long").alias("to_state"), F.lit(0.25).alias("prob")))).alias("c")).select("from_state", "c.*") \
+        .groupBy("from_state", "to_state").agg(F.sum("prob").alias("prob"))
+    old = sparse_markov.coordinate_matrix(ends)
+    assert old.count() == ends.count() and "array" not in str(old.schema)
+    path = sparse_markov.sparse_choice_probabilities(old, 5_000, 3).collect()
+    assert sum(r.probability for r in path if r.occasion == 2) == pytest.approx(1, abs=1e-12)
+    assert {r.state: r.probability for r in path if r.occasion == 1}[0] == 0.25
+    values = {r.previous: r.clv for r in sparse_markov.sparse_markov_clv(old, None, 0, 100.0, 0.5, 1.0, 0.1, 2.0).collect()}
+    # Far from 0 every step leads there with 1/4.
+    assert len(values) == n and values[5_000] == pytest.approx(12.5 * (1 + 1 / 1.1 + 1 / 1.21), abs=1e-9)
+    kept = ends.where("to_state <> 0").withColumn("prob", F.col("prob") / 2).unionByName(
+        spark.range(n).select(F.col("id").alias("from_state"), F.lit(0).cast("long").alias("to_state"), F.lit(0.0).alias("prob")))
+    total = kept.groupBy("from_state").agg(F.sum("prob").alias("s"))
+    new = sparse_markov.coordinate_matrix(kept.join(total, "from_state").withColumn(
+        "prob", F.when(F.col("to_state") == 0, 1 - F.col("s")).otherwise(F.col("prob"))).drop("s"))
+    weights = spark.range(n).select(F.col("id").alias("state"), F.lit(1).alias("weight"))
+    roi = sparse_markov.sparse_markov_roi(old, new, weights, 0, 100.0, 0.5, 1.0, 0.1, 2.0, 1000.0, 100.0).first()
+    assert roi["old_average_clv"] == pytest.approx(sum(values.values()) / n) and roi["new_average_clv"] > roi["old_average_clv"]
+
+
+def test_coordinates_are_checked(spark):
+    schema = "from_state string, to_state string, prob double"
+    for rows, problem in (([("A", "B", 1.5)], "between 0 and 1"), ([("A", "B", None)], "between 0 and 1"),
+                          ([("A", "B", 0.5)], "sum to 1"), ([("A", "B", 0.5), ("A", "B", 0.5)], "square")):
+        with pytest.raises(Exception, match=problem):
+            sparse_markov.coordinate_matrix(spark.createDataFrame(rows, schema))
+    with pytest.raises(Exception, match="leads away from state B"):
+        sparse_markov.coordinate_matrix(spark.createDataFrame([("A", "B", 1.0)], schema), absorbing="error")
+    stays = sparse_markov.coordinate_matrix(spark.createDataFrame([("A", "B", 1.0), ("A", "C", 0.0)], schema)).collect()
+    assert sorted((r.from_state, r.to_state, r.parts) for r in stays) == [("A", "B", 10**18), ("B", "B", 10**18), ("C", "C", 10**18)]
+    ring_ = sparse_markov.coordinate_matrix(ring(spark))
+    with pytest.raises(InputProblem):
+        sparse_markov.sparse_choice_probabilities(ring_, "Z", 2)
+    with pytest.raises(InputProblem):
+        sparse_markov.focal_probabilities(ring_, "Z", 2)
+
+
 def test_scenarios_without_a_name(spark):
     whole = markov.complete_transitions(ring(spark, ["x", None]), "scenario")
     assert markov.validate_transitions(whole, keys="scenario").count() == 18
