@@ -1,14 +1,12 @@
-"""Response models on Spark ML: logistic regression and a decision tree, with scores for every row."""
+"""Response models: logistic regression on Spark ML and a decision tree, with scores for every row."""
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +15,13 @@ from patronage.columns import field, require_columns
 from patronage.errors import InputProblem
 from patronage.functions.parse import binary_column, number_column
 from patronage.operators.medians import exact_medians
+from patronage.plans import trees
 from patronage.scratch import stored
 
 # Spark's weighted least squares solves the normal equations on the driver: terms × terms numbers.
 MOST_TERMS = 4096
 # Fixed value: most iterations of the logistic fit.
 MOST_ITERATIONS = 500
-# Most thresholds considered per predictor: a tree's histograms hold this many cells per predictor and node.
-TREE_BINS = 65_536
 PREDICTED = "predicted_probability"
 LABEL, FEATURES = "_label", "_features"
 
@@ -154,54 +151,32 @@ def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str]) -> Logi
     return LogisticModel(_scored(model, rows), coefficients, -summary.deviance / 2, -summary.nullDeviance / 2)
 
 
-def _rules(debug: str, names: Sequence[str]) -> str:
-    """Spark's description of a tree with predictor names, nested lines and probabilities."""
-    out = []
-    for line in debug.splitlines()[1:]:
-        text = line.strip()
-        # Spark indents the root by two blanks and each level by one more.
-        bar = "|   " * (len(line) - len(line.lstrip()) - 2) + "|--- "
-        split = re.match(r"(?:If|Else) \(feature (\d+) (<=|>) ([-\d.eE]+)\)", text)
-        leaf = re.match(r"Predict: ([-\d.eE]+)", text)
-        if split:
-            out.append(f"{bar}{names[int(split[1])]} {split[2]} {float(split[3]):.4f}")
-        elif leaf:
-            p = float(leaf[1])
-            out.append(f"{bar}probability: {p:.4f} (class: {int(p > 0.5)})")
-    return "\n".join(out)
-
-
 def fit_decision_tree(df: DataFrame, outcome: str, predictors: Sequence[str], max_depth: int = 4,
-                      min_samples_leaf: int = 50, max_bins: int = TREE_BINS) -> TreeModel:
+                      min_samples_leaf: int = 50) -> TreeModel:
     """A tree of Gini splits whose leaves give response probabilities.
 
-    The variance of a 0/1 outcome is p(1−p), half the Gini impurity, so a regression tree makes the
-    same splits. It is used because Spark's classification tree merges neighbouring leaves that vote
-    for the same class, which for rare responses leaves one leaf and one probability. Thresholds lie
-    between any two neighbouring values, found in all rows. Only a predictor with more than
-    ``max_bins`` distinct values is split at its quantiles instead.
+    Thresholds lie midway between two neighbouring values of a node's rows, whatever their number; each level of a text
+    predictor may be cut off. Of equally good cuts the first predictor's, smallest one is taken, numbers before texts. A missing
+    number takes the median, a missing text the most frequent level (the first of equals).
     """
     rows = _model_rows(df, outcome, predictors)
     known = rows.where(F.col(LABEL).isNotNull())
-    numbers = [c for c in predictors if _is_number(df, c)]
-    medians = exact_medians(known, numbers)
-    terms = {c: _filled(rows, c, medians[c]) for c in numbers}
-    for c, levels in _levels(known, [c for c in predictors if c not in numbers]).items():
-        # Missing text counts as the most frequent level (the first of equals).
-        usual = max(levels, key=lambda e: e[1])[0] if levels else ""
-        text = F.coalesce(field(c).cast("string"), F.lit(usual))
-        for level, _ in levels:
-            terms[f"{c}_{level}"] = (text == level).cast("double")
-    rows = _design(rows, terms)
-    # Spark looks for thresholds in a sample of the rows once they outnumber the square of its bins.
-    facts = known.agg(F.count("*"), *[F.count_distinct(terms[c]) for c in numbers]).first()
-    bins = min(max_bins, max(32, math.isqrt(facts[0]) + 1, *[n + 1 for n in facts[1:]], 32))
-    tree = DecisionTreeRegressor(
-        impurity="variance", labelCol=LABEL, featuresCol=FEATURES, predictionCol=PREDICTED, seed=42,
-        maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, maxBins=bins,
-    ).fit(rows.where(F.col(LABEL).isNotNull()))
-    importances = tree.featureImportances.toArray()
-    importance = df.sparkSession.createDataFrame(
-        [(n, float(v)) for n, v in zip(terms, importances)], "feature string, importance double",
-    ).orderBy(F.desc("importance"), "feature")
-    return TreeModel(_scored(tree, rows), _rules(tree.toDebugString, list(terms)), importance)
+    numeric = [c for c in predictors if _is_number(df, c)]
+    words = [c for c in predictors if c not in numeric]
+    medians = exact_medians(known, numeric)
+    numbers = {c: _filled(rows, c, medians[c]) for c in numeric}
+    # One row per level; the most frequent of each column reaches the driver.
+    levels = trees.text_levels(known, words, lambda c: field(c).cast("string")) if words else None
+    usual = {r["column"]: r["level"] for r in levels.groupBy("column").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), "level")).alias("u")).select("column", "u.level").collect()} if words else {}
+    texts = {c: F.coalesce(field(c).cast("string"), F.lit(usual.get(c, ""))) for c in words}
+    tree = trees.grow(rows, LABEL, numbers, texts, max_depth, min_samples_leaf)
+    chance = F.when(F.col(LABEL).isNotNull(), trees.score(tree, numbers | texts))
+    spark = df.sparkSession
+    cut = spark.createDataFrame(list(trees.gains(tree).items()), "feature string, _share double")
+    features = spark.createDataFrame([(c,) for c in numeric], "feature string")
+    if words:
+        features = features.unionByName(levels.select(F.concat_ws("_", "column", "level").alias("feature")))
+    importance = features.join(F.broadcast(cut), "feature", "left").select(
+        "feature", F.coalesce("_share", F.lit(0.0)).alias("importance")).orderBy(F.desc("importance"), "feature")
+    return TreeModel(rows.withColumn(PREDICTED, chance).drop(LABEL), trees.rules(tree), importance)

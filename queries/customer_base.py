@@ -212,5 +212,5 @@ def streamed_rfm_inputs(spark, folder):
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
     out = scratch_path(spark, "totals")
     incremental.stream_totals(orders, "o_custkey", "o_orderdate", "o_totalprice", out).awaitTermination()
-    totals = incremental.current_totals(spark.read.parquet(out), "o_custkey")
+    totals = incremental.current_totals(incremental.read_updates(spark, out), "o_custkey")
     return rounded(incremental.rfm_now(totals, "o_custkey"))

@@ -245,6 +245,50 @@ def tree_with_one_split(spark, folder):
     return rounded(fitted.scored.select("c_custkey", "predicted_probability"))
 
 
+def _cuts_sql(name: str, rows: str) -> str:
+    """CTEs that try every cut of every node of ``rows`` and keep the best of each."""
+    return f"""
+{name}_v AS (SELECT node, pos, v, lev, CAST(count(*) AS DOUBLE) AS n, CAST(sum(response) AS DOUBLE) AS k FROM (
+    SELECT node, 0 AS pos, CAST(purchases AS DOUBLE) AS v, '' AS lev, response FROM {rows}
+    UNION ALL SELECT node, 1, c_acctbal, '', response FROM {rows}
+    UNION ALL SELECT node, 2, 0.0, c_mktsegment, response FROM {rows}) GROUP BY ALL),
+{name}_t AS (SELECT node, CAST(count(*) AS DOUBLE) AS nn, CAST(sum(response) AS DOUBLE) AS kk FROM {rows} GROUP BY node),
+{name}_c AS (SELECT *, CASE WHEN pos < 2 THEN sum(n) OVER w ELSE nn - n END AS n1, CASE WHEN pos < 2 THEN sum(k) OVER w ELSE kk - k END AS k1,
+                    CASE WHEN pos < 2 THEN lead(v) OVER w ELSE 1 END AS nx
+             FROM {name}_v JOIN {name}_t USING (node) WINDOW w AS (PARTITION BY node, pos ORDER BY v, lev)),
+{name} AS (SELECT *, k1 * k1 / n1 + (kk - k1) * (kk - k1) / (nn - n1) AS score FROM {name}_c
+           WHERE n1 >= 10 AND nn - n1 >= 10 AND nx IS NOT NULL AND score - kk * kk / nn > 1e-12 * kk * kk / nn
+           QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, pos, v, lev) = 1),
+{name}_r AS (SELECT r.* EXCLUDE (node), CASE WHEN c.node IS NULL THEN -r.node - 1
+                      WHEN CASE pos WHEN 0 THEN purchases <= (v + nx) / 2 WHEN 1 THEN c_acctbal <= (v + nx) / 2 ELSE c_mktsegment <> lev END
+                      THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node FROM {rows} r LEFT JOIN {name} c ON r.node = c.node)"""
+
+
+@query(f"""
+WITH {RESPONSE_SQL},
+start AS (SELECT *, 0 AS node FROM response_table),
+{_cuts_sql("one", "start")}, {_cuts_sql("two", "one_r")}
+SELECT c_custkey, round(avg(response) OVER (PARTITION BY node), 6) AS predicted_probability FROM two_r""")
+def tree_with_two_levels(spark, folder):
+    """Numbers and a text; the SQL tries every cut of the table, then every cut of both halves."""
+    fitted = models.fit_decision_tree(response_table(spark, folder), "response", ["purchases", "c_acctbal", "c_mktsegment"], 2, 10)
+    return rounded(fitted.scored.select("c_custkey", "predicted_probability"))
+
+
+@query(f"""
+WITH {RESPONSE_SQL},
+start AS (SELECT *, 0 AS node FROM response_table),
+{_cuts_sql("one", "start")}, {_cuts_sql("two", "one_r")},
+cut AS (SELECT pos, lev, score - kk * kk / nn AS gain FROM one UNION ALL SELECT pos, lev, score - kk * kk / nn FROM two),
+share AS (SELECT CASE pos WHEN 0 THEN 'purchases' WHEN 1 THEN 'c_acctbal' ELSE 'c_mktsegment_' || lev END AS feature,
+                 sum(gain) / (SELECT sum(gain) FROM cut) AS importance FROM cut GROUP BY ALL),
+term AS (SELECT 'purchases' AS feature UNION ALL SELECT 'c_acctbal' UNION ALL SELECT DISTINCT 'c_mktsegment_' || c_mktsegment FROM response_table)
+SELECT feature, round(coalesce(importance, 0), 6) AS importance FROM term LEFT JOIN share USING (feature)""")
+def tree_importance_of_two_levels(spark, folder):
+    return rounded(models.fit_decision_tree(
+        response_table(spark, folder), "response", ["purchases", "c_acctbal", "c_mktsegment"], 2, 10).feature_importance)
+
+
 @query()
 def logistic_coefficients(spark, folder):
     return models.fit_logistic(response_table(spark, folder), "response", PREDICTORS).coefficients

@@ -186,16 +186,12 @@ def test_scratch_leaves_the_session_alone(spark):
     assert scratch_folder(spark).startswith(before) and callable(clear_scratch)
 
 
-def test_compacted_totals_say_the_same(spark, tmp_path):
-    from patronage.streaming import incremental
-    schema = "who int, last long"
-    for batch, rows in enumerate([[(1, 10), (2, 20)], [(2, 25), (3, 30)], [(1, 40)]]):
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/batch={batch}")
-
-    def totals():
-        return sorted(tuple(r) for r in incremental.current_totals(spark.read.parquet(str(tmp_path)), "who").collect())
-
-    before = totals()
-    incremental.compact_totals(spark, str(tmp_path), "who")
-    assert totals() == before == [(1, 40), (2, 25), (3, 30)]
-    assert [p.name for p in tmp_path.iterdir() if p.is_dir()] == ["batch=2"]
+def test_any_number_of_values_and_levels(spark):
+    """300,000 distinct values are cut at the very gap, and one of 20,000 levels is found."""
+    df = spark.range(300_000).select(((F.col("id") * 7919) % 300_000).cast("double").alias("x"), F.concat(
+        F.lit("s"), (F.col("id") % 20_000).cast("string")).alias("shop"))
+    model = response_models.fit_decision_tree(df.withColumn("y", (F.col("x") > 123_456).cast("int")), "y", ["x", "shop"], 1, 5)
+    assert "x <= 123456.5000" in model.rules
+    answers = df.withColumn("y", F.when(F.col("shop") == "s77", 1).otherwise((F.col("x") < 3).cast("int")))
+    model = response_models.fit_decision_tree(answers, "y", ["x", "shop"], 1, 5)
+    assert "shop_s77 <= 0.5000" in model.rules and model.feature_importance.count() == 20_001

@@ -189,7 +189,7 @@ def test_stream_in_several_batches(spark, tmp_path):
         orders.where(F.col("o_orderkey") % 3 == part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(orders.schema).parquet(source)
         incremental.stream_totals(stream, "o_custkey", "o_orderdate", "o_totalprice", out, checkpoint).awaitTermination()
-    totals = incremental.current_totals(spark.read.parquet(out), "o_custkey")
+    totals = incremental.current_totals(incremental.read_updates(spark, out), "o_custkey")
     got = {r["o_custkey"]: r for r in incremental.rfm_now(totals, "o_custkey").collect()}
     want = summaries.rfm_from_transactions(orders, "o_custkey", "o_orderdate", "o_totalprice").collect()
     assert len(got) == len(want)
