@@ -93,28 +93,83 @@ def ratio_series(steps: Column, ratio) -> Column:
     return F.coalesce(total, F.lit(1.0))
 
 
-def hypergeometric_series(a, b, c, z, tolerance: float = 1e-15, max_terms: int = 200_000):
-    """Σ (a)_k (b)_k / (c)_k z^k / k! over whole arrays; finished entries leave the loop."""
-    a, b, c, z = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, c, z)))
-    total = np.ones(a.shape)
-    term = np.ones(a.shape)
-    live = np.arange(a.size)
-    for k in range(max_terms):
-        la, lb, lc, lz = a[live], b[live], c[live], z[live]
+# Up to here the series in powers of z is summed as it stands; beyond, the function is carried on towards 1.
+NEAR = 0.75
+
+
+def _power_series(a, b, c, z, tolerance: float) -> np.ndarray:
+    """Sum of (a)_k (b)_k / (c)_k z^k / k! for z up to ``NEAR``.
+
+    The ratio of successive terms tends to z, so every entry finishes; finished ones leave the loop.
+    """
+    total, term = np.ones(a.shape), np.ones(a.shape)
+    live, k = np.arange(a.size), 0
+    while live.size:
         with np.errstate(all="ignore"):
-            step = (la + k) * (lb + k) / ((lc + k) * (k + 1.0)) * lz
-            term[live] = term[live] * step
-        total[live] += term[live]
-        # Once ratios fall below one for good, the tail is bounded by a geometric series.
-        tail = np.abs(term[live]) / np.maximum(1.0 - np.abs(step), 1e-3)
-        done = (np.abs(step) < 1.0) & (tail <= tolerance * np.abs(total[live])) | ~np.isfinite(total[live])
+            ratio = (a[live] + k) * (b[live] + k) / ((c[live] + k) * (k + 1.0)) * z[live]
+            term[live] = term[live] * ratio
+            total[live] += term[live]
+            # Once ratios fall below one for good, the tail is bounded by a geometric series.
+            tail = np.abs(term[live]) / np.maximum(1.0 - np.abs(ratio), 1e-3)
+        done = (np.abs(ratio) < 1.0) & (tail <= tolerance * np.abs(total[live])) | ~np.isfinite(total[live])
         live = live[~done]
-        if live.size == 0:
-            return total
-    total[live] = np.nan
+        k += 1
     return total
 
 
+def _carried(a, b, c, start, end, value, slope, tolerance: float):
+    """Value and slope at ``end`` from those at ``start``, by the Taylor series of the hypergeometric equation.
+
+    ``end`` lies at most half way to 1, so terms halve. For positive parameters all of them are positive: nothing cancels.
+    """
+    step = end - start
+    before, now = value.copy(), slope * step  # terms 0 and 1, already times step^k
+    total, rise = value + now, slope.copy()
+    live, k = np.arange(a.size), 0
+    while live.size:
+        la, lb, lc, z0, h = a[live], b[live], c[live], start[live], step[live]
+        with np.errstate(all="ignore"):
+            following = ((k + la) * (k + lb) * before[live] * h * h
+                         - (k + 1) * ((1 - 2 * z0) * k + lc - (la + lb + 1) * z0) * now[live] * h) / (
+                z0 * (1 - z0) * (k + 2) * (k + 1))
+            ratio = np.abs(following / now[live])
+            small = np.abs(following) / np.maximum(1.0 - ratio, 1e-3)
+            total[live] += following
+            rise[live] += (k + 2) * following / h
+            done = (ratio < 1.0) & ((k + 2) * small <= tolerance * np.abs(rise[live] * h)) & (small <= tolerance * np.abs(total[live]))
+        done |= ~np.isfinite(total[live]) | (following == 0) & (now[live] == 0)
+        before[live], now[live] = now[live], following
+        live = live[~done]
+        k += 1
+    return total, rise
+
+
+def hypergeometric_series(a, b, c, z, tolerance: float = 1e-16) -> np.ndarray:
+    """Gauss's hypergeometric function over whole arrays, for 0 <= z < 1 and any distance from 1.
+
+    Up to ``NEAR`` it is the sum of its series. From there it is carried on in steps that halve the distance to 1, about 20 of
+    them for 1 - z = 1e-6 and 50 for the last number below 1.
+    """
+    a, b, c, z = (np.array(v, dtype=float).ravel() for v in np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, c, z))))
+    out = np.full(a.shape, np.nan)
+    known = np.isfinite(a) & np.isfinite(b) & np.isfinite(c) & (z >= 0) & (z < 1)
+    near = known & (z <= NEAR)
+    out[near] = _power_series(a[near], b[near], c[near], z[near], tolerance)
+    far = np.flatnonzero(known & (z > NEAR))
+    if far.size:
+        la, lb, lc, at = a[far], b[far], c[far], np.full(far.size, NEAR)
+        value = _power_series(la, lb, lc, at, tolerance)
+        slope = la * lb / lc * _power_series(la + 1, lb + 1, lc + 1, at, tolerance)
+        left = np.arange(far.size)
+        while left.size:
+            goal = np.minimum(z[far][left], at[left] + (1 - at[left]) / 2)
+            value[left], slope[left] = _carried(la[left], lb[left], lc[left], at[left], goal, value[left], slope[left], tolerance)
+            at[left] = goal
+            left = left[at[left] < z[far][left]]
+        out[far] = value
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def hyp2f1(a: pd.Series, b: pd.Series, c: pd.Series, z: pd.Series) -> pd.Series:
     """Gauss hypergeometric function for 0 <= z < 1, one Arrow batch at a time."""

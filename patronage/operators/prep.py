@@ -129,12 +129,8 @@ def profile_table(df: DataFrame, approximate: bool = False) -> DataFrame:
         row(n, i, F.col(f"d{i}") if approximate else unknown) for n, i in order.items()
     ])).alias("r")).select("r.*")
     if not approximate:
-        # Long texts travel as their 256-bit digest, shorter ones as they are: the lengths tell them apart.
-        def key(value: Column) -> Column:
-            return F.when(F.octet_length(value) < 32, value.cast("binary")).otherwise(F.unhex(F.sha2(value, 256)))
-
         pairs = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("position"), key(text[n]).alias("value"))
+            F.struct(F.lit(i).alias("position"), _digest(text[n]).alias("value"))
             for n, i in order.items()])).alias("p")).select("p.*").where(F.col("value").isNotNull())
         distinct = pairs.distinct().groupBy("position").agg(F.count("*").alias("_distinct"))
         described = described.join(distinct, "position", "left").withColumn(
@@ -142,9 +138,20 @@ def profile_table(df: DataFrame, approximate: bool = False) -> DataFrame:
     return described.orderBy("position").drop("position")
 
 
+def _digest(text: Column) -> Column:
+    """Long texts as their 256-bit digest, shorter ones as they are: the lengths tell them apart."""
+    return F.when(F.octet_length(text) < 32, text.cast("binary")).otherwise(F.unhex(F.sha2(text, 256)))
+
+
 def table_shape(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, and rows that repeat an earlier row."""
-    groups = df.groupBy(*map(field, df.columns)).agg(F.count("*").alias("n"))
+    """One row: rows, columns, and rows that repeat an earlier row.
+
+    Rows are compared by their numbers and by texts of up to 31 bytes or the SHA-256 of longer ones, so no long text is shuffled.
+    """
+    texts = (T.StringType, T.BinaryType)
+    keys = [_digest(field(f.name)) if isinstance(f.dataType, texts) else field(f.name) for f in df.schema.fields]
+    groups = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(
+        F.count("*").alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).alias("columns"),

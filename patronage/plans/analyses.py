@@ -13,6 +13,7 @@ from patronage.operators.ranking import lift_table, rfm_scores
 from patronage.operators.summaries import When, bgnbd_summary, rfm_from_transactions
 from patronage.operators.targeting import segment_response, targeting_profit, targeting_summary
 from patronage.plans.bgnbd import BGNBDFit, score_bgnbd
+from patronage.plans.holdout import HeldOut, held_out
 from patronage.plans.response_models import PREDICTED, LogisticModel, TreeModel, fit_decision_tree, fit_logistic
 from patronage.scratch import stored
 
@@ -45,25 +46,32 @@ def rfm_from_log(df: DataFrame, customer: str, date: str, amount: str, observati
 class TargetingResult:
     """``scores`` per customer, ``summary`` and ``lift`` of the campaign, and the fitted ``model``.
 
-    Profit and lift are those of the rows the model was fitted on (in-sample).
+    Profit and lift are those of the rows the model was fitted on (in-sample). ``held_out`` has the same figures from models
+    that have not seen the customers they score, if folds were asked for.
     """
 
     scores: DataFrame
     summary: DataFrame
     lift: DataFrame
     model: LogisticModel | TreeModel
+    held_out: HeldOut | None = None
 
 
 def targeting_analysis(df: DataFrame, customer: str, outcome: str, predictors: Sequence[str],
                        profit_if_response: float, profit_if_no_response: float, method: str = "logistic",
-                       groups: int = 10, **tree_options) -> TargetingResult:
-    """From a customer table with a 0/1 response to the customers worth contacting."""
+                       groups: int = 10, folds: int | None = None, **tree_options) -> TargetingResult:
+    """From a customer table with a 0/1 response to the customers worth contacting.
+
+    With ``folds`` the result also has held-out profit and lift, for one more fit per fold.
+    """
     answered = df.withColumn(outcome, binary_column(df, outcome))
     model = fit_logistic(answered, outcome, predictors) if method == "logistic" \
         else fit_decision_tree(answered, outcome, predictors, **tree_options)
     scores = targeting_profit(model.scored, outcome, PREDICTED, profit_if_response, profit_if_no_response)
     summary = targeting_summary(scores, outcome, profit_if_response, profit_if_no_response)
-    return TargetingResult(scores, summary, lift_table(model.scored, outcome, PREDICTED, customer, groups), model)
+    unseen = held_out(answered, customer, outcome, predictors, profit_if_response, profit_if_no_response, method, groups,
+                      folds, **tree_options) if folds else None
+    return TargetingResult(scores, summary, lift_table(model.scored, outcome, PREDICTED, customer, groups), model, unseen)
 
 
 def bgnbd_from_log(df: DataFrame, customer: str, date: str, horizon: float, end: When = None,

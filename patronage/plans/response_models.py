@@ -102,8 +102,8 @@ def _design(rows: DataFrame, terms: dict[str, Column]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol=FEATURES).transform(wide).drop(*names)
 
 
-def _scored(model, rows: DataFrame) -> DataFrame:
-    known = F.col(LABEL).isNotNull()
+def _scored(model, rows: DataFrame, everyone: bool) -> DataFrame:
+    known = F.lit(True) if everyone else F.col(LABEL).isNotNull()
     return model.transform(rows).withColumn(PREDICTED, F.when(known, F.col(PREDICTED))).drop(LABEL, FEATURES)
 
 
@@ -123,10 +123,10 @@ def _logistic_terms(df: DataFrame, predictors: Sequence[str]) -> dict[str, Colum
     return terms
 
 
-def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str]) -> LogisticModel:
+def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str], everyone: bool = False) -> LogisticModel:
     """Logistic regression of a 0/1 outcome, with Wald statistics and odds ratios.
 
-    Rows without an outcome take no part in the fit and get no prediction.
+    Rows without an outcome take no part in the fit and get no prediction, unless ``everyone`` is to be scored.
     """
     rows = _model_rows(df, outcome, predictors)
     terms = _logistic_terms(rows, predictors)
@@ -148,16 +148,17 @@ def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str]) -> Logi
         "term", "coefficient", "std_error", F.pow(F.col("coefficient") / F.col("std_error"), 2).alias("wald"),
         "p_value", F.exp("coefficient").alias("odds_ratio"))
     # For 0/1 rows the deviance is −2 ln L.
-    return LogisticModel(_scored(model, rows), coefficients, -summary.deviance / 2, -summary.nullDeviance / 2)
+    return LogisticModel(_scored(model, rows, everyone), coefficients, -summary.deviance / 2, -summary.nullDeviance / 2)
 
 
 def fit_decision_tree(df: DataFrame, outcome: str, predictors: Sequence[str], max_depth: int = 4,
-                      min_samples_leaf: int = 50) -> TreeModel:
+                      min_samples_leaf: int = 50, everyone: bool = False) -> TreeModel:
     """A tree of Gini splits whose leaves give response probabilities.
 
     Thresholds lie midway between two neighbouring values of a node's rows, whatever their number; each level of a text
     predictor may be cut off. Of equally good cuts the first predictor's, smallest one is taken, numbers before texts. A missing
-    number takes the median, a missing text the most frequent level (the first of equals).
+    number takes the median, a missing text the most frequent level (the first of equals). Rows without an outcome get no
+    prediction, unless ``everyone`` is to be scored.
     """
     rows = _model_rows(df, outcome, predictors)
     known = rows.where(F.col(LABEL).isNotNull())
@@ -171,7 +172,7 @@ def fit_decision_tree(df: DataFrame, outcome: str, predictors: Sequence[str], ma
         F.min(F.struct((-F.col("n")).alias("n"), "level")).alias("u")).select("column", "u.level").collect()} if words else {}
     texts = {c: F.coalesce(field(c).cast("string"), F.lit(usual.get(c, ""))) for c in words}
     tree = trees.grow(rows, LABEL, numbers, texts, max_depth, min_samples_leaf)
-    chance = F.when(F.col(LABEL).isNotNull(), trees.score(tree, numbers | texts))
+    chance = F.when(F.lit(everyone) | F.col(LABEL).isNotNull(), trees.score(tree, numbers | texts))
     spark = df.sparkSession
     cut = spark.createDataFrame(list(trees.gains(tree).items()), "feature string, _share double")
     features = spark.createDataFrame([(c,) for c in numeric], "feature string")

@@ -13,7 +13,7 @@ from patronage.operators.targeting import (
     targeting_summary,
     weighted_split_gini,
 )
-from patronage.plans import analyses
+from patronage.plans import analyses, holdout
 from patronage.plans import response_models as models
 from queries import query, rounded, table
 from queries.shared import RESPONSE_SQL, response_table
@@ -289,6 +289,53 @@ def tree_importance_of_two_levels(spark, folder):
         response_table(spark, folder), "response", ["purchases", "c_acctbal", "c_mktsegment"], 2, 10).feature_importance)
 
 
+# Four folds by the MD5 of the key; a segment's rate in the other three folds is the model's score.
+FOLD_SQL = """
+fold AS (SELECT *, CAST('0x' || substr(md5(':' || c_custkey), 1, 8) AS BIGINT) % 4 AS fold FROM response_table),
+cell AS (SELECT c_mktsegment, fold, count(*) AS n, sum(response) AS k FROM fold GROUP BY ALL),
+rest AS (SELECT c_mktsegment, fold, (sum(k) OVER w - k) / (sum(n) OVER w - n) AS p FROM cell WINDOW w AS (PARTITION BY c_mktsegment)),
+s AS (SELECT c_custkey, response, CAST(fold AS INTEGER) AS fold, round(p, 6) AS predicted FROM fold JOIN rest USING (c_mktsegment, fold))
+"""
+
+
+def _held_out(spark, folder):
+    return rounded(holdout.out_of_fold(response_table(spark, folder), "c_custkey", "response", ["c_mktsegment"], folds=4))
+
+
+@query(f"WITH {RESPONSE_SQL}, {FOLD_SQL} SELECT c_custkey, fold, predicted AS predicted_probability FROM s")
+def held_out_scores_by_segment(spark, folder):
+    return _held_out(spark, folder).select("c_custkey", "fold", "predicted_probability")
+
+
+@query(f"""
+WITH {RESPONSE_SQL}, {FOLD_SQL},
+d AS (SELECT response, greatest(1, ((row_number() OVER (ORDER BY predicted DESC, c_custkey) - 1) * 10
+             + count(*) OVER () - 2) // (count(*) OVER () - 1)) AS decile FROM s),
+g AS (SELECT CAST(decile AS INTEGER) AS decile, count(*) AS customers, CAST(sum(response) AS DOUBLE) AS responses,
+             avg(response) AS response_rate FROM d GROUP BY decile),
+b AS (SELECT avg(response) AS base FROM d)
+SELECT decile, customers, responses, round(response_rate, 6) AS response_rate, round(response_rate / base, 6) AS lift FROM g, b""")
+def held_out_lift_by_segment(spark, folder):
+    return rounded(lift_table(_held_out(spark, folder), "response", "predicted_probability", "c_custkey").select(
+        "decile", "customers", "responses", "response_rate", "lift"))
+
+
+@query(f"""
+WITH {RESPONSE_SQL}, {FOLD_SQL}
+SELECT CAST(count(*) FILTER (WHERE predicted > 0.6) AS DOUBLE) AS customers_targeted,
+       CAST(coalesce(sum(response) FILTER (WHERE predicted > 0.6), 0) AS DOUBLE) AS responses_targeted,
+       CAST(sum(CASE WHEN predicted <= 0.6 THEN 0 WHEN response = 1 THEN 4 ELSE -6 END) AS DOUBLE) AS realized_profit,
+       0.6::DOUBLE AS threshold FROM s""")
+def held_out_profit_by_segment(spark, folder):
+    scored = targeting_profit(_held_out(spark, folder), "response", "predicted_probability", 4.0, -6.0)
+    return rounded(targeting_summary(scored, "response", 4.0, -6.0))
+
+
+@query()
+def held_out_tree_lift(spark, folder):
+    return holdout.held_out(response_table(spark, folder), "c_custkey", "response", PREDICTORS, 25.0, -2.0, "tree", folds=3).lift
+
+
 @query()
 def logistic_coefficients(spark, folder):
     return models.fit_logistic(response_table(spark, folder), "response", PREDICTORS).coefficients

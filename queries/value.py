@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from patronage.functions import special
 from patronage.functions import value as v
 from patronage.operators import scenarios
+from patronage.operators.summaries import bgnbd_summary
 from queries import query, rounded, table
+from queries.shared import HISTORY_SQL
 
 # Scenario rows: every customer's balance as margin (some are negative), with rates that vary by key.
 SCENARIO_SQL = """
@@ -215,3 +217,15 @@ def hypergeometric(spark, folder):
     return rounded(table(spark, folder, "customer").select("c_custkey", special.hyp2f1(
         0.3 + key % 9 / 2.0, 1.0 + (key % 5).cast("double"), 4.0 + (key % 7).cast("double"), key % 8 / 10.0,
     ).alias("hypergeometric")))
+
+
+@query(f"""
+WITH {HISTORY_SQL},
+arguments AS (SELECT o_custkey, 0.3 + x AS a, 1 - 1e-6 * exp(-tx / 50) AS z FROM history)
+SELECT o_custkey, round(ln((1 - power(1 - z, 1 - a)) / ((1 - a) * z)), 6) AS log_hypergeometric FROM arguments""")
+def hypergeometric_near_one(spark, folder):
+    """F(a, 1; 2; z) has a closed form; z comes as near to 1 as 1e-9."""
+    history = bgnbd_summary(table(spark, folder, "orders"), "o_custkey", "o_orderdate")
+    z = 1 - 1e-6 * F.exp(-F.col("tx") / 50)
+    return rounded(history.select("o_custkey", F.log(special.hyp2f1(
+        0.3 + F.col("x"), F.lit(1.0), F.lit(2.0), z)).alias("log_hypergeometric")))
