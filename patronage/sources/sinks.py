@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Mapping, Sequence
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from patronage.columns import field, names
 from patronage.errors import InputProblem
 from patronage.operators.prep import neutralize_formulas
+from patronage.scratch import stored
 
 
 def _writer(df: DataFrame, mode: str, partition_by):
@@ -60,24 +62,25 @@ def write_json_records(tables: Mapping[str, DataFrame], path: str, mode: str = "
         _json_safe(df).write.mode(mode).option("ignoreNullFields", False).json(f"{path}/{name}")
 
 
-def json_document(tables: Mapping[str, DataFrame], path: str, mode: str = "error",
-                  most_rows: int = 100_000) -> None:
-    """All tables as one object ``{table: [records]}`` in a single text file.
+def json_document(tables: Mapping[str, DataFrame], path: str, mode: str = "error") -> None:
+    """All tables as one object ``{table: [records]}`` in a single text file, a record per line.
 
-    One document is one value, so this is for result tables that are small by construction (per
-    segment, per decile, parameters). Their size is checked; larger ones go to ``write_json_records``.
+    Records are turned to text and written where they lie. One task then copies them, in order, between the lines that
+    open and close the lists; it holds no more than a line, whatever the size of the document.
     """
-    members = None
+    if not tables:
+        raise InputProblem("There is no table to write.")
+    parts, last = [], len(tables) - 1
     for position, (name, df) in enumerate(tables.items()):
-        if df.limit(most_rows + 1).count() > most_rows:
-            raise InputProblem(f"The table '{name}' has more than {most_rows:,} rows.",
-                               "Write it with write_json_records.")
-        records = _json_safe(df).select(F.struct("*").alias("r")).agg(
-            F.to_json(F.collect_list("r"), {"ignoreNullFields": "false"}).alias("records"))
-        member = records.select(
-            F.lit(position).alias("position"),
-            F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ": "), F.col("records")).alias("member"))
-        members = member if members is None else members.unionByName(member)
-    ordered = members.agg(F.sort_array(F.collect_list(F.struct("position", "member"))).alias("m"))
-    text = F.array_join(F.transform("m", lambda e: e["member"]), ",\n")
-    ordered.select(F.concat(F.lit("{"), text, F.lit("}")).alias("value")).coalesce(1).write.mode(mode).text(path)
+        spark = df.sparkSession
+        records = stored(_json_safe(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).withColumn(
+            "place", F.monotonically_increasing_id()), "records")
+        first = records.agg(F.min("place")).scalar()
+        comma = F.when(F.col("place") == first, "").otherwise(",")
+        frame = spark.createDataFrame([(0, ("{" if position == 0 else "") + json.dumps(name, ensure_ascii=False) + ": ["),
+                                       (2, "]}" if position == last else "],")], "kind int, value string")
+        lines = records.select(F.lit(1).alias("kind"), "place", F.concat(comma, F.col("line")).alias("value")).unionByName(
+            frame.select("kind", F.lit(0).cast("long").alias("place"), "value"))
+        parts.append(lines.withColumn("position", F.lit(position)))
+    ordered = functools.reduce(DataFrame.unionByName, parts).orderBy("position", "kind", "place")
+    ordered.select("value").coalesce(1).write.mode(mode).text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patronage.functions.value import break_even_probability, gini_impurity
+from patronage.operators.medians import exact_medians
 from patronage.operators.ranking import lift_table, quantile_score, rfm_scores
 from patronage.operators.summaries import drop_incomplete, rfm_from_transactions
 from patronage.operators.targeting import (
@@ -341,6 +342,30 @@ def logistic_coefficients(spark, folder):
     return models.fit_logistic(response_table(spark, folder), "response", PREDICTORS).coefficients
 
 
+@query(f"""
+WITH {RESPONSE_SQL},
+filled AS (SELECT response, c_mktsegment, purchases, c_acctbal, coalesce(recency_days, (SELECT median(recency_days) FROM response_table)) AS recency_days,
+                  coalesce(average_amount, (SELECT median(average_amount) FROM response_table)) AS average_amount FROM response_table),
+term AS (UNPIVOT (SELECT response AS y, 1.0::DOUBLE AS const, CAST(recency_days AS DOUBLE) AS recency_days, CAST(purchases AS DOUBLE) AS purchases,
+                         average_amount, c_acctbal FROM filled)
+         ON const, recency_days, purchases, average_amount, c_acctbal INTO NAME term VALUE x)
+SELECT term, round(sum(y * x), 2) AS observed, round(sum(y * x), 2) AS expected FROM term GROUP BY term
+UNION ALL SELECT 'c_mktsegment_' || c_mktsegment, round(sum(response), 2)::DOUBLE, round(sum(response), 2)::DOUBLE FROM filled
+WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM filled) GROUP BY c_mktsegment""")
+def logistic_score_equations(spark, folder):
+    """At the maximum of the likelihood each term's sum over predictions is its sum over responses, which SQL knows."""
+    scored = models.fit_logistic(response_table(spark, folder), "response", PREDICTORS).scored
+    medians = exact_medians(scored, ["recency_days", "average_amount"])
+    segments = [r[0] for r in scored.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()][1:]
+    numbers = {"const": F.lit(1.0), "purchases": F.col("purchases"), "c_acctbal": F.col("c_acctbal"),
+               **{c: F.coalesce(F.col(c), F.lit(medians[c])) for c in medians}}
+    terms = numbers | {f"c_mktsegment_{s}": (F.col("c_mktsegment") == s).cast("int") for s in segments}
+    long = scored.select("response", "predicted_probability", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("term"), x.cast("double").alias("x")) for t, x in terms.items()])).alias("t"))
+    return rounded(long.groupBy("t.term").agg(F.sum(F.col("response") * F.col("t.x")).alias("observed"),
+                                              F.sum(F.col("predicted_probability") * F.col("t.x")).alias("expected")), 2)
+
+
 @query()
 def logistic_scores(spark, folder):
     scored = models.fit_logistic(response_table(spark, folder), "response", PREDICTORS).scored

@@ -147,8 +147,14 @@ def test_json_out(spark, tmp_path):
     text = next((tmp_path / "doc").glob("part-*")).read_text()
     whole = json.loads(text)
     assert whole["se\"cond"] == [] and sorted(r["a"] for r in whole["first"]) == [1, 2]
-    with pytest.raises(InputProblem, match="more than 1 rows"):
-        sinks.json_document({"first": df}, str(tmp_path / "big"), most_rows=1)
+    long = spark.range(150_000, numPartitions=7).select("id", F.lit(float("nan")).alias("x"))
+    sinks.json_document({"long": long, "none": long.limit(0), "few": long.limit(2)}, str(tmp_path / "big"))
+    text, = [f.read_text() for f in (tmp_path / "big").glob("part-*")]
+    whole = json.loads(text)
+    assert [r["id"] for r in whole["long"]] == list(range(150_000)) and whole["long"][0]["x"] is None
+    assert whole["none"] == [] and len(whole["few"]) == 2
+    with pytest.raises(InputProblem):
+        sinks.json_document({}, str(tmp_path / "empty"))
 
 
 def test_csv_is_safe_by_default(spark, tmp_path):
