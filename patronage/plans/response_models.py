@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from patronage.columns import field, require_columns
 from patronage.errors import InputProblem
 from patronage.functions.parse import binary_column, number_column
 from patronage.operators.medians import exact_medians
-from patronage.plans import trees
+from patronage.plans import absorbed, trees
 from patronage.scratch import stored
 
 # Spark's weighted least squares solves the normal equations on the driver: terms × terms numbers.
@@ -123,12 +125,59 @@ def _logistic_terms(df: DataFrame, predictors: Sequence[str]) -> dict[str, Colum
     return terms
 
 
-def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str], everyone: bool = False) -> LogisticModel:
+def _fit_absorbed(rows: DataFrame, predictors: Sequence[str], widest: str, first: str, everyone: bool) -> LogisticModel:
+    """The fit whose text predictor ``widest`` has any number of levels, each of them a row; see ``absorbed``."""
+    terms = _logistic_terms(rows, [c for c in predictors if c != widest])
+    if len(terms) > MOST_TERMS:
+        raise InputProblem(f"{len(terms):,} model terms beside '{widest}'; at most {MOST_TERMS:,} are supported.")
+    level = F.coalesce(field(widest).cast("string"), F.lit(first))  # a missing text counts as the first level
+    found = absorbed.fit(rows.where(F.col(LABEL).isNotNull()), LABEL, level, terms, first)
+    spark = rows.sparkSession
+    few = spark.createDataFrame([(i, n, float(v), float(e)) for i, (n, v, e) in enumerate(zip(
+        ["const", *terms], [found.const, *found.slopes], [found.const_error, *found.errors]))],
+        "position int, term string, coefficient double, std_error double")
+    many = found.levels.where(F.col("level") != first).select(
+        F.lit(len(terms) + 1).alias("position"), F.concat(F.lit(f"{widest}_"), F.col("level")).alias("term"),
+        (F.col("alpha") - found.first_alpha).alias("coefficient"), "std_error")
+
+    @F.pandas_udf("double")
+    def chance(z: pd.Series) -> pd.Series:
+        return z.abs().map(lambda v: math.erfc(v / math.sqrt(2)))
+
+    ratio = F.col("coefficient") / F.col("std_error")
+    coefficients = few.unionByName(many).orderBy("position", "term").select(
+        "term", "coefficient", "std_error", F.pow(ratio, 2).alias("wald"), chance(ratio).alias("p_value"),
+        F.exp("coefficient").alias("odds_ratio"))
+    slopes = F.array(*[F.lit(float(v)) for v in found.slopes]).cast("array<double>")
+    values = F.array(*[c.cast("double") for c in terms.values()]).cast("array<double>")
+    effect = F.aggregate(F.zip_with(values, slopes, lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
+    # A level without any outcome counts as the first.
+    own = found.levels.select(F.col("level").alias("_level"), (F.col("alpha") - found.first_alpha).alias("_effect"))
+    joined = rows.withColumn("_own", level).join(own, F.col("_own") == F.col("_level"), "left")
+    p = 1 / (1 + F.exp(-(F.lit(found.const) + F.coalesce("_effect", F.lit(0.0)) + effect)))
+    scored = joined.withColumn(PREDICTED, F.when(F.lit(everyone) | F.col(LABEL).isNotNull(), p)).drop(LABEL, "_own", "_level", "_effect")
+    counts = rows.agg(F.sum(LABEL).alias("k"), F.count(LABEL).alias("n")).first()
+    k, n = counts["k"], counts["n"]
+    null = k * math.log(k / n) + (n - k) * math.log(1 - k / n)
+    return LogisticModel(scored, coefficients, found.log_likelihood, null)
+
+
+def fit_logistic(df: DataFrame, outcome: str, predictors: Sequence[str], everyone: bool = False,
+                 absorb: bool | None = None) -> LogisticModel:
     """Logistic regression of a 0/1 outcome, with Wald statistics and odds ratios.
 
-    Rows without an outcome take no part in the fit and get no prediction, unless ``everyone`` is to be scored.
+    Rows without an outcome take no part in the fit and get no prediction, unless ``everyone`` is to be scored. Up to
+    ``MOST_TERMS`` levels of the text predictors, Spark's least squares solve for all terms. Beyond, or with ``absorb``, the
+    levels of the widest text predictor stay rows of a table; both ways find the same maximum.
     """
     rows = _model_rows(df, outcome, predictors)
+    words = [c for c in predictors if not _is_number(rows, c)]
+    if words and absorb is not False:
+        known = rows.where(F.col(LABEL).isNotNull())
+        wide = trees.text_levels(known, words, lambda c: field(c).cast("string")).groupBy("column").agg(
+            F.count("*").alias("n"), F.min("level").alias("first")).orderBy(F.desc("n"), "column").collect()
+        if wide and (absorb or sum(w["n"] for w in wide) > MOST_TERMS):
+            return _fit_absorbed(rows, predictors, wide[0]["column"], wide[0]["first"], everyone)
     terms = _logistic_terms(rows, predictors)
     rows = _design(rows, terms)
     known = rows.where(F.col(LABEL).isNotNull())
