@@ -46,7 +46,7 @@ EVERY = 32
 ENDS = list(b".,;:!?\n\x0b\f\r")
 BLANKS = list(b" \t")
 # Distinct chunks a task holds before it hands them on, and words it counts at once.
-HELD, SLICE = 100_000, 1 << 18
+HELD, SLICE = 50_000, 1 << 17
 # 2^26 bits: 8 MB in every task.
 BITS = 26
 
