@@ -8,8 +8,8 @@ group has at most one word per letter of the alphabet and the one without the le
 the data. A letter within a run of equal ones may be deleted anywhere in the run with the same result; only the last place
 counts, so a pair of words meets once.
 
-*Numbering.* The first four letters of a word name its subtrie, which one task numbers in sorted order, one word at a time: a
-word keeps the nodes it shares with the word before and gets new ones for the rest. A node is (four letters, number within the
+*Numbering.* The first five letters of a word name its subtrie, which one task numbers in sorted order, one word at a time: a
+word keeps the nodes it shares with the word before and gets new ones for the rest. A node is (five letters, number within the
 subtrie) in 64 bits, an upper node is its letters. Numbers of whole words follow the order of the words.
 
 *Words.* Maximal runs ``[A-Za-z\\u00C0-\\u00FF]+`` of a text, A-Z lower-cased. With h the unsigned CRC-32 of
@@ -18,7 +18,7 @@ or more that occur ``fewest`` times or more.
 
 *Edge cases.* A missing text has no words; a missing id is the empty text before the colon. Runs may be as long as a text:
 no prefix is ever written out. Repeated rows count each time. No words, no rows. Only the id and text columns are read. A
-subtrie of more than 2^35 nodes stops the job.
+subtrie of more than 2^28 nodes stops the job.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from patronage.scratch import stored
 SHORTEST, FEWEST, TIMES = 7, 2, 10
 DROPPED = 31
 # Letters that name a subtrie; letters of the alphabet take 7 bits.
-TOP, LETTER_BITS, NUMBER_BITS = 4, 7, 35
+TOP, LETTER_BITS, NUMBER_BITS = 5, 7, 28
 # Distinct words and bytes of them that a task holds before it hands them on.
 HELD, HELD_BYTES = 200_000, 1 << 25
 # The n of a form is 10 times that of the word or more and below 2^63, so 18 steps lead to the last form; five doublings do 32.
