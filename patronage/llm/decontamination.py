@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
+from patronage.llm.ids import fresh, require_whole_ids
 from patronage.llm.membership import BITS, key_bitmap, maybe_in
 from patronage.llm.near_dedup import MinHasher, shingle_sets
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, lower_table, mixed, pieces
@@ -187,8 +188,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: st
 
     ``bits`` sets the size of the bitmap sent to the tasks: 2^bits bits. Raise it with the number of items.
     """
-    require_columns(docs, id_column, text)
-    require_columns(items, item_column, item_text)
+    require_whole_ids(docs, id_column)
+    require_columns(docs, text)
+    require_whole_ids(items, item_column)
+    require_columns(items, item_text)
     named = docs.select(field(id_column).cast("long").alias("id"), field(text).alias("text")).where(
         "id is not null and text is not null")
     tests = items.select(field(item_column).cast("long").alias("item"), field(item_text).alias("item_text")).where(
@@ -213,7 +216,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: st
 def without_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text",
                   item_column: str = "item_id", item_text: str = "text", percent: int = PERCENT,
                   bits: int = BITS) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    found = leaks(docs, items, id_column, text, item_column, item_text, percent, bits).select(
-        field(id_column).alias("_leak_id")).distinct()
-    return docs.join(found, field(id_column).cast("long") == F.col("_leak_id"), "left_anti")
+    """The rows that contain no item, with all their columns. Rows without an id stay as they are.
+
+    A row is judged by its own text, whatever its id: rows go by the hash of id and text, so ids may be of any type.
+    """
+    require_columns(docs, id_column, text)
+    key = fresh(docs, "_row")
+    rows = docs.withColumn(key, F.when(field(id_column).isNotNull(), F.xxhash64(field(id_column), field(text))))
+    found = leaks(rows, items, key, text, item_column, item_text, percent, bits).select(F.col(key)).distinct()
+    return rows.join(found, key, "left_anti").select(*map(field, docs.columns))

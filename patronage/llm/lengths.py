@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from patronage.columns import field, require_columns
 from patronage.errors import InputProblem
 from patronage.llm import byte_bpe
+from patronage.llm.ids import fresh
 from patronage.scratch import stored
 
 BLOCK = 1024
@@ -29,8 +30,9 @@ BLOCK = 1024
 
 def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
     """The rows with the number of tokens of ``text`` in place of ``text``."""
-    coded = byte_bpe.encode(docs, path, pattern, text, "_ids")
-    return coded.withColumn(n_tokens, F.size("_ids").cast("long")).drop("_ids")
+    ids = fresh(docs, "_ids")
+    coded = byte_bpe.encode(docs, path, pattern, text, ids)
+    return coded.withColumn(n_tokens, F.size(ids).cast("long")).drop(ids)
 
 
 def histogram(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:

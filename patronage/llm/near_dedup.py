@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
 from patronage.llm.components import components
+from patronage.llm.ids import fresh, require_whole_ids
 from patronage.llm.membership import only
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, lower_table, mixed, pieces
 from patronage.scratch import stored
@@ -113,7 +114,8 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, 128-bit fingerprint of the set (f1, f2), band keys and odd sketch of every row."""
-    require_columns(docs, id_column, text)
+    require_whole_ids(docs, id_column)
+    require_columns(docs, text)
 
     def run(batches):
         lean()
@@ -327,12 +329,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                             percent: int = PERCENT) -> DataFrame:
-    """The rows of one document per component, with all their columns; of rows with the same id one stays.
+    """The rows of one document per component, with all their columns: the smallest id's.
 
-    Rows without an id stay as they are.
+    Here a row is a document, so unlike texts under one id both stay, and ids may be of any type that can be ordered. Of
+    copies under one id the smallest text hash stays; of blank texts under one id, one. Rows without an id stay as they are.
     """
-    judged = near_duplicates(docs, id_column, text, percent)
-    kept = judged.where(F.col("kept") & field(id_column).isNotNull()).select(
-        field(id_column).alias("_kept_id")).distinct()
-    one = docs.join(kept, field(id_column).cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates([id_column])
-    return one.unionByName(docs.where(field(id_column).isNull()))
+    require_columns(docs, id_column, text)
+    key = fresh(docs, "_row")
+    # Written, so that a row has the same number whenever it is read.
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col(key).alias("row"), field(id_column).alias("id"), field(text).alias("text")).where("id is not null")
+    judged = near_duplicates(own, "row", "text", percent)
+    places = own.select("row", "id", F.xxhash64("text").alias("print"))
+    blank = F.col("n_shingles") == 0
+    # Partial minima: a component of very many rows is one row per task.
+    kept = judged.select("row", "n_shingles", "component_id").join(places, "row").groupBy(
+        F.when(~blank, F.col("component_id")).alias("component"), F.when(blank, F.col("id")).alias("blank")).agg(
+        F.min(F.struct("id", "print", "row"))["row"].alias("_kept"))
+    one = rows.join(kept.select(F.col("_kept").alias(key)), key, "left_semi")
+    return one.unionByName(rows.where(field(id_column).isNull())).select(*map(field, docs.columns))

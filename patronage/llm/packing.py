@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
 from patronage.errors import InputProblem
+from patronage.llm.ids import require_whole_ids
 
 ROW = 2048
 POOL = 1 << 22
@@ -113,7 +114,8 @@ def packed(rows: DataFrame, id_column: str = "doc_id", ids: str = "token_ids", r
            pool: int = POOL) -> DataFrame:
     """Packed rows: ids (``row`` of them), cu_seqlens (0 first), position_ids, doc_ids and parts (one per segment, the part's
     number in its document), n_tokens (ids before the padding)."""
-    require_columns(rows, id_column, ids)
+    require_whole_ids(rows, id_column)
+    require_columns(rows, ids)
     if row < 1:
         raise InputProblem("A row holds at least one token.")
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
 from patronage.llm.decontamination import key_filter
+from patronage.llm.ids import require_whole_ids
 from patronage.llm.membership import maybe_in, only
 from patronage.llm.tokens import before, find, pair_hash
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, pieces
@@ -345,8 +346,10 @@ def perplexities(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang",
            label: str = "quality", quantile: float = QUANTILE) -> DataFrame:
     """id column, n_words, perplexity, threshold and kept of every row of ``docs``; trusted texts have ``label`` 1."""
-    require_columns(docs, id_column, text, lang)
-    require_columns(labels, id_column, label)
+    require_whole_ids(docs, id_column)
+    require_whole_ids(labels, id_column)
+    require_columns(docs, text, lang)
+    require_columns(labels, label)
     named = docs.select(field(id_column).alias("id"), field(text).alias("text"),
                         field(lang).cast("string").alias("lang"))
     trusted = labels.where(field(label) == 1).select(field(id_column).cast("long").alias("id")).where(

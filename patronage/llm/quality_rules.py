@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from patronage.columns import field, require_columns
@@ -205,6 +206,43 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 VERDICT = f"{COUNTS}, base_failed boolean, nearest_lang string, word_distance double, char_distance double, kept boolean"
 
 
+class Judge:
+    """Verdicts over texts; one object per task."""
+
+    def __init__(self, model: list):
+        self.reference = Reference(model)
+        self.index = {name: k for k, name in enumerate(self.reference.langs)}
+        self.white, self.fold, self.classes, self.hasher = is_white(), lower_table(), _classes(), Hasher(BASES[0])
+        self.symbol = np.zeros(256, bool)
+        self.symbol[list(SYMBOLS.encode())] = True
+
+    def verdicts(self, column: pa.Array, langs: pa.Array):
+        """(i, j, the columns of VERDICT for the rows i to j) for slices of a batch."""
+        reference, white, hasher = self.reference, self.white, self.hasher
+        for i, j, w in pieces(column, white):
+            texts = column.slice(i, j - i).to_pylist()
+            n = w.counts()
+            begin = w.data & 0xC0 != 0x80
+            word_chars = _per_text(begin & ~white[w.data], w.offsets)
+            again = repeated_words(w, hasher.grams(hasher.of_words(w), WINDOW), WINDOW)
+            lines = np.array([repeated_lines(t) if t else 0 for t in texts], np.int64)
+            failed = (n < FEWEST_WORDS) | (100 * again > MOST_REPEATED * n)
+            chars = _char_histograms(w.data, w.offsets, self.classes)
+            word_far, char_far, names = np.zeros(len(n)), np.zeros(len(n)), [None] * len(n)
+            lacks = np.zeros(len(n), bool)
+            if reference.langs:
+                folded = Words(self.fold[w.data], w.offsets, white)
+                named = np.array([self.index.get(x, -1) for x in langs.slice(i, j - i).to_pylist()], np.int64)
+                word_far, char_far, best, lacks = reference.distances(folded, hasher.of_words(folded), chars, named)
+                names = [reference.langs[k] if m else None for k, m in zip(best, n)]
+            no_words = (n < LEAST_WORDS) | (not reference.langs)
+            no_chars = (chars.sum(axis=1) < LEAST_CHARS) | (not reference.langs)
+            kept = ~failed & (no_words | ((word_far <= FAR_WORDS) & ~lacks)) & (no_chars | (char_far <= FAR_CHARS))
+            yield i, j, [pa.array(n), pa.array(word_chars), pa.array(_per_text(self.symbol[w.data], w.offsets)),
+                         pa.array(lines), pa.array(again), pa.array(failed), pa.array(names, pa.string()),
+                         pa.array(word_far, mask=no_words), pa.array(char_far, mask=no_chars), pa.array(kept)]
+
+
 def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """id column, base counts, base_failed, nearest_lang, word_distance, char_distance (null for texts too short for
     them) and kept, one row per input row."""
@@ -214,39 +252,35 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang:
 
     def run(batches):
         lean()
-        reference = Reference(model.value)
-        index = {name: k for k, name in enumerate(reference.langs)}
-        white, fold, classes, hasher = is_white(), lower_table(), _classes(), Hasher(BASES[0])
-        symbol = np.zeros(256, bool)
-        symbol[list(SYMBOLS.encode())] = True
+        judge = Judge(model.value)
         for batch in batches:
-            for i, j, w in pieces(batch.column(1), white):
-                texts = batch.column(1).slice(i, j - i).to_pylist()
-                n = w.counts()
-                begin = w.data & 0xC0 != 0x80
-                word_chars = _per_text(begin & ~white[w.data], w.offsets)
-                again = repeated_words(w, hasher.grams(hasher.of_words(w), WINDOW), WINDOW)
-                lines = np.array([repeated_lines(t) if t else 0 for t in texts], np.int64)
-                failed = (n < FEWEST_WORDS) | (100 * again > MOST_REPEATED * n)
-                chars = _char_histograms(w.data, w.offsets, classes)
-                word_far, char_far, names = np.zeros(len(n)), np.zeros(len(n)), [None] * len(n)
-                lacks = np.zeros(len(n), bool)
-                if reference.langs:
-                    folded = Words(fold[w.data], w.offsets, white)
-                    named = np.array([index.get(x, -1) for x in batch.column(2).slice(i, j - i).to_pylist()], np.int64)
-                    word_far, char_far, best, lacks = reference.distances(folded, hasher.of_words(folded), chars, named)
-                    names = [reference.langs[k] if m else None for k, m in zip(best, n)]
-                no_words = (n < LEAST_WORDS) | (not reference.langs)
-                no_chars = (chars.sum(axis=1) < LEAST_CHARS) | (not reference.langs)
-                kept = ~failed & (no_words | ((word_far <= FAR_WORDS) & ~lacks)) & (no_chars | (char_far <= FAR_CHARS))
-                yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(word_chars),
-                     pa.array(_per_text(symbol[w.data], w.offsets)), pa.array(lines), pa.array(again),
-                     pa.array(failed), pa.array(names, pa.string()), pa.array(word_far, mask=no_words),
-                     pa.array(char_far, mask=no_chars), pa.array(kept)],
-                    names=["id", *[c.split()[0] for c in VERDICT.split(", ")]])
+            for i, j, verdict in judge.verdicts(batch.column(1), batch.column(2)):
+                yield pa.record_batch([batch.column(0).slice(i, j - i), *verdict],
+                                      names=["id", *[c.split()[0] for c in VERDICT.split(", ")]])
 
     out = docs.select(field(id_column).alias("id"), field(text).alias("text"),
                       field(lang).cast("string").alias("lang")).mapInArrow(
         run, f"id {id_type}, {VERDICT}")
     return out.withColumnRenamed("id", id_column)
+
+
+def without_rejected(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that the rules keep, with all their columns. Every row is judged by itself: ids, also shared or missing
+    ones, play no part, and nothing is shuffled but the counts of the references."""
+    require_columns(docs, text, lang)
+    model = docs.sparkSession.sparkContext.broadcast(references(docs, text, lang).collect())
+    place = docs.columns.index(text)
+
+    def run(batches):
+        lean()
+        judge = Judge(model.value)
+        for batch in batches:
+            kept = [verdict[-1] for *_, verdict in judge.verdicts(batch.column(place), batch.column(batch.num_columns - 1))]
+            if kept:
+                rows = batch.filter(pa.concat_arrays(kept))
+                yield pa.record_batch(rows.columns[:-1], names=rows.schema.names[:-1])
+
+    # Numbered, so that no two names can clash.
+    rows = docs.select(*[field(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], field(lang).cast("string").alias("lang"))
+    out = rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]]))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
+from patronage.llm.ids import require_whole_ids
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, pieces
 
 LENGTH = 20
@@ -57,7 +58,8 @@ def _rows_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
     No two names can clash, and as neither key is null the same rows serve inner and outer joins.
     """
-    require_columns(docs, id_column, text)
+    require_whole_ids(docs, id_column)
+    require_columns(docs, text)
     columns = [field(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]
     return docs.select(*columns, F.coalesce(field(id_column).cast("long"), F.lit(NO_ID)).alias("id"),
                        F.hash(F.coalesce(field(text), F.lit(""))).alias("version"), field(text).alias("text"))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
+from patronage.llm.ids import require_whole_ids
 from patronage.llm.membership import only
 from patronage.llm.tokens import before, find, pair_hash, separators
 from patronage.llm.words import BASES, U64, Hasher, as_long, lean, lower_table, mixed, pieces
@@ -271,8 +272,10 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
     which labels train the models and which may weigh the evidence; all others are not looked at. Of the latter, those
     beyond the sample of ``CALIBRATION`` train the models too.
     """
-    require_columns(docs, id_column, text)
-    require_columns(labels, id_column, label)
+    require_whole_ids(docs, id_column)
+    require_whole_ids(labels, id_column)
+    require_columns(docs, text)
+    require_columns(labels, label)
     spark = docs.sparkSession
     marks = labels.select(field(id_column).cast("long").alias("id"), field(label).cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1)").where(learn | calibrate).groupBy("id").agg(F.max("toxic").alias("toxic"))

@@ -7,6 +7,7 @@ with different bases together make 128 bits.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,21 @@ CHUNK = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
+# Fixed values of the C library's mallopt: least size that is mapped by itself, free memory at the end that is given back.
+MAPPED, TRIMMED = -3, -1
+# Arrays of this size on are mapped by themselves.
+LARGE = 1 << 19
+
+
 def lean() -> None:
-    """Called first in a task: what Arrow frees goes back to the system, not to a pool the idle worker would keep."""
+    """Called first in a task: what Arrow and NumPy free goes back to the system, and what earlier tasks have left, so that
+    a worker that waits for its next task is small. By default the C library keeps arrays of up to 32 MB."""
     pa.set_memory_pool(pa.system_memory_pool())
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt"):  # the C library of Linux
+        library.mallopt(MAPPED, LARGE)
+        library.mallopt(TRIMMED, LARGE)
+        library.malloc_trim(0)
 
 
 def is_white() -> np.ndarray:

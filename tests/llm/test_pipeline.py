@@ -11,7 +11,9 @@ import brute  # noqa: E402
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from patronage.llm import byte_bpe, quality_rules, queries  # noqa: E402
+from patronage.errors import InputProblem  # noqa: E402
+from patronage.llm import (byte_bpe, decontamination, lengths, near_dedup, quality_rules, queries,  # noqa: E402
+                           substring_dedup)
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -63,4 +65,40 @@ def test_stages_on_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs, empty = stage(spark, docs, FOLDER), stage(spark, empty, FOLDER)
         assert empty.count() == 0
-    assert [r.doc_id for r in docs.collect()] == [1]
+    # Rows without an id are judged like others, but are linked with nothing.
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, None]
+
+
+def test_rows_are_judged_by_themselves(spark):
+    """Shared and missing ids, ids that are texts, and columns named like those the stages add."""
+    good = {k: " ".join("the %s%d of a" % (k, n) for n in range(40)) for k in "uvw"}
+    bad = "a " * 200
+    rows = [("1", good["u"]), ("1", bad), (None, good["v"]), ("2", good["w"]), ("1", good["w"] + " end"), ("1", good["u"]),
+            ("3", None), ("3", None), ("4", good["v"])]
+    extra = {c: F.lit("x") for c in ("_kept_id", "_leak_id", "_row", "_ids", "_sha", "_words", "_cut", "text_id", "row", "c0",
+                                     "component", "blank", "kept", "key")}
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows],
+                                 "doc_id string, text string, lang string, source string, n_chars long").withColumns(extra)
+
+    def found(df):
+        assert df.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    assert found(quality_rules.without_rejected(docs)) == sorted([x for x in rows if x[1] not in (bad, None)], key=str)
+    assert found(near_dedup.without_near_duplicates(docs)) == sorted(
+        [("1", good["u"]), ("1", bad), (None, good["v"]), ("1", good["w"] + " end"), ("3", None), ("4", good["v"])], key=str)
+    item = spark.createDataFrame([(1, " ".join(good["u"].split()[:30]))], "item_id long, text string")
+    assert found(decontamination.without_leaks(docs, item)) == sorted([x for x in rows if x[1] != good["u"]], key=str)
+    counted = lengths.token_counts(docs, queries.RANKS, queries.PATTERN)
+    assert set(counted.columns) == set(docs.columns) - {"text"} | {"n_tokens"} and counted.first()["_ids"] == "x"
+    whole = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        whole = stage(spark, whole, FOLDER)
+        assert whole.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in corpus_pipeline.encode(spark, whole, FOLDER).collect()) \
+        == [(0, True), (1, True), (1, True), (4, True)]
+    for call in (near_dedup.near_duplicates, substring_dedup.without_repeats):
+        with pytest.raises(InputProblem):
+            call(docs)
+    with pytest.raises(InputProblem):
+        decontamination.leaks(docs, item)
