@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.columns import field
 from patronage.llm import byte_bpe, decontamination, near_dedup, quality_rules, queries, substring_dedup
+from patronage.llm.ids import fresh
 from patronage.scratch import scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows without an id cannot be told apart and go."""
-    kept = quality_rules.judged(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, field("doc_id") == F.col("_kept_id"), "left_semi")
+    """Rows that the quality rules keep, each judged by its own text."""
+    return quality_rules.without_rejected(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +22,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds; documents of which nothing is left go."""
-    cut = substring_dedup.without_repeats(docs, counts=("_words", "_cut"))
-    return cut.where("_words > _cut").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    words, gone = fresh(docs, "_words"), fresh(docs, "_cut")
+    cut = substring_dedup.without_repeats(docs, counts=(words, gone))
+    return cut.where(F.col(words) > F.col(gone)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids; decoding must give back every text, else the job stops."""
-    coded = byte_bpe.encode(docs.withColumn("_sha", F.sha2("text", 256)), queries.RANKS, queries.PATTERN)
+    rows = docs.select("doc_id", "lang", "source", "text", F.sha2("text", 256).alias("sha"))
+    coded = byte_bpe.encode(rows, queries.RANKS, queries.PATTERN)
     back = byte_bpe.decode(coded, queries.RANKS)
-    right = F.sha2("bytes", 256).eqNullSafe(F.coalesce("_sha", F.sha2(F.lit(""), 256)))
+    right = F.sha2("bytes", 256).eqNullSafe(F.coalesce("sha", F.sha2(F.lit(""), 256)))
     ids = F.when(right, F.col("token_ids")).otherwise(
         F.raise_error(F.concat(F.lit("Decoding does not give back document "), F.coalesce(
             F.col("doc_id").cast("string"), F.lit("without id")))).cast("array<int>"))
