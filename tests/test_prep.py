@@ -199,3 +199,33 @@ def test_targeting_with_missing_scores(spark):
 
 def test_scratch_folder_is_the_clusters(spark):
     assert scratch.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+
+
+def test_json_list_in_many_parts(spark, tmp_path):
+    """Lists cut into parts of a few kilobytes: braces and quotes in texts, nested records, line breaks, odd files."""
+    rows = [{"k": k, "text": ['}{"', "\\", '\\"}, {', "é}\n{", "", "]["][k % 6] * (k % 5),
+             "inner": {"a": {"b": k, "c": [{"d": "}"}, {}]}}, "none": None} for k in range(3000)]
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(rows[:2500], ensure_ascii=False), encoding="utf-8")
+    (folder / "b.json").write_text("\ufeff" + json.dumps(rows[2500:2999], indent=2), encoding="utf-8")
+    (folder / "c.json").write_text(json.dumps(rows[2999]))
+    (folder / "d.json").write_text(" [ ]\n")
+    (folder / "e.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        parts = readers.list_elements(spark, str(folder))
+        got = [json.loads(r.value) for r in parts.collect()]
+        table = readers.read_json_records(spark, str(folder), lines=False)
+        assert table.rdd.getNumPartitions() > 1
+        flat = {r["k"]: (r["text"], r["inner.a.b"], len(r["inner.a.c"])) for r in table.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got, key=lambda r: r["k"]) == rows
+    assert flat == {r["k"]: (r["text"], r["k"], 2) for r in rows}
+    broken = tmp_path / "broken.json"
+    broken.write_text('[{"k": 1}, {"k": {"m": 2')
+    assert [r.value for r in readers.list_elements(spark, str(broken)).orderBy(F.length("value")).collect()] \
+        == ['{"k": 1}', '{"k": {"m": 2']
+    assert readers.read_json_records(spark, str(folder / "d.json"), "k long", lines=False).collect() == []
