@@ -157,11 +157,18 @@ class Reference:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         known = np.flatnonzero(self.hashes[at] == hashes) if len(self.hashes) else np.zeros(0, np.int64)
         size = max(1, len(self.hashes))
-        found = np.bincount(w.text_of_word()[known] * size + at[known], minlength=len(n) * size).reshape(len(n), size)
+        # The cells that occur only; a language's histograms are spread out one language at a time.
+        cells, times = np.unique(w.text_of_word()[known] * size + at[known], return_counts=True)
+        text, cell = np.divmod(cells, size)
+        column = np.full(size, -1)
         far = np.ones((len(self.langs), len(n)))
         able, lacking = np.zeros(far.shape, bool), np.zeros(far.shape, bool)
         for k, (words, share) in enumerate(zip(self.words, self.shares)):
-            own = found[:, words]
+            column[words] = np.arange(len(words))
+            here = column[cell] >= 0
+            own = np.zeros((len(n), len(words)), np.int64)
+            own[text[here], column[cell[here]]] = times[here]
+            column[words] = -1
             p = np.column_stack([own, n - own.sum(axis=1)]) / np.maximum(n, 1)[:, None]
             far[k] = distance(p, share)
             many = n * (1 - share[-1]) >= EXPECTED

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
+import string
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -78,3 +80,58 @@ def leaks(rows: list[tuple[int, str | None]], items: list[tuple[int, str | None]
         own = shingles(text)
         out |= {(i, k, len(s), len(s & own)) for k, s in tests if s and 100 * len(s & own) >= percent * len(s)}
     return out
+
+
+def _distance(p: list[float], q: list[float]) -> float:
+    total = 0.0
+    for x, y in zip(p, q):
+        for a in (x, y):
+            total += a * math.log2(a / ((x + y) / 2)) / 2 if a else 0
+    return math.sqrt(min(1.0, max(0.0, total)))
+
+
+def _classes(text: str) -> list[int]:
+    kinds = [string.ascii_lowercase, string.ascii_uppercase, string.digits, " \t\n\v\f\r", ".,;:!?'\"()-"]
+    out = [0] * 7
+    for c in text:
+        out[next((k for k, own in enumerate(kinds) if c in own), 5 if ord(c) < 128 else 6)] += 1
+    return out
+
+
+def quality(rows: list[tuple], rules) -> dict[int, tuple]:
+    """Nearest language, word and character distance and verdict of each (id, text, lang)."""
+    def shares(counts):
+        return [n / (sum(counts) or 1) for n in counts]
+
+    model = {}
+    for name in sorted({lang for *_, lang in rows if lang is not None}):
+        own = [text or "" for _, text, lang in rows if lang == name]
+        seen = collections.Counter(w for text in own for w in words(text.translate(LOWER)))
+        common = sorted(seen, key=lambda w: (-seen[w], w.encode()))[:rules.COMMON]
+        known = [seen[w] / sum(seen.values()) for w in common]
+        share = known + [max(0.0, 1 - sum(known))]
+        bare = max(_distance([0.0] * len(common) + [1.0], share), 1e-9)
+        model[name] = common, share, bare, shares([sum(c) for c in zip(*map(_classes, own))])
+    out = {}
+    for i, text, lang in rows:
+        w, chars = words((text or "").translate(LOWER)), _classes(text or "")
+        far, able, lacking = {}, {}, {}
+        for name, (common, share, bare, _) in model.items():
+            own = [w.count(x) for x in common]
+            far[name] = _distance([x / max(1, len(w)) for x in own + [len(w) - sum(own)]], share)
+            many = len(w) * (1 - share[-1]) >= rules.EXPECTED
+            some = len(w) * math.log(max(share[-1], 1e-300)) <= math.log(rules.RARE)
+            able[name] = many or some
+            lacking[name] = (many and far[name] > rules.NEAR * bare) or (some and not sum(own))
+        said = lang in model and not able[lang]
+        lacks = any(able.values()) and all(lacking[x] or not able[x] for x in model) and not said
+        open_to = [x for x in model if able[x]] or list(model)
+        best = min(open_to, key=lambda x: far[x] / model[x][2])
+        if said and lacking[best]:
+            best = lang
+        char_far = _distance(shares(chars), model[best][3])
+        by_words, by_chars = len(w) >= rules.LEAST_WORDS, sum(chars) >= rules.LEAST_CHARS
+        kept = (not base_counts(text)[-1] and not (by_words and (far[best] > rules.FAR_WORDS or lacks))
+                and not (by_chars and char_far > rules.FAR_CHARS))
+        out[i] = (best if w else None, far[best] if by_words else None, char_far if by_chars else None, kept)
+    return out
