@@ -101,3 +101,16 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
     per_share = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"q{k}").alias("n_tokens"))
                           for k, s in enumerate(shares)])
     return sums.agg(*cells).select(F.explode(per_share).alias("r")).select("r.*")
+
+
+def report(sums: DataFrame, limits: Sequence[int], shares: Sequence[float]) -> DataFrame:
+    """The histogram and its answers as one table; ``kind`` says what a row is.
+
+    ``length``: a row of the histogram. ``limit``: a context limit as n_tokens, with all documents and tokens, the documents
+    over it, and the tokens kept (truncated_total) and lost. ``quantile``: a share of the documents and, as n_tokens, the
+    length it does not exceed. Columns that a kind does not speak of are null.
+    """
+    under = under_limits(sums, limits).withColumnsRenamed({"context_limit": "n_tokens", "tokens_kept": "truncated_total"})
+    kinds = {"length": sums, "limit": under, "quantile": quantiles(sums, shares)}
+    named = [df.select(F.lit(kind).alias("kind"), "*") for kind, df in kinds.items()]
+    return named[0].unionByName(named[1], allowMissingColumns=True).unionByName(named[2], allowMissingColumns=True)

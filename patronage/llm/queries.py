@@ -16,8 +16,9 @@ from patronage.llm import (byte_bpe, collocations, decontamination, language_id,
 # The vocabulary of the queries; operators take the path as an argument.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-# Context limits that the length report answers.
+# Context limits and shares of the documents that the length report answers.
 LIMITS = [128, 512, 1024, 2048, 4096, 8192, 32768]
+SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,7 +94,7 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return lengths.histogram(lengths.token_counts(docs, RANKS, PATTERN))
+    return lengths.report(lengths.histogram(lengths.token_counts(docs, RANKS, PATTERN)), LIMITS, SHARES)
 
 
 def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:

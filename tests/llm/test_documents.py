@@ -555,3 +555,44 @@ def test_length_histogram(spark, awkward, reference, nothing):
     assert lengths.quantiles(none, [0.5]).first().n_tokens is None
     with pytest.raises(InputProblem):
         lengths.under_limits(sums, [])
+
+
+def test_length_report(spark, given):
+    """Every row of op10's report against the encoded lengths themselves."""
+    rows, docs = given
+    sizes = sorted(r.n_tokens for r in lengths.token_counts(docs, queries.RANKS, queries.PATTERN).select("n_tokens").collect())
+    found = collections.defaultdict(list)
+    for r in queries.op10_length_histogram(spark, FOLDER).collect():
+        found[r.kind].append(r)
+    assert {r.n_tokens: (r.documents, r.documents_up_to, r.tokens_from, r.truncated_total) for r in found["length"]} == {
+        n: (sizes.count(n), sum(x <= n for x in sizes), sum(x for x in sizes if x >= n), sum(min(x, n) for x in sizes))
+        for n in set(sizes)}
+    assert {r.n_tokens: (r.documents, r.tokens, r.documents_over, r.truncated_total, r.tokens_lost) for r in found["limit"]} == {
+        c: (len(sizes), sum(sizes), sum(x > c for x in sizes), sum(min(x, c) for x in sizes), sum(max(0, x - c) for x in sizes))
+        for c in queries.LIMITS}
+    assert {r.share: r.n_tokens for r in found["quantile"]} == {
+        s: next(n for k, n in enumerate(sizes, 1) if k >= s * len(sizes)) for s in queries.SHARES}
+
+
+@pytest.mark.parametrize("languages", [1, 4, 60])
+def test_quality_verdicts_by_brute_force(spark, languages):
+    """Nearest language, both distances and the verdict, by plain Python from the definitions in the module."""
+    rng = random.Random(languages)
+    words = {k: ["%s%d" % ("abcdefgh"[k % 8], rng.randrange(5000)) for _ in range(200)] for k in range(languages)}
+    rows = []
+    for i in range(240 if languages < 60 else 400):
+        k = i % languages
+        own = [words[k][min(int(rng.expovariate(0.04)), 199)] for _ in range(rng.choice([15, 45, 120, 400]))]
+        if i % 11 == 0:
+            own = ["zz%d" % rng.randrange(10**6) for _ in own]
+        if i % 13 == 0:
+            own = ["%s##%d" % (x.upper(), rng.randrange(9)) for x in own]
+        rows.append((i, " ".join(own), None if i % 17 == 0 else "l%02d" % k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    expected = brute.quality(rows, quality_rules)
+    for r in quality_rules.judged(docs).collect():
+        name, word_far, char_far, kept = expected[r.doc_id]
+        assert r.nearest_lang == name and r.kept == kept, r
+        for got, far in ((r.word_distance, word_far), (r.char_distance, char_far)):
+            assert (got is None) == (far is None) and (far is None or abs(got - far) < 1e-9), r
+    assert 0 < sum(e[3] for e in expected.values()) < len(rows)
