@@ -11,8 +11,6 @@ Texts are scored in slices of about ``SLICE`` words. A slice's distinct n-grams
 n-gram is one row per slice, and what the model has of them goes back to the slice. A bitmap of fixed size over the model's
 keys is sent to all tasks; it spares the join n-grams that the model lacks, and loses none that it has.
 
-``trained`` and ``bits`` are the same model cut to a given number of words and n-grams, for callers who hold it in one place.
-
 A text's perplexity is 2^(mean bits per word). Thresholds are a quantile, per language, of the perplexities of trusted texts
 that the model has not learned from: a quarter of them, chosen by the hash of the id. They are exact to 1/1000 bit.
 
@@ -40,14 +38,10 @@ from patronage.llm.tokens import before, find, pair_hash
 from patronage.llm.words import BASES, U64, Hasher, as_long, is_white, lean, pieces
 from patronage.scratch import stored
 
-WORDS, GRAMS = 1 << 13, 1 << 20
-FEWEST = 5
 QUANTILE = 0.995
 # Texts with fewer words say too little: they set no threshold and stay.
 LEAST_WORDS = 20
 HELD = 1 << 20
-START, BITS = 0, 21
-MASK = (1 << BITS) - 1
 # Stands for the words before a text.
 OPEN = U64(0x51ED270B7A3F9E15)
 # Words of a slice, and size of the bitmap over the model's keys: 2^27 bits, 16 MB.
@@ -59,39 +53,6 @@ def held_out(id_column: Column) -> Column:
     return F.pmod(F.xxhash64(id_column), F.lit(4)) == 0
 
 
-def _summed(held: list[np.ndarray], name: str):
-    if held:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.record_batch([as_long(keys), pa.array(n)], names=[name, "n"])
-
-
-def _counted(rows: DataFrame, name: str, keys) -> DataFrame:
-    """Sums of the 64-bit keys that ``keys(words, hasher)`` gives for slices of ``text``."""
-    def run(batches):
-        lean()
-        white, hasher = is_white(), Hasher(BASES[0])
-        held, size = [], 0
-        for batch in batches:
-            for *_, w in pieces(batch.column(0), white):
-                held.append(keys(w, hasher))
-                size += len(held[-1])
-                if size >= HELD:
-                    yield from _summed(held, name)
-                    held, size = [], 0
-        yield from _summed(held, name)
-
-    return rows.select("text").mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
-
-
-def numbered(w, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the words and of the two before each: 0 before a text, 1 to n for known words, n + 1 for others."""
-    place = find(words, hashes) + 1
-    this = np.where(place == 0, len(words) + 1, place).astype(U64)
-    last = before(this, w.first, U64(START))
-    second = before(last, w.first, U64(START))
-    return second, last, this
-
-
 def _discounts(df: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts of n-grams seen once, twice, three times or more."""
     n = {r["n"]: r["c"] for r in df.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -101,68 +62,11 @@ def _discounts(df: DataFrame) -> list[float]:
     return [min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), found)]
 
 
-def _kept(grams: DataFrame, name: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Most frequent n-grams with their probabilities, and their contexts with what is left for the next lower order."""
-    d1, d2, d3 = _discounts(grams)
-    context = F.shiftright(name, BITS).alias("context")
-    totals = grams.groupBy(context).agg(F.sum("n").alias("total"))
-    top = grams.where("n > 1").orderBy(F.desc("n"), name).limit(most)
-    share = F.col("n") - F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    table = top.withColumn("context", context).join(totals, "context").select(
-        name, (share / F.col("total")).alias("p")).toArrow()
-    keys, p = table[name].to_numpy(), table["p"].to_numpy()
-    order = np.argsort(keys)
-    keys, p = keys[order], p[order]
-    contexts, back = np.unique(keys >> BITS, return_inverse=True)
-    rest = 1 - np.bincount(back, p, minlength=len(contexts))
-    return keys.view(U64), p, contexts.view(U64), np.maximum(rest, 1e-6)
-
-
-def trained(texts: DataFrame, words: int = WORDS, grams: int = GRAMS) -> dict | None:
-    """The frozen model of ``texts`` (a column text), or None if they hold no words."""
-    seen = stored(_counted(texts, "word", lambda w, hasher: hasher.of_words(w)), "words")
-    if seen.isEmpty():
-        return None
-    known = np.sort(seen.where(F.col("n") >= FEWEST).orderBy(F.desc("n"), "word").limit(words).toArrow()[
-        "word"].to_numpy().view(U64))
-    others = max(1, seen.count() - len(known))
-    sent = texts.sparkSession.sparkContext.broadcast(known)
-
-    def trigrams(w, hasher):
-        second, last, this = numbered(w, hasher.of_words(w), sent.value)
-        return second << U64(2 * BITS) | last << U64(BITS) | this
-
-    three = stored(_counted(texts, "gram", trigrams), "trigrams")
-    # After how many different words does a pair of words stand, and a word?
-    two = stored(three.groupBy(F.col("gram").bitwiseAND((1 << 2 * BITS) - 1).alias("gram")).agg(
-        F.count("*").alias("n")), "bigrams")
-    one = two.groupBy(F.col("gram").bitwiseAND(MASK).alias("gram")).agg(F.count("*").alias("n"))
-    d1, d2, d3 = _discounts(one)
-    found = one.toArrow()  # a row per numbered word
-    n = np.zeros(len(known) + 2)
-    n[found["gram"].to_numpy()] = found["n"].to_numpy()
-    less = n - np.select([n == 0, n == 1, n == 2], [0, d1, d2], d3)
-    single = less / n.sum() + (n - less).sum() / n.sum() / (len(n) - 1)
-    return {"words": known, "others": others, "single": single, "two": _kept(two, "gram", grams),
-            "three": _kept(three, "gram", grams)}
-
-
 def _value(table, keys, otherwise):
     at = find(table[0], keys)
     return np.where(at >= 0, table[1][at] if len(table[0]) else otherwise, otherwise)
 
 
-def bits(w, hashes: np.ndarray, model: dict) -> np.ndarray:
-    """Bits of each word after the two before it."""
-    second, last, this = numbered(w, hashes, model["words"])
-    p = model["single"][this.astype(np.int64)]
-    for name, context in (("two", last), ("three", second << U64(BITS) | last)):
-        grams, shares, contexts, rest = model[name]
-        p = _value((grams, shares), context << U64(BITS) | this, 0.0) + _value((contexts, rest), context, 1.0) * p
-    unknown = this == U64(len(model["words"]) + 1)
-    return np.where(unknown, np.log2(model["others"]), 0) - np.log2(p)
-
-
 def _before_two(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = before(hashes, first, OPEN)
     return before(last, first, OPEN), last

@@ -242,22 +242,16 @@ def test_perplexity(spark, nothing):
 
 
 def test_perplexity_model_adds_up(spark):
-    """After any context the probabilities of all words sum to one."""
-    import numpy as np
+    """After any context the probabilities of all words, and of one never seen, sum to one."""
     rng = random.Random(1)
     texts = spark.createDataFrame([(" ".join(rng.choice("abcdef") for _ in range(200)),) for _ in range(20)], "text string")
-    model = perplexity.trained(texts, words=5)
-    size = len(model["words"])
-    assert size == 5 and model["single"][1:].sum() == pytest.approx(1)
-    every = np.arange(1, size + 2, dtype=np.uint64)
-    for second, last in ((0, 0), (0, 2), (1, 3), (6, 6)):
-        p = model["single"][1:]
-        for name, context in (("two", last), ("three", second << 21 | last)):
-            keys = np.uint64(context << 21) | every
-            grams, shares, contexts, rest = model[name]
-            p = perplexity._value((grams, shares), keys, 0.0) + perplexity._value(
-                (contexts, rest), np.full(len(every), context, np.uint64), 1.0) * p
-        assert p.sum() == pytest.approx(1)
+    openings = ["", "c", "a b", "f f", "d never"]
+    rows = [(k, w, " ".join([*opening.split(), w]).strip()) for k, opening in enumerate(openings) for w in ["", *"abcdef", "new"]]
+    docs = spark.createDataFrame(rows, "k int, w string, text string")
+    bits = {(r.k, r.w): (r.mean_bits or 0) * r.n_words
+            for r in perplexity.perplexities(docs, perplexity.counted_model(texts), ["k", "w"]).collect()}
+    for k in range(len(openings)):
+        assert sum(2 ** (bits[k, ""] - bits[k, w]) for w in [*"abcdef", "new"]) == pytest.approx(1), openings[k]
 
 
 def test_perplexity_knows_every_word_and_trigram(spark):
