@@ -1,20 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Method. Two models, of toxic and of ordinary labelled texts, back off from a word after the one before it to the word, from
-there to the word's opening (its first ``OPENING`` bytes), and at last to *shared* continuation counts over both classes:
-after how many different words does a word stand, how many different words have an opening? Counts are discounted before
-they speak for a class: an n-gram seen n times keeps n - CAUTION * sqrt(n), nothing when it is rare. So a rare
-expression is left to the shared counts, which say the same of both classes, and cannot tilt a score by chance.
-
-A text's score compares its log-likelihoods per word: the mean over all its words, and that of its strongest and second
-strongest word, since a long text may be toxic in a few places. Three numbers and a constant are weighed by a logistic
-regression on labelled texts that the models have not seen, at most ``CALIBRATION`` of them (those with the smallest hashed
-ids), its only sample. The models count all other labelled texts.
-
-Size of the models: all words and openings of at least ``FEWEST`` occurrences, and all pairs that keep a count in one of the
-classes (others are discounted to nothing and say what their second word says). These tables grow with the labelled texts;
-they pass through the driver and are sent to all tasks, so both must hold them. A pair can only be that frequent if both
-words are, so pairs are counted after words, each summed within tasks before it is shuffled.
+Method. Two interpolated modified Kneser-Ney models, of toxic and of ordinary labelled texts, back off from a word after the
+one before it to the word, and from there to *shared* continuation counts over both classes: after how many different words
+does a word stand? Each class has its own three discounts per order, from its counts of counts, and what they take away is
+what the next lower order gets, so after every context the probabilities of all words, and of one that stands for any word
+never seen, add up to one. A rare expression is left mostly to the shared counts, which say the same of both classes.
+
+A text's score compares its log-likelihoods per word. The log-ratio of the classes is an exact sum of two parts: the *evidence*
+of words and pairs that were counted, and the log-ratio of the shares that contexts *leave* to the lower order. Means of both,
+and the evidence of the strongest and second strongest word, since a long text may be toxic in one place, are weighed by a
+logistic regression on labelled texts that the models have not seen, at most ``CALIBRATION`` of them (those with the smallest
+hashed ids), its only sample. The models count all other labelled texts.
+
+Size of the models: every word and pair of the labelled texts, so they grow with them. They are tables; no task and not the
+driver holds one. What most look-ups ask for is sent to all tasks: the most frequent words and pairs, at most ``HEAD_WORDS`` and
+``HEAD_PAIRS``. Look-ups of all others are rows (text, key), joined with the rest of the tables and summed per text, so results do
+not depend on the two numbers. A bitmap of fixed size spares the join most keys that the models lack, and loses none they have.
 
 Edge cases. Null and blank texts have no words; their score is the share of toxic labels. Without labels of both
 kinds every score is the share of toxic labels (0 without any). Null labels are ignored; an id with several labels is
@@ -28,22 +29,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.columns import field, require_columns
+from patronage.llm.decontamination import key_filter
 from patronage.llm.ids import require_whole_ids
-from patronage.llm.membership import only
+from patronage.llm.membership import maybe_in, only
+from patronage.llm.perplexity import OPEN, _discounts
 from patronage.llm.tokens import before, find, pair_hash, separators
-from patronage.llm.words import BASES, U64, Hasher, as_long, lean, lower_table, mixed, pieces
-from patronage.scratch import stored
+from patronage.llm.words import BASES, U64, Hasher, as_long, lean, lower_table, pieces
+from patronage.scratch import discard, stored
 
-CAUTION = 2.0
-OPENING = 5
-FEWEST = 5
 CALIBRATION = 20_000
+# Words of a task that are counted together.
 HELD = 1 << 20
-NO_WORD = U64(0)
+# Bounds of what is sent to all tasks: 6 MB of words, 16 MB of pairs, a bitmap of 2^27 bits.
+HEAD_WORDS, HEAD_PAIRS, FILTER = 1 << 18, 1 << 20, 27
+CLASSES = {"toxic": 1, "ordinary": -1}
 
 
 def fold(id_column: Column) -> Column:
@@ -52,31 +56,22 @@ def fold(id_column: Column) -> Column:
 
 def _tokens(batch_texts: pa.Array, parting, folded, hasher):
     for i, j, w in pieces(batch_texts, parting, folded):
-        hashes = hasher.of_words(w) | U64(1)
-        yield i, j, w, hashes
-
-
-def _flush(held: list, names: list[str]):
-    if held:
-        key = np.concatenate([h[0] for h in held])
-        order = np.argsort(key)
-        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        columns = [as_long(key[order][heads])]
-        for k in range(1, len(held[0])):
-            values = np.concatenate([h[k] for h in held])[order]
-            columns.append(pa.array(values[heads] if names[k] in ("left", "right") else np.add.reduceat(values, heads)))
-        yield pa.record_batch(columns, names=names)
-
+        yield i, j, w, hasher.of_words(w) | U64(1)
 
-def openings(w, hasher: Hasher) -> np.ndarray:
-    """Hash of the first bytes of each word."""
-    prefix = hasher.bytes.prefix(w.data.astype(U64) + U64(1))
-    return mixed(hasher.bytes.runs(prefix, w.starts, np.minimum(w.ends, w.starts + OPENING)) ^ U64(BASES[1])) | U64(1)
 
+def counted_pairs(rows: DataFrame) -> DataFrame:
+    """left, right (hashes of a word and the one before it, ``OPEN`` before a text), toxic, ordinary: occurrences in texts of
+    each class. ``rows``: text, toxic."""
+    names = ["left", "right", "toxic", "ordinary"]
 
-def counted_words(rows: DataFrame) -> DataFrame:
-    """word (hash), opening (hash), toxic, ordinary: occurrences in texts of each class. ``rows``: text, toxic."""
-    names = ["word", "left", "toxic", "ordinary"]
+    def summed(held):
+        if held:
+            left, right, label = [np.concatenate(c) for c in zip(*held)]
+            order = np.argsort(pair_hash(left, right))
+            left, right, label = left[order], right[order], label[order]
+            new = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+            toxic, n = np.add.reduceat(label, new), np.diff(np.append(new, len(left)))
+            yield pa.record_batch([as_long(left[new]), as_long(right[new]), pa.array(toxic), pa.array(n - toxic)], names=names)
 
     def run(batches):
         lean()
@@ -85,165 +80,225 @@ def counted_words(rows: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = batch.column(1).to_numpy()
             for i, j, w, hashes in _tokens(batch.column(0), parting, folded, hasher):
-                label = np.repeat(toxic[i:j], w.counts()).astype(np.int64)
-                held.append((hashes, openings(w, hasher).view(np.int64), label, 1 - label))
+                held.append((before(hashes, w.first, OPEN), hashes, np.repeat(toxic[i:j], w.counts()).astype(np.int64)))
                 size += len(hashes)
                 if size >= HELD:
-                    yield from _flush(held, names)
-                    held, size = [], 0
-        yield from _flush(held, names)
-
-    return rows.mapInArrow(run, "word long, left long, toxic long, ordinary long").groupBy("word").agg(
-        F.first("left").alias("opening"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def counted_pairs(rows: DataFrame, words: np.ndarray) -> DataFrame:
-    """pair (hash), left, right (places in ``words``, left -1 if it is not there), toxic, ordinary; right is in ``words``."""
-    sent = rows.sparkSession.sparkContext.broadcast(words)
-    names = ["pair", "left", "right", "toxic", "ordinary"]
-
-    def run(batches):
-        lean()
-        parting, folded, hasher = separators(), lower_table(), Hasher(BASES[0])
-        table, held, size = sent.value, [], 0
-        for batch in batches:
-            toxic = batch.column(1).to_numpy()
-            for i, j, w, hashes in _tokens(batch.column(0), parting, folded, hasher):
-                place = find(table, hashes)
-                left = before(hashes, w.first, NO_WORD)
-                left_place = before(place, w.first, -1)
-                label = np.repeat(toxic[i:j], w.counts()).astype(np.int64)
-                at = np.flatnonzero(place >= 0)
-                held.append((pair_hash(left, hashes)[at], left_place[at], place[at], label[at], 1 - label[at]))
-                size += len(at)
-                if size >= HELD:
-                    yield from _flush(held, names)
+                    yield from summed(held)
                     held, size = [], 0
-        yield from _flush(held, names)
+        yield from summed(held)
 
-    counts = rows.mapInArrow(run, "pair long, left long, right long, toxic long, ordinary long")
-    return counts.groupBy("pair").agg(F.first("left").alias("left"), F.first("right").alias("right"),
-                                      F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return rows.select("text", "toxic").mapInArrow(run, "left long, right long, toxic long, ordinary long").groupBy(
+        "left", "right").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 @dataclass
 class Model:
-    """Sorted hashes of openings, words and pairs, each with its evidence: toxic minus ordinary log-probability."""
-
-    openings: np.ndarray
-    opening_evidence: np.ndarray
-    words: np.ndarray
-    word_evidence: np.ndarray
-    pairs: np.ndarray
-    pair_evidence: np.ndarray
+    """``words``: word, n, evidence, rest; ``pairs``: key, n, evidence. Evidence is the log-ratio of the classes' probabilities
+    over those of the next lower order alone, ``rest`` that of the shares which a context leaves to the lower order, and
+    ``rest_of_words`` that of the words' shares. ``many_words`` and ``many_pairs``: n from which rows are sent to all tasks."""
+
+    words: DataFrame
+    pairs: DataFrame
+    many_words: int
+    many_pairs: int
+    rest_of_words: float
     weights: np.ndarray | None = None
     share: float = 0.0
 
 
-CLASSES = {"toxic": 1, "ordinary": -1}
+def _lost(c: str, d: list[float]) -> Column:
+    """What the discounts take from a count."""
+    return F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
 
 
-def _kept(n: np.ndarray) -> np.ndarray:
-    return np.maximum(n - CAUTION * np.sqrt(n), 0)
+def _many(table: DataFrame, most: int) -> int:
+    """The smallest power of two for which at most ``most`` rows have an n as large."""
+    levels = table.groupBy(F.length(F.bin("n")).alias("digits")).count().collect()
+    power, rows = 1 << 62, 0
+    for level in sorted(levels, key=lambda r: -r["digits"]):
+        rows += level["count"]
+        if rows > most:
+            break
+        power = 1 << (level["digits"] - 1)
+    return power
 
 
-def _sorted(counts: DataFrame, key: str):
-    """Keys in order and the other columns."""
-    table = counts.toArrow()
-    order = np.argsort(table[key].to_numpy().view(U64))
-    columns = {c: table[c].to_numpy()[order] for c in table.column_names}
-    return columns[key].view(U64), columns
+def _beside(pairs: DataFrame, words: DataFrame, side: str, columns: list[str], many: int) -> DataFrame:
+    """The pairs with ``columns`` of the word on one side. Frequent words, in number at most ``HEAD_WORDS``, are sent to the pairs;
+    only pairs of rare words are shuffled, so no word is too frequent for a task."""
+    named = words.select(F.col("word").alias(side), "n", *columns)
+    often, seldom = F.broadcast(named.where(F.col("n") >= many).drop("n")), named.where(F.col("n") < many).drop("n")
+    return pairs.join(often, side).unionByName(pairs.join(often.select(side), side, "left_anti").join(seldom, side))
 
 
 def trained(rows: DataFrame) -> Model | None:
     """The two models of ``rows`` (text, toxic), or None unless both classes have words."""
-    counts = stored(counted_words(rows), "words")
-    total = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    if not total[0] or not total[1]:
+    pairs = stored(counted_pairs(rows), "word-pairs")
+    sums = pairs.agg(*[F.sum(c).alias(c) for c in CLASSES], F.count("*").alias("different")).first()
+    if not sums["toxic"] or not sums["ordinary"]:
         return None
-    totals = dict(zip(CLASSES, map(float, total)))
-    often = F.col("toxic") + F.col("ordinary") >= FEWEST
-    starts, of_start = _sorted(counts.groupBy("opening").agg(
-        *[F.sum(c).alias(c) for c in CLASSES], F.count("*").alias("words")).where(often), "opening")
-    words, of_word = _sorted(counts.where(often), "word")
-    pairs = stored(counted_pairs(rows, words), "word-pairs")
-    spread = pairs.groupBy("right").agg(F.count("*").alias("n")).toArrow()
-    different = np.ones(len(words))
-    different[spread["right"].to_numpy()] = spread["n"].to_numpy()
-    keys, of_pair = _sorted(pairs.where("left >= 0").where(F.greatest(*CLASSES) > CAUTION ** 2), "pair")
-    left, right = of_pair["left"].astype(np.int64), of_pair["right"].astype(np.int64)
-
-    # Each level: what the class itself has seen, and the level below for the rest. Evidence is the log-ratio of the
-    # classes, less that of their shares of rest, which every unseen expression would get alike.
-    shared = of_start["words"] / (of_start["words"].sum() + 1)
-    own = find(starts, of_word["opening"].view(U64))
-    among = np.bincount(own[own >= 0], different[own >= 0], minlength=len(starts))
-    start_evidence, word_evidence, pair_evidence = np.zeros(len(starts)), np.zeros(len(words)), np.zeros(len(keys))
-    for c, sign in CLASSES.items():
-        kept = _kept(of_start[c].astype(float)) / totals[c]
-        rest = max(1 - kept.sum(), 0.05)
-        p = kept + rest * shared
-        start_evidence += sign * np.log1p(kept / (rest * shared))
-        within = different / np.maximum(among[own], 1) * p[own] if len(starts) else np.ones(len(words))
-        kept = _kept(of_word[c].astype(float)) / totals[c]
-        rest = max(1 - kept.sum(), 0.05)
-        word_evidence += sign * np.log1p(kept / (rest * within))
-        p = kept + rest * within
-        kept = _kept(of_pair[c].astype(float)) / np.maximum(of_word[c][left], 1)
-        rest = np.maximum(1 - np.bincount(left, kept, minlength=len(words)), 0.05)[left]
-        pair_evidence += sign * np.log1p(kept / (rest * p[right]))
-    # A word as frequent as those in the table gives its opening enough occurrences to be in that table too.
-    word_evidence += np.where(own >= 0, start_evidence[own] if len(starts) else 0, 0)
-    pair_evidence += word_evidence[right]
-    return Model(starts, start_evidence, words, word_evidence, keys, pair_evidence)
 
+    def discounts(table):
+        return {c: _discounts(table.where(F.col(c) > 0).select(F.col(c).alias("n"))) for c in CLASSES}
+
+    seen = stored(pairs.groupBy(F.col("right").alias("word")).agg(
+        *[F.sum(c).alias(c) for c in CLASSES], F.count("*").alias("different")), "words")
+    of_words, of_pairs = discounts(seen), discounts(pairs)
+    lost = seen.agg(*[F.sum(_lost(c, of_words[c])).alias(c) for c in CLASSES]).first()
+    rest = {c: lost[c] / sums[c] for c in CLASSES}
+    shared = F.col("different") / F.lit(sums["different"] + 1.0)
+    contexts = pairs.groupBy(F.col("left").alias("word")).agg(
+        *[F.sum(c).alias(f"after_{c}") for c in CLASSES], *[F.sum(_lost(c, of_pairs[c])).alias(f"left_{c}") for c in CLASSES])
+
+    def own(c):
+        return (F.col(c) - _lost(c, of_words[c])) / F.lit(float(sums[c]))
+
+    def added(parts):
+        return parts["toxic"] - parts["ordinary"]
+
+    words = stored(seen.join(contexts, "word", "full").select(
+        "word", F.greatest(F.coalesce(F.col("toxic") + F.col("ordinary"), F.lit(0)),
+                           F.coalesce(F.col("after_toxic") + F.col("after_ordinary"), F.lit(0))).alias("n"),
+        F.coalesce(added({c: F.log1p(own(c) / (F.lit(rest[c]) * shared)) for c in CLASSES}), F.lit(0.0)).alias("evidence"),
+        added({c: F.when(F.col(f"after_{c}") > 0, F.log(F.col(f"left_{c}") / F.col(f"after_{c}"))).otherwise(0.0)
+               for c in CLASSES}).alias("rest"),
+        *[(own(c) + F.lit(rest[c]) * shared).alias(f"p_{c}") for c in CLASSES],
+        *[F.col(f"left_{c}") for c in CLASSES]), "word-evidence")
+    many_words = _many(words, HEAD_WORDS)
+    beside = _beside(_beside(pairs, words, "right", [f"p_{c}" for c in CLASSES], many_words),
+                     words, "left", [f"left_{c}" for c in CLASSES], many_words)
+    evidence = added({c: F.when(F.col(c) > 0, F.log1p(
+        (F.col(c) - _lost(c, of_pairs[c])) / (F.col(f"left_{c}") * F.col(f"p_{c}")))).otherwise(0.0) for c in CLASSES})
+
+    def keyed(batches):
+        for batch in batches:
+            left, right = (batch.column(k).to_numpy().view(U64) for k in (0, 1))
+            yield pa.record_batch([as_long(pair_hash(left, right)), *batch.columns[2:]], names=["key", "n", "evidence"])
 
-def evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows with ``text`` replaced by mean, best and second: evidence per word (null without words), and of the two
-    strongest words."""
-    sent = rows.sparkSession.sparkContext.broadcast(
-        [(model.openings, model.opening_evidence), (model.words, model.word_evidence),
-         (model.pairs, model.pair_evidence)])
+    table = stored(beside.select("left", "right", (F.col("toxic") + F.col("ordinary")).alias("n"), evidence.alias("evidence"))
+                   .mapInArrow(keyed, "key long, n long, evidence double"), "pair-evidence")
+    discard(pairs)
+    discard(seen)
+    return Model(words.select("word", "n", "evidence", "rest"), table, many_words, _many(table, HEAD_PAIRS),
+                 float(np.log(rest["toxic"] / rest["ordinary"])))
+
+
+def _sorted(table: DataFrame, key: str, *columns: str) -> list[np.ndarray]:
+    """Keys in order and the other columns."""
+    found = table.select(key, *columns).toArrow()
+    keys = found[key].to_numpy().view(U64)
+    order = np.argsort(keys)
+    return [keys[order], *[found[c].to_numpy()[order] for c in columns]]
+
+
+def _wanted(text: np.ndarray, key: np.ndarray, n: np.ndarray, after: np.ndarray):
+    """Distinct (text, key) with sums of n and after."""
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(text) else np.zeros(0, int)
+    sums = [np.add.reduceat(x[order], new) if len(new) else np.zeros(0, np.int64) for x in (n, after)]
+    return text[new], key[new], *sums
+
+
+def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
+    """Two kinds of rows. Without a key: number of the row, its columns but ``text``, words, evidence, rest, best, second from the
+    frequent words and pairs. With a key: number of the row, key, n occurrences, of which ``after`` have a word after them."""
+    often, pairs_often = F.col("n") >= model.many_words, F.col("n") >= model.many_pairs
+    keys = model.words.where(~often).select(F.array("word").alias("keys")).unionByName(
+        model.pairs.where(~pairs_often).select(F.array("key").alias("keys")))
+    sent = rows.sparkSession.sparkContext.broadcast((
+        _sorted(model.words.where(often), "word", "evidence", "rest"), _sorted(model.pairs.where(pairs_often), "key", "evidence"),
+        key_filter(keys, FILTER)))
     others = [f for f in rows.schema.fields if f.name != "text"]
     names = [f.name for f in others]
+    rest_of_words = model.rest_of_words
+    columns = [*names, "row", "words", "evidence", "rest", "best", "second", "key", "n", "after"]
 
-    def looked_up(value, table, hashes, at):
-        place = find(table[0], hashes)
-        hit = place >= 0
-        value[at[hit]] = table[1][place[hit]]
-        return place
+    def looked_up(table, keys, at):
+        hit = at >= 0
+        value = np.zeros(len(keys))
+        value[hit] = table[at[hit]]
+        return value
 
     def run(batches):
         lean()
         parting, folded, hasher = separators(), lower_table(), Hasher(BASES[0])
-        starts, words, pairs = sent.value
-        at_text = len(names)
+        (words, of_words, of_contexts), (pairs, of_pairs), filled = sent.value
+        at_text, row = len(names), TaskContext.get().partitionId() << 40
+        opening = int(find(words, np.array([OPEN], U64))[0])
         for batch in batches:
             for i, j, w, hashes in _tokens(batch.column(at_text), parting, folded, hasher):
-                value, every = np.zeros(len(hashes)), np.arange(len(hashes))
-                looked_up(value, starts, openings(w, hasher), every)
-                place = looked_up(value, words, hashes, every)
-                known = np.flatnonzero((place >= 0) & (before(place, w.first, -1) >= 0))
-                looked_up(value, pairs, pair_hash(before(hashes, w.first, NO_WORD)[known], hashes[known]), known)
-                n = w.counts()
-                sums = np.append(0, np.cumsum(value))[w.first]
-                mean = np.diff(sums) / np.maximum(n, 1)
+                n, text = w.counts(), w.text_of_word()
+                place = find(words, hashes)
+                key = pair_hash(before(hashes, w.first, OPEN), hashes)
+                pair_place = find(pairs, key)
+                own = looked_up(of_words, hashes, place)
+                value = own + looked_up(of_pairs, key, pair_place)
+                rest = looked_up(of_contexts, hashes, before(place, w.first, opening)) + rest_of_words
+                sums = [np.bincount(text, v, minlength=j - i) for v in (value, rest)]
                 best, second = np.zeros(j - i), np.zeros(j - i)
-                for t in np.flatnonzero(n):
-                    own = value[w.first[t]:w.first[t + 1]]
-                    strongest = np.sort(np.partition(own, -2)[-2:]) if len(own) > 1 else np.append(0, own)
-                    second[t], best[t] = np.maximum(strongest, 0)
+                strong = np.flatnonzero(own > 0)
+                strong = strong[np.lexsort((-own[strong], text[strong]))]
+                first = np.searchsorted(text[strong], np.arange(j - i + 1))
+                some, more = np.flatnonzero(np.diff(first) > 0), np.flatnonzero(np.diff(first) > 1)
+                best[some], second[more] = own[strong[first[some]]], own[strong[first[more] + 1]]
+                none = pa.nulls(j - i, pa.int64())
                 yield pa.record_batch([*[batch.column(k).slice(i, j - i) for k in range(at_text)],
-                                       pa.array(mean, mask=n == 0), pa.array(best), pa.array(second)],
-                                      names=[*names, "mean", "best", "second"])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others],
-                        "mean double, best double, second double"])
-    return rows.select(*names, "text").mapInArrow(run, schema)
+                                       pa.array(row + np.arange(j - i)), pa.array(n.astype(np.int64)), *map(pa.array, sums),
+                                       pa.array(best), pa.array(second), none, none, none], names=columns)
+                rare = np.flatnonzero(place < 0)
+                rare = rare[maybe_in(filled, hashes[rare], FILTER)]
+                rare_pairs = np.flatnonzero(pair_place < 0)
+                rare_pairs = rare_pairs[maybe_in(filled, key[rare_pairs], FILTER)]
+                # The context before a text, if it is a rare one itself.
+                open_ = np.flatnonzero(n) if opening < 0 else np.zeros(0, int)
+                last = np.zeros(len(hashes), np.int64)
+                last[w.first[1:][n > 0] - 1] = 1
+                one, zero = np.ones(len(rare) + len(rare_pairs), np.int64), np.zeros(len(open_), np.int64)
+                wanted = _wanted(np.concatenate([text[rare], text[rare_pairs], open_]),
+                                 np.concatenate([hashes[rare], key[rare_pairs], np.full(len(open_), OPEN)]),
+                                 np.concatenate([one, zero]),
+                                 np.concatenate([1 - last[rare], 0 * one[len(rare):], zero + 1]))
+                many = len(wanted[0])
+                yield pa.record_batch([*[pa.nulls(many, batch.column(k).type) for k in range(at_text)],
+                                       pa.array(row + wanted[0]), pa.nulls(many, pa.int64()),
+                                       *[pa.nulls(many, pa.float64()) for _ in range(4)], as_long(wanted[1]),
+                                       pa.array(wanted[2].astype(np.int64)), pa.array(wanted[3].astype(np.int64))], names=columns)
+                row += j - i
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "row long, words long, evidence double, "
+                        "rest double, best double, second double, key long, n long, after long"])
+    # Written: the number of a row must be the same wherever it is read.
+    return stored(rows.select(*names, "text").mapInArrow(run, schema), "looked-up")
 
 
-def _features(mean, best, second) -> np.ndarray:
-    return np.column_stack([np.ones(len(mean)), 10 * mean, best, second])
+def evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows with ``text`` replaced by mean and rest: evidence and shares left to lower orders per word (null without words),
+    and by best and second: evidence of the two strongest words, 0 at least."""
+    names = [c for c in rows.columns if c != "text"]
+    found = _looked_up(rows, model)
+    rare = model.words.where(F.col("n") < model.many_words).select(
+        F.col("word").alias("key"), "evidence", "rest", F.lit(True).alias("word")).unionByName(
+        model.pairs.where(F.col("n") < model.many_pairs).select("key", "evidence", F.lit(0.0).alias("rest"), F.lit(False).alias("word")))
+    strong = F.when(F.col("word") & (F.col("evidence") > 0) & (F.col("n") > 0),
+                    F.array_repeat("evidence", F.least("n", F.lit(2)).cast("int")))
+    more = found.where("key is not null").select("row", "key", "n", "after").join(rare, "key").groupBy("row").agg(
+        F.sum(F.col("n") * F.col("evidence")).alias("more_evidence"), F.sum(F.col("after") * F.col("rest")).alias("more_rest"),
+        F.flatten(F.collect_list(strong)).alias("more_strong"))
+    whole = found.where("key is null").drop("key", "n", "after").join(more, "row", "left")
+    zero = F.lit(0.0)
+    top = F.sort_array(F.concat(F.array("best", "second"), F.coalesce("more_strong", F.array().cast("array<double>"))), False)
+    return whole.select(
+        *names, ((F.col("evidence") + F.coalesce("more_evidence", zero)) / F.nullif("words", F.lit(0))).alias("mean"),
+        ((F.col("rest") + F.coalesce("more_rest", zero)) / F.nullif("words", F.lit(0))).alias("rest"),
+        top[0].alias("best"), top[1].alias("second"))
+
+
+FEATURES = {"mean": 10.0, "rest": 10.0, "best": 1.0, "second": 1.0}
+
+
+def _features(columns: dict) -> np.ndarray:
+    return np.column_stack([np.ones(len(columns["mean"])), *[scale * columns[c] for c, scale in FEATURES.items()]])
 
 
 def calibrated(rows: list) -> tuple[np.ndarray | None, float]:
@@ -252,9 +307,9 @@ def calibrated(rows: list) -> tuple[np.ndarray | None, float]:
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None, float(y.mean()) if len(y) else 0.0
-    x = _features(*[np.array([r[c] for r in rows]) for c in ("mean", "best", "second")])
+    x = _features({c: np.array([r[c] for r in rows]) for c in FEATURES})
     weights = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, 0.1, 0.1, 0.1])
+    ridge = np.diag([1e-6, *[0.1] * len(FEATURES)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ weights)
@@ -290,7 +345,8 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
     if model is None or model.weights is None:
         share = model.share if model else known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         return docs.select(field(id_column), F.lit(float(share)).alias("score"))
+    discard(known)
     found = evidence(docs.select(field(id_column).alias("id"), field(text).alias("text")), model)
-    logit = sum((F.col(c) * F.lit(float(w)) for c, w in zip(("mean", "best", "second"), model.weights[1:] * [10, 1, 1])),
+    logit = sum((F.col(c) * F.lit(float(w) * scale) for (c, scale), w in zip(FEATURES.items(), model.weights[1:])),
                 F.lit(float(model.weights[0])))
     return found.select(F.col("id").alias(id_column), F.round(F.coalesce(1 / (1 + F.exp(-logit)), F.lit(float(model.share))), 6).alias("score"))

@@ -135,3 +135,56 @@ def quality(rows: list[tuple], rules) -> dict[int, tuple]:
                 and not (by_chars and char_far > rules.FAR_CHARS))
         out[i] = (best if w else None, far[best] if by_words else None, char_far if by_chars else None, kept)
     return out
+
+
+def toxic_words(text: str | None) -> list[str]:
+    return re.findall("[^\\x00-/:-@\\[-`{-\\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+class ToxicModels:
+    """Two interpolated modified Kneser-Ney bigram models over shared continuation counts, from (text, class)."""
+
+    def __init__(self, rows: list[tuple[str | None, int]]):
+        self.pairs, self.of_words, self.after = ([collections.Counter(), collections.Counter()] for _ in range(3))
+        for text, c in rows:
+            words = toxic_words(text)
+            for b, w in zip([None, *words], words):
+                self.pairs[c][b, w] += 1
+                self.of_words[c][w] += 1
+                self.after[c][b] += 1
+        self.different = collections.Counter(w for _, w in {*self.pairs[0], *self.pairs[1]})
+        self.words = sorted(self.different)
+        self.d_pairs, self.d_words = ([self._discounts(k) for k in of] for of in (self.pairs, self.of_words))
+        self.left = [collections.Counter(), collections.Counter()]
+        for c in (0, 1):
+            for (b, _), n in self.pairs[c].items():
+                self.left[c][b] += self.d_pairs[c][min(n, 3)]
+
+    @staticmethod
+    def _discounts(counts: collections.Counter) -> list[float]:
+        have = collections.Counter(counts.values())
+        y = have[1] / (have[1] + 2 * have[2]) if have[1] else 0.5
+        out = [0.0]
+        for k in (1, 2, 3):
+            d = k - (k + 1) * y * have[k + 1] / have[k] if have[k] else k / 2
+            out.append(min(max(d, 0.1), k - 0.1))
+        return out
+
+    def shared(self, w: str) -> float:
+        return self.different.get(w, 1) / (sum(self.different.values()) + 1)
+
+    def rest(self, c: int) -> float:
+        return sum(self.d_words[c][min(n, 3)] for n in self.of_words[c].values()) / sum(self.of_words[c].values())
+
+    def of_word(self, c: int, w: str) -> float:
+        n = self.of_words[c].get(w, 0)
+        return (n - self.d_words[c][min(n, 3)]) / sum(self.of_words[c].values()) + self.rest(c) * self.shared(w)
+
+    def probability(self, c: int, b: str | None, w: str) -> float:
+        if not self.after[c].get(b):
+            return self.of_word(c, w)
+        n = self.pairs[c].get((b, w), 0)
+        return (n - self.d_pairs[c][min(n, 3)] + self.left[c][b] * self.of_word(c, w)) / self.after[c][b]
+
+    def evidence(self, w: str) -> float:
+        return math.log(self.of_word(1, w) / self.rest(1)) - math.log(self.of_word(0, w) / self.rest(0))

@@ -176,9 +176,9 @@ def test_toxicity(spark, nothing):
 
 
 def test_toxicity_keeps_every_pair_with_evidence(spark, monkeypatch):
-    """A toxic expression of two ordinary words, rarer than ordinary pairs, whatever number of pairs a model once held."""
+    """A toxic expression of two ordinary words, rarer than ordinary pairs, whatever number of pairs is sent to all tasks."""
     import numpy as np
-    monkeypatch.setattr(toxicity, "PAIRS", 20, raising=False)
+    monkeypatch.setattr(toxicity, "HEAD_PAIRS", 20)
     rng = random.Random(6)
     plain = ["word%d" % k for k in range(12)]
     rows = []
@@ -190,8 +190,52 @@ def test_toxicity_keeps_every_pair_with_evidence(spark, monkeypatch):
     model = toxicity.trained(spark.createDataFrame(rows, "text string, toxic int"))
     hashes = toxicity.Hasher(toxicity.BASES[0])
     (*_, found), = toxicity._tokens(toxicity.pa.array(["alpha beta"]), toxicity.separators(), toxicity.lower_table(), hashes)
-    at = int(toxicity.find(model.pairs, toxicity.pair_hash(found[:1], found[1:]))[0])
-    assert at >= 0 and model.pair_evidence[at] > 1 and np.isfinite(model.pair_evidence).all()
+    key = int(toxicity.pair_hash(found[:1], found[1:]).view(np.int64)[0])
+    pairs = {r["key"]: r["evidence"] for r in model.pairs.collect()}
+    assert pairs[key] > 1 and np.isfinite(list(pairs.values())).all()
+
+
+def toxic_texts() -> list[tuple[str, int]]:
+    rng = random.Random(21)
+    plain = ["w%d" % int(rng.paretovariate(0.6)) for _ in range(4000)]
+    rows = []
+    for i in range(120):
+        w = [rng.choice(plain) for _ in range(rng.randrange(0, 40))]
+        rows.append((", ".join(w + ["Vile", "thing"] * (i % 4 == 0) * 2), int(i % 4 == 0)))
+    return rows + [(None, 0), ("", 1), ("w1", 1), rows[0], rows[0]]
+
+
+def test_toxicity_models_add_up():
+    """The plain models the operator is compared with are distributions after every context, seen or not."""
+    model = brute.ToxicModels(toxic_texts())
+    for c in (0, 1):
+        for before in [*list(model.words)[:20], None, "never seen"]:
+            total = sum(model.probability(c, before, w) for w in model.words) + model.probability(c, before, "never seen")
+            assert total == pytest.approx(1)
+
+
+@pytest.mark.parametrize("heads", [(1 << 18, 1 << 20), (40, 60), (0, 0)])
+def test_toxicity_likelihoods_by_brute_force(spark, monkeypatch, heads):
+    """Log-likelihoods per word and the strongest words by plain Python, however much of the models is sent to all tasks."""
+    import math
+    monkeypatch.setattr(toxicity, "HEAD_WORDS", heads[0])
+    monkeypatch.setattr(toxicity, "HEAD_PAIRS", heads[1])
+    rows = toxic_texts()
+    plain = brute.ToxicModels(rows)
+    model = toxicity.trained(spark.createDataFrame(rows, "text string, toxic int"))
+    texts = [t for t, _ in rows] + ["unknown words, vile unknown w1 w2 vile vile", "w1", "thing vile", "w1 " * 30000 + "vile", " .,! "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = {r["id"]: r for r in toxicity.evidence(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        words = brute.toxic_words(text)
+        if not words:
+            assert got[i]["mean"] is None and got[i]["best"] == got[i]["second"] == 0
+            continue
+        ratio = sum(math.log(plain.probability(1, b, w) / plain.probability(0, b, w)) for b, w in zip([None, *words], words))
+        assert got[i]["mean"] + got[i]["rest"] == pytest.approx(ratio / len(words), abs=1e-9)
+        strongest = sorted([0, 0, *[plain.evidence(w) for w in words]])[-2:]
+        assert [got[i]["second"], got[i]["best"]] == pytest.approx(strongest, abs=1e-9)
 
 
 def test_toxicity_counts_what_it_does_not_calibrate_on(spark, monkeypatch):
