@@ -288,10 +288,12 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
     whole = found.where("key is null").drop("key", "n", "after").join(more, "row", "left")
     zero = F.lit(0.0)
     top = F.sort_array(F.concat(F.array("best", "second"), F.coalesce("more_strong", F.array().cast("array<double>"))), False)
-    return whole.select(
+    out = stored(whole.select(
         *names, ((F.col("evidence") + F.coalesce("more_evidence", zero)) / F.nullif("words", F.lit(0))).alias("mean"),
         ((F.col("rest") + F.coalesce("more_rest", zero)) / F.nullif("words", F.lit(0))).alias("rest"),
-        top[0].alias("best"), top[1].alias("second"))
+        top[0].alias("best"), top[1].alias("second")), "evidence")
+    discard(found)
+    return out
 
 
 FEATURES = {"mean": 10.0, "rest": 10.0, "best": 1.0, "second": 1.0}
@@ -340,13 +342,18 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
     sampled = stored(places, "calibration")
     model = trained(known.join(F.broadcast(sampled), "id", "left_anti").select("text", "toxic"))
     if model is not None:
-        sample = known.join(F.broadcast(sampled), "id", "left_semi")
-        model.weights, model.share = calibrated(evidence(sample, model).collect())
+        # The sample is looked up with all other rows, in one pass.
+        found = evidence(docs.select(field(id_column).alias("id"), field(text).alias("text")), model)
+        discard(model.words)
+        discard(model.pairs)
+        sample = known.join(F.broadcast(sampled), "id", "left_semi").select("id", "toxic").distinct()
+        # Rows that share an id count as one, so that the sample has its bound.
+        model.weights, model.share = calibrated(found.withColumn("id", F.col("id").cast("long")).join(
+            F.broadcast(sample), "id").groupBy("id", "toxic").agg(*[F.avg(c).alias(c) for c in FEATURES]).collect())
     if model is None or model.weights is None:
         share = model.share if model else known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         return docs.select(field(id_column), F.lit(float(share)).alias("score"))
     discard(known)
-    found = evidence(docs.select(field(id_column).alias("id"), field(text).alias("text")), model)
     logit = sum((F.col(c) * F.lit(float(w) * scale) for (c, scale), w in zip(FEATURES.items(), model.weights[1:])),
                 F.lit(float(model.weights[0])))
     return found.select(F.col("id").alias(id_column), F.round(F.coalesce(1 / (1 + F.exp(-logit)), F.lit(float(model.share))), 6).alias("score"))
