@@ -45,8 +45,8 @@ from patronage.scratch import discard, stored
 CALIBRATION = 20_000
 # Words of a task that are counted together.
 HELD = 1 << 20
-# Bounds of what is sent to all tasks: 6 MB of words, 16 MB of pairs, a bitmap of 2^27 bits.
-HEAD_WORDS, HEAD_PAIRS, FILTER = 1 << 18, 1 << 20, 27
+# Bounds of what is sent to all tasks: 6 MB of words, 32 MB of pairs, a bitmap of 2^27 bits.
+HEAD_WORDS, HEAD_PAIRS, FILTER = 1 << 18, 1 << 21, 27
 CLASSES = {"toxic": 1, "ordinary": -1}
 
 
@@ -112,15 +112,16 @@ def _lost(c: str, d: list[float]) -> Column:
 
 
 def _many(table: DataFrame, most: int) -> int:
-    """The smallest power of two for which at most ``most`` rows have an n as large."""
-    levels = table.groupBy(F.length(F.bin("n")).alias("digits")).count().collect()
-    power, rows = 1 << 62, 0
-    for level in sorted(levels, key=lambda r: -r["digits"]):
+    """The smallest n, up to 64 or a power of two, for which at most ``most`` rows have an n as large."""
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("n")) - 1)
+    levels = table.groupBy(F.when(F.col("n") < 64, F.col("n")).otherwise(power).alias("least")).count().collect()
+    many, rows = 1 << 62, 0
+    for level in sorted(levels, key=lambda r: -r["least"]):
         rows += level["count"]
         if rows > most:
             break
-        power = 1 << (level["digits"] - 1)
-    return power
+        many = level["least"]
+    return many
 
 
 def _beside(pairs: DataFrame, words: DataFrame, side: str, columns: list[str], many: int) -> DataFrame:
