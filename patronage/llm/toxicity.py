@@ -178,10 +178,14 @@ def trained(rows: DataFrame) -> Model | None:
 
     table = stored(beside.select("left", "right", (F.col("toxic") + F.col("ordinary")).alias("n"), evidence.alias("evidence"))
                    .mapInArrow(keyed, "key long, n long, evidence double"), "pair-evidence")
+    model = Model(words.select("word", "n", "evidence", "rest"), table, many_words, _many(table, HEAD_PAIRS),
+                  float(np.log(rest["toxic"] / rest["ordinary"])))
     discard(pairs)
     discard(seen)
-    return Model(words.select("word", "n", "evidence", "rest"), table, many_words, _many(table, HEAD_PAIRS),
-                 float(np.log(rest["toxic"] / rest["ordinary"])))
+    # Shuffle files of finished jobs go when the driver has collected their plans; on idle drivers that may be long after.
+    del contexts, beside
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return model
 
 
 def _sorted(table: DataFrame, key: str, *columns: str) -> list[np.ndarray]:
