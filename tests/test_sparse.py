@@ -195,3 +195,23 @@ def test_any_number_of_values_and_levels(spark):
     answers = df.withColumn("y", F.when(F.col("shop") == "s77", 1).otherwise((F.col("x") < 3).cast("int")))
     model = response_models.fit_decision_tree(answers, "y", ["x", "shop"], 1, 5)
     assert "shop_s77 <= 0.5000" in model.rules and model.feature_importance.count() == 20_001
+
+
+def test_a_long_vector_stays_out_of_the_driver(spark, monkeypatch):
+    """Every state leads to -1 and to the next one: copies of a long vector are no broadcast, and both ways to join give the same."""
+    n = 70_000
+    matrix = sparse_markov.coordinate_matrix(spark.range(1, n).select(F.col("id").alias("from_state"), F.explode(F.array(
+        F.struct(((F.col("id") + 1) % n).alias("to_state"), F.lit(0.5).alias("prob")),
+        F.struct(F.lit(-1).cast("long").alias("to_state"), F.lit(0.5).alias("prob")))).alias("c")).select("from_state", "c.*"))
+    vector = stored(matrix.groupBy(F.col("to_state").alias("state")).agg(F.max("parts").alias("parts")), "vector")
+
+    def step():
+        return sparse_markov._times(vector, matrix, [], "to_state", "from_state")
+
+    plan = step()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    sums = [F.count("*"), *[F.sum(c.cast("decimal(20, 0)")) for c in (F.col("parts"), F.xxhash64("state", "parts"))]]
+    long_ = step().groupBy().agg(*sums).first()
+    monkeypatch.setattr(sparse_markov, "SENT_ROWS", n + 2)
+    assert "BroadcastHashJoin" in step()._jdf.queryExecution().executedPlan().toString()
+    assert step().groupBy().agg(*sums).first() == long_ and long_[0] == n + 1
