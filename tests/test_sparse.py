@@ -1,6 +1,7 @@
 """Cases that once gave wrong or empty results: sparse matrices, text dates, missing keys, empty logs."""
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.errors import InputProblem
@@ -215,3 +216,19 @@ def test_a_long_vector_stays_out_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(sparse_markov, "SENT_ROWS", n + 2)
     assert "BroadcastHashJoin" in step()._jdf.queryExecution().executedPlan().toString()
     assert step().groupBy().agg(*sums).first() == long_ and long_[0] == n + 1
+
+
+def test_shares_of_a_long_log_stay_short(spark):
+    """4.4M purchases of 1,000 customers, one of whom holds a third: more tasks than the setting names, and every move counted."""
+    n = 4_400_000
+    log = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1_000).alias("customer"),
+        F.timestamp_seconds(F.col("id")).alias("at"), (F.col("id") % 7).alias("state"), F.col("id").alias("tie"))
+    moves = summaries.estimate_transitions(log, "customer", "at", "state", "tie", whole=False)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8" and moves.rdd.getNumPartitions() >= 9
+    got = {(r.from_state, r.to_state): (r.moves, r.prob) for r in moves.collect()}
+    assert sum(m for m, _ in got.values()) == n - 1_000
+    following = F.lead("state").over(W.partitionBy("customer").orderBy("at"))
+    want = log.withColumn("to_state", following).where("to_state IS NOT NULL").groupBy("state", "to_state").count().collect()
+    assert {k: m for k, (m, _) in got.items()} == {(r["state"], r.to_state): r["count"] for r in want}
+    assert all(sum(p for (s, _), (_, p) in got.items() if s == state) == pytest.approx(1) for state in range(7))
