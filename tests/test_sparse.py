@@ -232,3 +232,26 @@ def test_shares_of_a_long_log_stay_short(spark):
     want = log.withColumn("to_state", following).where("to_state IS NOT NULL").groupBy("state", "to_state").count().collect()
     assert {k: m for k, (m, _) in got.items()} == {(r["state"], r.to_state): r["count"] for r in want}
     assert all(sum(p for (s, _), (_, p) in got.items() if s == state) == pytest.approx(1) for state in range(7))
+
+
+def test_return_on_a_campaign_that_reaches_every_state(spark, monkeypatch):
+    """70,000 states, all of which the campaign leads to the focal brand: no step of either value sends copies to all tasks."""
+    n, plans = 70_000, []
+
+    def kept(df, label):
+        if label == "focal":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(sparse_markov, "stored", kept)
+    ring_ = spark.range(1, n).select(F.col("id").alias("from_state"), F.when(F.col("id") < n - 1, F.col("id") + 1).otherwise(0).alias("to_state"))
+    old = sparse_markov.coordinate_matrix(ring_.withColumn("prob", F.lit(1.0)))
+    new = sparse_markov.coordinate_matrix(ring_.where("to_state <> 0").withColumn("prob", F.lit(0.75)).unionByName(
+        ring_.select("from_state", F.lit(0).cast("long").alias("to_state"), F.when(F.col("to_state") == 0, 1.0).otherwise(0.25).alias("prob"))))
+    weights = spark.range(n).select(F.col("id").alias("state"), F.lit(1).alias("weight"))
+    out = sparse_markov.sparse_markov_roi(old, new, weights, 0, 100.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0).first()
+    assert len(plans) == 2 and "BroadcastHashJoin" in plans[0]
+    assert "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+    # Two purchases: 1/4 and then 1/4 + 3/4 of 1/4, but for the last states of the ring.
+    assert out["new_average_clv"] == pytest.approx(100 * (0.25 + 0.4375), abs=0.01)
+    assert out["old_average_clv"] == pytest.approx(100 * (2 + 2 + 1) / n)
