@@ -255,3 +255,31 @@ def test_return_on_a_campaign_that_reaches_every_state(spark, monkeypatch):
     # Two purchases: 1/4 and then 1/4 + 3/4 of 1/4, but for the last states of the ring.
     assert out["new_average_clv"] == pytest.approx(100 * (0.25 + 0.4375), abs=0.01)
     assert out["old_average_clv"] == pytest.approx(100 * (2 + 2 + 1) / n)
+
+
+def test_no_table_of_states_is_sent_to_all_tasks(spark, monkeypatch):
+    """70,000 states, few enough for Spark to broadcast: matrices, values and return join no table of them through the driver."""
+    n, plans = 70_000, []
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def kept(df, label):
+        if label == "matrix":
+            ran(df)
+        return stored(df, label)
+
+    monkeypatch.setattr(sparse_markov, "stored", kept)
+    # The last state is never left.
+    cells = spark.range(n - 1).select(F.col("id").alias("from_state"), (F.col("id") + 1).alias("to_state"), F.lit(1.0).alias("prob"))
+    matrix = sparse_markov.coordinate_matrix(cells)
+    assert matrix.count() == n and matrix.where("from_state = to_state").first()["from_state"] == n - 1
+    terms = (n - 1, 100.0, 1.0, 1.0, 0.0, 1.0)
+    for details in (False, True):
+        ran(sparse_markov.sparse_markov_clv(matrix, None, *terms, details=details))
+    ran(sparse_markov.sparse_markov_roi(matrix, matrix, matrix.select(F.col("from_state").alias("state"), F.lit(1).alias("weight")), *terms, 1.0, 1.0))
+    assert len(plans) == 4 and all("Broadcast" not in p for p in plans)
+    value = sparse_markov.sparse_markov_clv(matrix, None, *terms)
+    got = dict(value.where("clv > 0").collect())
+    assert value.count() == n and got == {n - 1: 200.0, n - 2: 200.0, n - 3: 100.0}
