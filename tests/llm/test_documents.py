@@ -511,6 +511,43 @@ def test_bpe_of_random_texts(reference):
         assert np.frombuffer(ids, np.int32).tolist() == reference.encode_ordinary(text), repr(text)
 
 
+def test_bpe_in_groups_and_by_either_way_of_merging(reference, monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abdeinrsté") for _ in range(rng.randrange(1, 70))) for _ in range(1500)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", ",", "!!", "'s", "\n", " ", "\xa0", "\u3000", "×", "ɏ"])
+                      for _ in range(rng.randrange(40))) for _ in range(400)] + [None, "", "", " ", "\x1c \x1f x", "\u2014 \u201c \u2028 y"]
+    expected = [reference.encode_ordinary(t or "") for t in texts]
+    for short, group, part in ((5, 1 << 23, 1 << 19), (1, 3000, 500), (0, 1, 1)):
+        monkeypatch.setattr(byte_bpe, "PLACE", short)
+        monkeypatch.setattr(byte_bpe, "SHORT", 1 << short)
+        monkeypatch.setattr(byte_bpe, "GROUP", group)
+        monkeypatch.setattr(byte_bpe, "SLICE", part)
+        encoder = byte_bpe.Encoder(byte_bpe.read_ranks(queries.RANKS), queries.PATTERN)
+        column = pa.array(["left out", *texts]).slice(1)
+        found = [(i, j, ids.to_pylist()) for ids, i, j in encoder.coded(column)]
+        assert [i for i, _, _ in found] == [0, *[j for _, j, _ in found[:-1]]]
+        assert [x for *_, own in found for x in own] == expected
+
+
+def test_bpe_calls_nothing_once_per_word():
+    encoder = byte_bpe.Encoder(byte_bpe.read_ranks(queries.RANKS), queries.PATTERN)
+    rng = random.Random(9)
+    texts = [" " + " ".join("".join(rng.choice("aeinorst") for _ in range(12)) for _ in range(200)) for _ in range(200)]
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < 20_000  # 40,000 different words
+
+
 def test_bpe_edges(spark, nothing, tmp_path):
     rows = spark.createDataFrame([(1, [0, 99_999_999, -4, 1]), (2, None), (3, []), (4, [None, 1])], "doc_id long, token_ids array<int>")
     got = {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(rows, queries.RANKS).collect()}
