@@ -15,7 +15,7 @@ hashed ids), its only sample. The models count all other labelled texts.
 Size of the models: every word and pair of the labelled texts, so they grow with them. They are tables; no task and not the
 driver holds one. What most look-ups ask for is sent to all tasks: the most frequent words and pairs, at most ``HEAD_WORDS`` and
 ``HEAD_PAIRS``. Look-ups of all others are rows (text, key), joined with the rest of the tables and summed per text, so results do
-not depend on the two numbers. A bitmap of fixed size spares the join most keys that the models lack, and loses none they have.
+not depend on the two numbers; ``PASSES`` parts of the keys are joined one after the other, to shuffle a part at a time. A bitmap of fixed size spares the join most keys that the models lack, and loses none they have.
 
 Edge cases. Null and blank texts have no words; their score is the share of toxic labels. Without labels of both
 kinds every score is the share of toxic labels (0 without any). Null labels are ignored; an id with several labels is
@@ -26,6 +26,7 @@ scored and never learned from.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ from patronage.llm.membership import maybe_in, only
 from patronage.llm.perplexity import OPEN, _discounts
 from patronage.llm.tokens import before, find, pair_hash, separators
 from patronage.llm.words import BASES, U64, Hasher, as_long, lean, lower_table, pieces
-from patronage.scratch import discard, stored
+from patronage.scratch import discard, stored, tidy
 
 CALIBRATION = 20_000
 # Words of a task that are counted together.
 HELD = 1 << 20
 # Bounds of what is sent to all tasks: 6 MB of words, 32 MB of pairs, a bitmap of 2^27 bits.
 HEAD_WORDS, HEAD_PAIRS, FILTER = 1 << 18, 1 << 21, 27
+# Parts of the keys that are joined one after the other, so that only a part of the look-ups is shuffled at any time.
+PASSES = 4
 CLASSES = {"toxic": 1, "ordinary": -1}
 
 
@@ -102,8 +105,6 @@ class Model:
     many_words: int
     many_pairs: int
     rest_of_words: float
-    weights: np.ndarray | None = None
-    share: float = 0.0
 
 
 def _lost(c: str, d: list[float]) -> Column:
@@ -270,7 +271,9 @@ def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "row long, words long, evidence double, "
                         "rest double, best double, second double, key long, n long, after long"])
     # Written: the number of a row must be the same wherever it is read.
-    return stored(rows.select(*names, "text").mapInArrow(run, schema), "looked-up")
+    found = stored(rows.select(*names, "text").mapInArrow(run, schema), "looked-up")
+    sent.destroy()
+    return found
 
 
 def evidence(rows: DataFrame, model: Model) -> DataFrame:
@@ -283,9 +286,16 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
         model.pairs.where(F.col("n") < model.many_pairs).select("key", "evidence", F.lit(0.0).alias("rest"), F.lit(False).alias("word")))
     strong = F.when(F.col("word") & (F.col("evidence") > 0) & (F.col("n") > 0),
                     F.array_repeat("evidence", F.least("n", F.lit(2)).cast("int")))
-    more = found.where("key is not null").select("row", "key", "n", "after").join(rare, "key").groupBy("row").agg(
-        F.sum(F.col("n") * F.col("evidence")).alias("more_evidence"), F.sum(F.col("after") * F.col("rest")).alias("more_rest"),
-        F.flatten(F.collect_list(strong)).alias("more_strong"))
+    sums = [F.sum("more_evidence").alias("more_evidence"), F.sum("more_rest").alias("more_rest"),
+            F.flatten(F.collect_list("more_strong")).alias("more_strong")]
+    value = [(F.col("n") * F.col("evidence")).alias("more_evidence"), (F.col("after") * F.col("rest")).alias("more_rest"),
+             strong.alias("more_strong")]
+    parts = []
+    for k in range(PASSES):
+        own = F.pmod(F.shiftright("key", 32), F.lit(PASSES)) == k
+        parts.append(stored(found.where(own).select("row", "key", "n", "after").join(rare.where(own), "key").select(
+            "row", *value).groupBy("row").agg(*sums), "rare-evidence"))
+    more = reduce(DataFrame.unionByName, parts).groupBy("row").agg(*sums)
     whole = found.where("key is null").drop("key", "n", "after").join(more, "row", "left")
     zero = F.lit(0.0)
     top = F.sort_array(F.concat(F.array("best", "second"), F.coalesce("more_strong", F.array().cast("array<double>"))), False)
@@ -293,7 +303,8 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
         *names, ((F.col("evidence") + F.coalesce("more_evidence", zero)) / F.nullif("words", F.lit(0))).alias("mean"),
         ((F.col("rest") + F.coalesce("more_rest", zero)) / F.nullif("words", F.lit(0))).alias("rest"),
         top[0].alias("best"), top[1].alias("second")), "evidence")
-    discard(found)
+    for table in (found, *parts):
+        discard(table)
     return out
 
 
@@ -322,6 +333,29 @@ def calibrated(rows: list) -> tuple[np.ndarray | None, float]:
     return weights, float(y.mean())
 
 
+def _weighed(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column) -> tuple:
+    """Evidence of the rows of ``docs`` (id, text), weights, and the share of toxic labels; None and None if there are no weights."""
+    marks = labels.where("id is not null and toxic in (0, 1)").where(learn | calibrate).groupBy("id").agg(
+        F.max("toxic").alias("toxic"))
+    named = docs.select(F.col("id").cast("long").alias("id"), "text")
+    known = stored(only(named, marks).join(marks, "id").select("id", "toxic", "text"), "labelled")
+    places = known.where(calibrate).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
+    sampled = stored(places, "calibration")
+    model = trained(known.join(F.broadcast(sampled), "id", "left_anti").select("text", "toxic"))
+    if model is None:
+        return None, None, known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    sample = stored(known.join(F.broadcast(sampled), "id", "left_semi").select("id", "toxic").distinct(), "sample")
+    discard(known)
+    # The sample is looked up with all other rows, in one pass.
+    found = evidence(docs, model)
+    discard(model.words)
+    discard(model.pairs)
+    # Rows that share an id count as one, so that the sample has its bound.
+    weights, share = calibrated(found.withColumn("id", F.col("id").cast("long")).join(
+        F.broadcast(sample), "id").groupBy("id", "toxic").agg(*[F.avg(c).alias(c) for c in FEATURES]).collect())
+    return found, weights, share
+
+
 def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column, id_column: str = "doc_id",
            text: str = "text", label: str = "toxic") -> DataFrame:
     """id column and score (0 to 1) of every row of ``docs``.
@@ -335,26 +369,13 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
     require_columns(docs, text)
     require_columns(labels, label)
     spark = docs.sparkSession
-    marks = labels.select(field(id_column).cast("long").alias("id"), field(label).cast("int").alias("toxic")).where(
-        "id is not null and toxic in (0, 1)").where(learn | calibrate).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    named = docs.select(field(id_column).cast("long").alias("id"), field(text).alias("text"))
-    known = stored(only(named, marks).join(marks, "id").select("id", "toxic", "text"), "labelled")
-    places = known.where(calibrate).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
-    sampled = stored(places, "calibration")
-    model = trained(known.join(F.broadcast(sampled), "id", "left_anti").select("text", "toxic"))
-    if model is not None:
-        # The sample is looked up with all other rows, in one pass.
-        found = evidence(docs.select(field(id_column).alias("id"), field(text).alias("text")), model)
-        discard(model.words)
-        discard(model.pairs)
-        sample = known.join(F.broadcast(sampled), "id", "left_semi").select("id", "toxic").distinct()
-        # Rows that share an id count as one, so that the sample has its bound.
-        model.weights, model.share = calibrated(found.withColumn("id", F.col("id").cast("long")).join(
-            F.broadcast(sample), "id").groupBy("id", "toxic").agg(*[F.avg(c).alias(c) for c in FEATURES]).collect())
-    if model is None or model.weights is None:
-        share = model.share if model else known.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    # Results are built from stored tables, outside.
+    with tidy(spark):
+        found, weights, share = _weighed(docs.select(field(id_column).alias("id"), field(text).alias("text")),
+                                         labels.select(field(id_column).cast("long").alias("id"),
+                                                       field(label).cast("int").alias("toxic")), learn, calibrate)
+    if weights is None:
         return docs.select(field(id_column), F.lit(float(share)).alias("score"))
-    discard(known)
-    logit = sum((F.col(c) * F.lit(float(w) * scale) for (c, scale), w in zip(FEATURES.items(), model.weights[1:])),
-                F.lit(float(model.weights[0])))
-    return found.select(F.col("id").alias(id_column), F.round(F.coalesce(1 / (1 + F.exp(-logit)), F.lit(float(model.share))), 6).alias("score"))
+    logit = sum((F.col(c) * F.lit(float(w) * scale) for (c, scale), w in zip(FEATURES.items(), weights[1:])),
+                F.lit(float(weights[0])))
+    return found.select(F.col("id").alias(id_column), F.round(F.coalesce(1 / (1 + F.exp(-logit)), F.lit(float(share))), 6).alias("score"))

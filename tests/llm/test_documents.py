@@ -13,6 +13,7 @@ import brute  # noqa: E402
 
 queries = pytest.importorskip("patronage.llm.queries")
 
+from patronage import scratch  # noqa: E402
 from patronage.errors import InputProblem  # noqa: E402
 from patronage.llm import (byte_bpe, decontamination, language_id, lengths, near_dedup, packing, perplexity,  # noqa: E402
                            quality_rules, substring_dedup, toxicity)
@@ -255,6 +256,40 @@ def test_toxicity_counts_what_it_does_not_calibrate_on(spark, monkeypatch):
     assert found == 400 and of[3] > 60 and counted == [of[0] + of[1] + of[3] - 60]
 
 
+def shuffle_files(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_toxicity_gives_its_shuffle_files_back(spark):
+    """A finished step's files do not wait for the driver to collect its plan, and the session's setting stays its own."""
+    frame = spark.createDataFrame([(i, f"{t} {i % 3}") for i, (t, _) in enumerate(toxic_texts() * 10)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(toxic_texts() * 10)], "doc_id long, toxic int")
+    part = toxicity.fold(F.col("id"))
+    before, own = shuffle_files(spark), spark.conf.get(scratch.TIDY, None)
+    found = toxicity.scored(frame, marks, part.isin(0, 1), part == 3)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(scratch.TIDY, None) == own
+    assert found.count() == found.count() == frame.count()
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_toxicity_in_any_number_of_passes(spark, monkeypatch, passes):
+    for name, value in (("PASSES", passes), ("HEAD_WORDS", 1), ("HEAD_PAIRS", 1)):
+        monkeypatch.setattr(toxicity, name, value)
+    rows = toxic_texts()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id long, text string")
+
+    def found():
+        model = toxicity.trained(spark.createDataFrame(rows, "text string, toxic int"))
+        return [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in toxicity.evidence(docs, model).orderBy("id").collect()]
+
+    parted = found()
+    for name, value in (("PASSES", 1), ("HEAD_WORDS", 1 << 18), ("HEAD_PAIRS", 1 << 21)):
+        monkeypatch.setattr(toxicity, name, value)
+    assert parted == found() and len(parted) == len(rows)
+
+
 def test_toxicity_on_held_out_rows(spark):
     """Documents in English with words of abuse are found in the fold that was not learned from."""
     folder = "/root/testdata/sf0.1"
