@@ -34,7 +34,7 @@ from patronage.errors import InputProblem
 from patronage.llm.words import U64, bytes_of, lean, slices
 
 # Bytes of text whose words are merged together, and whose ids are put together at once.
-GROUP, SLICE = 1 << 23, 1 << 19
+GROUP, SLICE = 1 << 22, 1 << 19
 # Bytes of a piece that is merged in rounds, so that a place in it takes ``PLACE`` bits; pieces of a matrix.
 PLACE = 5
 SHORT, COLUMNS = 1 << PLACE, 1 << 13
@@ -264,10 +264,9 @@ def part_edges(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     odd = NARROW | (np.arange(256) >= 128)
     blank = blank[odd[padded[blank + 2]]]
     blank = blank[odd[padded[blank + 4]] | ends[blank + 1]]
-    near = padded.astype(np.int64)
 
     def two(at):
-        return near[at] << 8 | near[at + 1]
+        return padded[at].astype(np.int64) << 8 | padded[at + 1]
 
     white_before = NARROW[padded[blank + 2]] | WIDE[two(blank + 1)] | WIDE[two(blank)]
     white_after = NARROW[padded[blank + 4]] | WIDE[two(blank + 4)] | ends[blank + 1]
