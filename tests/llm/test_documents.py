@@ -5,6 +5,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,43 @@ def test_perplexity_model_adds_up(spark):
         assert sum(2 ** (bits[k, ""] - bits[k, w]) for w in [*"abcdef", "new"]) == pytest.approx(1), openings[k]
 
 
+def test_perplexity_gives_its_disk_back(spark, monkeypatch):
+    """Only the results stay stored, and they do not depend on the numbers of parts."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join("w%d" % min(rng.randrange(400), rng.randrange(400)) for _ in range(50)), "en")
+                                  for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+
+    def tables():
+        folder = scratch.scratch_folder(spark).split("://")[-1]
+        return {os.path.relpath(path, folder).split("/")[0] for path, _, files in os.walk(folder)
+                if any(f.endswith(".parquet") for f in files)}
+
+    earlier, found = tables(), []
+    for parts in ((1, 1, 1), (2, 2, 2)):
+        for name, n in zip(("PASSES", "PARTS", "RANGES"), parts):
+            monkeypatch.setattr(perplexity, name, n, raising=False)
+        found.append(sorted(perplexity.judged(docs, labels).collect()))
+    assert {name.rsplit("-", 1)[0] for name in tables() - earlier} == {"perplexities"}
+    assert found[0] == found[1] and len(found[0]) == 60
+
+
+def test_perplexity_packs_keys_and_numbers():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False) if n else np.zeros(0, np.uint64))
+        assert (perplexity._keys_in(perplexity._packed(keys)) == keys).all()
+        columns = [np.arange(len(keys)), np.full(len(keys), 1 << 40), np.zeros(len(keys), np.int64)]
+        assert all((x == y).all() for x, y in zip(perplexity._columns_in(perplexity._numbers(*columns), len(keys)), columns))
+    ends = np.array([0, (1 << 64) - 1], np.uint64)
+    for shards in (12, 36, 1 << 16):
+        assert perplexity._shard(ends, shards).tolist() == [0, shards - 1]
+        keys = rng.integers(0, 1 << 64, 1000, np.uint64, endpoint=False)
+        own = perplexity._shard(keys, shards)
+        assert (perplexity._inside(keys, shards, 3, shards // 2) == ((own >= 3) & (own < shards // 2))).all()
+        assert perplexity._inside(keys, shards, 0, shards).all()
+
+
 def test_perplexity_knows_every_word_and_trigram(spark):
     """Against a plain modified Kneser-Ney model of all words and n-grams, those seen once included."""
     import math
