@@ -443,9 +443,11 @@ def _scored(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
                 columns_ = [_columns_in(parts[s], at.stop - at.start) for s, at in _cut(keys, shards, 0, shards)]
                 counts.append([np.concatenate(c) for c in zip(*columns_)] or [np.zeros(0, np.int64)] * many)
             bits = counted_bits(at_triple, at_pair[:-1], at_word, first, at_pair[-1], int(np.searchsorted(words, OPEN)), counts, numbers)
-            sums = np.append(0, np.cumsum(bits))[first]
+            # Each text is summed by itself: what stands before it in the slice must not change its rounding.
+            sums = np.zeros(len(n))
+            sums[n > 0] = np.add.reduceat(bits, first[:-1][n > 0]) if len(bits) else 0
             out.append(pa.table([*[slices_[c][k].values for c in columns], pa.array(n),
-                                 pa.array(np.round(np.diff(sums) / np.maximum(n, 1), 6), mask=n == 0)],
+                                 pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)],
                                 names=[*columns, "n_words", "mean_bits"]))
         return pa.concat_tables(out)
 
