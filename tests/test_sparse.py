@@ -283,3 +283,65 @@ def test_no_table_of_states_is_sent_to_all_tasks(spark, monkeypatch):
     value = sparse_markov.sparse_markov_clv(matrix, None, *terms)
     got = dict(value.where("clv > 0").collect())
     assert value.count() == n and got == {n - 1: 200.0, n - 2: 200.0, n - 3: 100.0}
+
+
+@pytest.mark.parametrize("share", [None, 4])
+def test_long_vectors_are_dealt_by_one_number(spark, monkeypatch, share):
+    """A matrix with nameless keys and states, and a state that all others lead to: products are exact, dealt in shares and left to Spark."""
+    import random
+
+    from patronage import shares
+
+    monkeypatch.setattr(sparse_markov, "MANY_CELLS", 20)
+    if share:
+        monkeypatch.setattr(shares, "SHARE_ROWS", share)
+    dice, prob = random.Random(5), {}
+    states = ["hub", None, *[f"s{i}" for i in range(40)]]
+    for key in ("x", None):
+        for s in states:
+            ends = ["hub", *dice.sample(states[1:], 3)]
+            left = [dice.random() for _ in ends]
+            prob |= {(key, s, e): p / sum(left) for e, p in zip(ends, left)}
+    cells = spark.createDataFrame([(*k, p) for k, p in prob.items()], "scenario string, from_state string, to_state string, prob double")
+    matrix = sparse_markov.coordinate_matrix(cells, "scenario")
+    assert matrix.where("from_block > 0").select("to_state").distinct().collect() == [("hub",)]
+    parts = {(r.scenario, r.from_state, r.to_state): r.parts for r in matrix.collect()}
+    vector = {(k, s): dice.choice((10**18, dice.randrange(10**18))) for k in ("x", None) for s in states}
+    rows = spark.createDataFrame([(*k, p) for k, p in vector.items()], "scenario string, state string, parts long")
+    short = sparse_markov._times(rows, matrix, ["scenario"], "to_state", "from_state").collect()
+    monkeypatch.setattr(sparse_markov, "SENT_ROWS", 0)
+    known = {}
+    step = sparse_markov._times(rows, matrix, ["scenario"], "to_state", "from_state", known=known)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert ("ShuffledHashJoin [_left" if share else "SortMergeJoin [_left") in plan and "isnull(" not in plan.split("Join [")[1].split("]")[0]
+    # Copies of the hub only, in both scenarios.
+    assert len(known["many"]) == 2 and known["size"] == len(parts)
+    want = {}
+    for (key, s, e), p in parts.items():
+        want[key, s] = want.get((key, s), 0) + p * vector[key, e]
+    want = {k: v // 10**18 for k, v in want.items() if v >= 10**18}
+    assert {(r.scenario, r.state): r.parts for r in step.collect()} == want == {(r.scenario, r.state): r.parts for r in short}
+    starts = matrix.select("scenario", F.col("from_state").alias("previous"), F.col("to_state").alias("state"), "parts")
+    ahead = sparse_markov._times(starts, matrix, ["scenario"], "from_state", "to_state", ["previous"])
+    assert "SortMergeJoin [_left" in ahead._jdf.queryExecution().executedPlan().toString()
+    twice = {}
+    for (key, a, b), p in parts.items():
+        for (other, c, d), q in parts.items():
+            if (key, b) == (other, c):
+                twice[key, a, d] = twice.get((key, a, d), 0) + p * q
+    assert {(r.scenario, r.previous, r.state): r.parts for r in ahead.collect()} == {k: v // 10**18 for k, v in twice.items() if v >= 10**18}
+
+
+def test_a_log_is_worked_out_once(spark, monkeypatch):
+    """Moves of a joined log ask nothing of it before it is written; empty logs are refused as before."""
+    schema, asked = "who int, at string, state string, tie int", []
+    frame = type(spark.range(1))
+    empty = frame.isEmpty
+    monkeypatch.setattr(frame, "isEmpty", lambda self: asked.append(1) or empty(self))
+    log = spark.createDataFrame([(1, "2020-01-01", "A", 1), (1, "2020-01-02", "B", 2)], schema)
+    moves = summaries.estimate_transitions(log, "who", "at", "state", "tie", whole=False).collect()
+    assert [tuple(r) for r in moves] == [("A", "B", 1, 1.0)] and not asked
+    with pytest.raises(InputProblem, match="readable date"):
+        summaries.estimate_transitions(log.withColumn("at", F.lit("soon")), "who", "at", "state", "tie")
+    nameless = log.withColumn("state", F.lit(None).cast("string"))
+    assert summaries.estimate_transitions(nameless, "who", "at", "state", "tie", whole=False).count() == 0
